@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import BEFORE, PREFIX, WHOLE, compound, lag, row_number
+from quantloom.functions.windows import by_instrument, compound, lag, row_number, up_to_before, up_to_now
 from quantloom.operators.features import simple_return
 from quantloom.operators.risk import turnover
 
@@ -45,8 +45,8 @@ def run_bars(panel: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFr
     bars = bars.withColumn("turnover", turnover("applied")).withColumn("costs", costs("turnover", cfg))
     bars = bars.withColumn("gross", F.col("applied") * F.col("returns")).withColumn("pnl", F.col("gross") - F.col("costs"))
     bars = bars.withColumn("equity", cfg.initial_equity * compound("pnl"))
-    bars = bars.withColumn("drawdown_neg", F.coalesce(F.try_divide(F.col("equity"), F.max("equity").over(PREFIX)) - 1, F.lit(0.0)))
-    return bars.withColumn("trade", F.coalesce(F.col("applied") - lag("applied"), F.lit(0.0))).withColumn("cum_costs", F.sum("costs").over(PREFIX))
+    bars = bars.withColumn("drawdown_neg", F.coalesce(F.try_divide(F.col("equity"), F.max("equity").over(up_to_now())) - 1, F.lit(0.0)))
+    return bars.withColumn("trade", F.coalesce(F.col("applied") - lag("applied"), F.lit(0.0))).withColumn("cum_costs", F.sum("costs").over(up_to_now()))
 
 
 def summary(bars: DataFrame, cfg: BacktestConfig = BacktestConfig()) -> DataFrame:
@@ -79,8 +79,8 @@ def events(bars: DataFrame) -> DataFrame:
     """(instrument, ts, event): signal flips, cost spikes of at least 0.8 of the highest cost, and new lows of drawdown."""
     marked = (
         bars.withColumn("_flip", F.col("position") != lag("position"))
-        .withColumn("_top", F.greatest(F.max("costs").over(WHOLE), F.lit(1e-12)))
-        .withColumn("_low", F.coalesce(F.min("drawdown_neg").over(BEFORE), F.lit(0.0)))
+        .withColumn("_top", F.greatest(F.max("costs").over(by_instrument()), F.lit(1e-12)))
+        .withColumn("_low", F.coalesce(F.min("drawdown_neg").over(up_to_before()), F.lit(0.0)))
     )
     kinds = F.array(
         F.when(F.col("_flip"), F.lit("signal_flip")),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SERIES, lag
+from quantloom.functions.windows import by_time, lag
 
 #: Buckets by name, in seconds.
 BUCKETS = {"1min": 60, "1H": 3600, "1D": 86_400, "1W": 604_800}
@@ -96,7 +96,7 @@ def gap_histogram(panel: DataFrame) -> DataFrame:
 
 def with_gaps(panel: DataFrame) -> DataFrame:
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return panel.withColumn("gap_s", seconds - F.lag(seconds).over(SERIES)).filter("gap_s is not null")
+    return panel.withColumn("gap_s", seconds - F.lag(seconds).over(by_time())).filter("gap_s is not null")
 
 
 def irregularity(panel: DataFrame) -> DataFrame:

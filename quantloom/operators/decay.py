@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import both, correlation
-from quantloom.functions.windows import SERIES, WHOLE, col, lag, last_rows, row_number
+from quantloom.functions.windows import by_instrument, by_time, col, lag, last_rows, row_number
 from quantloom.operators import sequential
 
 
@@ -36,7 +36,7 @@ def kernel_mean(x: Column | str, weights: list[float], min_periods: int | None =
     """Weighted sum of the last rows. Before the window is full, the newest rows meet the last weights, not scaled up."""
     n = len(weights)
     x = col(x)
-    total = sum((F.coalesce(F.lag(x, k).over(SERIES), F.lit(0.0)) * weights[n - 1 - k] for k in range(n)), F.lit(0.0))
+    total = sum((F.coalesce(F.lag(x, k).over(by_time()), F.lit(0.0)) * weights[n - 1 - k] for k in range(n)), F.lit(0.0))
     return F.when(F.count(x).over(last_rows(n)) >= (min_periods or n), total)
 
 
@@ -110,11 +110,11 @@ def ar1_half_life(panel: DataFrame, x: str) -> DataFrame:
 
 def ic_decay_curve(panel: DataFrame, signal: str, returns: str, horizons: tuple[int, ...]) -> DataFrame:
     """(instrument, horizon, ic): correlation of the signal with the return ``horizon`` rows later."""
-    led = panel.select("instrument", F.col(signal).alias("_s"), *[F.lead(returns, h).over(SERIES).alias(f"_r{h}") for h in horizons])
+    led = panel.select("instrument", F.col(signal).alias("_s"), *[F.lead(returns, h).over(by_time()).alias(f"_r{h}") for h in horizons])
     wide = led.groupBy("instrument").agg(*[correlation("_s", f"_r{h}").alias(f"_ic{h}") for h in horizons])
     cells = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_ic{h}").alias("ic")) for h in horizons]))
     return wide.select("instrument", cells.alias("c")).select("instrument", "c.horizon", "c.ic")
 
 
 def max_abs(x: str) -> Column:
-    return F.max(F.abs(x)).over(WHOLE)
+    return F.max(F.abs(x)).over(by_instrument())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import both, correlation, excess_kurtosis_sample, normal_cdf, normal_ppf, skew_sample
-from quantloom.functions.windows import PREFIX, lag, rolling, row_number
+from quantloom.functions.windows import lag, rolling, row_number, up_to_now
 from quantloom.operators.features import annualise_return
 
 PERCENTILES = (1, 5, 10, 50, 90, 95, 99)
@@ -49,8 +49,8 @@ def performance(panel: DataFrame, returns: str = "returns", equity: str | None =
 
 def drawdowns(panel: DataFrame, equity: str = "equity") -> DataFrame:
     """One row an instrument: greatest drawdown, longest run of rows under water, root mean square under water."""
-    under = panel.withColumn("_u", F.coalesce(1 - F.try_divide(F.col(equity), F.max(equity).over(PREFIX)), F.lit(0.0)))
-    island = row_number() - F.sum((F.col("_u") > 0).cast("int")).over(PREFIX)
+    under = panel.withColumn("_u", F.coalesce(1 - F.try_divide(F.col(equity), F.max(equity).over(up_to_now())), F.lit(0.0)))
+    island = row_number() - F.sum((F.col("_u") > 0).cast("int")).over(up_to_now())
     runs = under.withColumn("_i", island).groupBy("instrument", "_i").agg(F.sum((F.col("_u") > 0).cast("int")).alias("_run"), F.max("_u").alias("_m"), F.sum(F.col("_u") * F.col("_u")).alias("_s"), F.count("*").alias("_n"))
     return runs.groupBy("instrument").agg(F.max("_m").alias("max_drawdown"), F.max("_run").alias("longest_under_water"), F.sqrt(F.sum("_s") / F.sum("_n")).alias("ulcer_index"))
 

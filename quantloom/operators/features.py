@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import PREFIX, WHOLE, col, compound, lag, last_rows, next_rows, rolling, row_number
+from quantloom.functions.windows import by_instrument, col, compound, lag, last_rows, next_rows, rolling, row_number, up_to_now
 
 EPSILON = 1e-12
 
@@ -93,7 +93,7 @@ def interactions(features: DataFrame, names: list[str]) -> DataFrame:
 
 def pseudo_price(returns: Column | str) -> Column:
     """Running product of 1 + return, NULL counting as 0."""
-    return F.product(1 + F.coalesce(col(returns), F.lit(0.0))).over(PREFIX)
+    return F.product(1 + F.coalesce(col(returns), F.lit(0.0))).over(up_to_now())
 
 
 def equity(returns: Column | str, start: float = 1.0) -> Column:
@@ -108,7 +108,7 @@ def forward_return(returns: Column | str, horizon: int) -> Column:
 
 def winsorise(x: str, q: float = 0.01) -> Column:
     """x within the q and 1 - q quantiles of its instrument."""
-    low, high = (F.expr(f"percentile({x}, {p})").over(WHOLE) for p in (q, 1 - q))
+    low, high = (F.expr(f"percentile({x}, {p})").over(by_instrument()) for p in (q, 1 - q))
     return F.when(F.col(x).isNotNull(), F.greatest(low, F.least(high, F.col(x))))
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SERIES, WHOLE, next_rows
+from quantloom.functions.windows import by_instrument, by_time, next_rows
 from quantloom.operators.features import forward_return
 
 CLIP = 1e-6
@@ -35,7 +35,7 @@ def meta_label(signal: str, returns: str, horizon: int, costs_bps: float = 0.0,
 def quantile_label(panel: DataFrame, returns: str, horizon: int, q: float = 0.8, null_tail: bool = True) -> DataFrame:
     """panel with label: 1 where the forward return is at least its q quantile over the series."""
     out = panel.withColumn("_f", forward_return(returns, horizon))
-    line = F.expr(f"percentile(_f, {q})").over(WHOLE)
+    line = F.expr(f"percentile(_f, {q})").over(by_instrument())
     return out.withColumn("label", F.when(F.col("_f").isNull(), None if null_tail else 0).otherwise((F.col("_f") >= line).cast("int"))).drop("_f")
 
 
@@ -57,7 +57,7 @@ def triple_barrier(panel: DataFrame, price: str, signal: str, horizon: int, up:
 
 def numbered(panel: DataFrame) -> DataFrame:
     """panel with row, from 0, and n, the rows of the series."""
-    return panel.withColumn("row", F.row_number().over(SERIES) - 1).withColumn("n", F.count("*").over(WHOLE))
+    return panel.withColumn("row", F.row_number().over(by_time()) - 1).withColumn("n", F.count("*").over(by_instrument()))
 
 
 def purged_kfold(panel: DataFrame, folds: int, horizon: int = 1, purge: int = 0, embargo: int = 0) -> DataFrame:

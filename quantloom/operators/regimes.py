@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SERIES, WHOLE
+from quantloom.functions.windows import by_instrument, by_time
 from quantloom.operators import sequential
 
 
@@ -22,7 +22,7 @@ def quantile_labels(panel: DataFrame, vol: str, quantiles: tuple[float, ...] = (
     base = F.col(vol) if calibrate is None else F.when(calibrate, F.col(vol))
     shares = ", ".join(repr(q) for q in quantiles)
     out = panel.withColumn("_b", base)
-    edges = F.array_distinct(F.expr(f"percentile(_b, array({shares}))").over(WHOLE))
+    edges = F.array_distinct(F.expr(f"percentile(_b, array({shares}))").over(by_instrument()))
     state = F.when(F.col(vol).isNotNull(), F.size(F.filter(edges, lambda t: t < F.col(vol))))
     out = out.withColumn("state", state).drop("_b")
     return out.withColumns({f"p_state_{k}": F.coalesce(F.col("state") == k, F.lit(False)).cast("double") for k in range(len(quantiles) + 1)})
@@ -32,7 +32,7 @@ def trend_labels(panel: DataFrame, slope: str, r2: str, quantile: float = 0.7, l
     """panel with state: 1 where the slope is steep for its series and fits well, else 0; NULL without a slope."""
     base = F.abs(slope) if calibrate is None else F.when(calibrate, F.abs(slope))
     out = panel.withColumn("_b", base)
-    line = F.expr(f"percentile(_b, {quantile})").over(WHOLE)
+    line = F.expr(f"percentile(_b, {quantile})").over(by_instrument())
     state = F.when(F.col(slope).isNotNull() & F.col(r2).isNotNull(), ((F.abs(slope) >= line) & (F.col(r2) >= least_r2)).cast("int"))
     return out.withColumn("state", state).drop("_b")
 
@@ -45,7 +45,7 @@ def cusum(panel: DataFrame, x: str, threshold: float, drift: float) -> DataFrame
 
 def transition_matrix(panel: DataFrame, n_states: int, state: str = "state") -> DataFrame:
     """(instrument, from_state, to_state, p): row shares of the steps between rows with a state; rows never left are 0."""
-    known = panel.filter(F.col(state).isNotNull()).withColumn("_p", F.lag(state).over(SERIES))
+    known = panel.filter(F.col(state).isNotNull()).withColumn("_p", F.lag(state).over(by_time()))
     counts = known.filter("_p is not null").groupBy("instrument", F.col("_p").alias("from_state"), F.col(state).alias("to_state")).agg(F.count("*").alias("n"))
     grid = known.select("instrument").distinct().withColumn("from_state", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1)))).withColumn("to_state", F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))))
     full = grid.join(counts, ["instrument", "from_state", "to_state"], "left").fillna(0, ["n"])
@@ -55,8 +55,8 @@ def transition_matrix(panel: DataFrame, n_states: int, state: str = "state") ->
 
 def runs(panel: DataFrame, state: str = "state") -> DataFrame:
     """(instrument, run, state, length) of the runs of equal states; rows without a state are passed over."""
-    known = panel.filter(F.col(state).isNotNull()).withColumn("_n", F.coalesce((F.col(state) != F.lag(state).over(SERIES)).cast("int"), F.lit(0)))
-    numbered = known.withColumn("run", F.sum("_n").over(SERIES.rowsBetween(Window.unboundedPreceding, 0)))
+    known = panel.filter(F.col(state).isNotNull()).withColumn("_n", F.coalesce((F.col(state) != F.lag(state).over(by_time())).cast("int"), F.lit(0)))
+    numbered = known.withColumn("run", F.sum("_n").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("instrument", "run").agg(F.first(state).alias("state"), F.count("*").alias("length"))
 
 
@@ -193,4 +193,4 @@ def hmm(panel: DataFrame, columns: list[str], cfg: HmmConfig = HmmConfig(), mode
 def shift_states(labelled: DataFrame, shift: int, n_states: int) -> DataFrame:
     """States and probabilities moved ``shift`` rows later, so that a row uses only what was known before it."""
     names = ["state", *(f"p_state_{k}" for k in range(n_states))]
-    return labelled.withColumns({c: F.lag(c, shift).over(SERIES) for c in names if c in labelled.columns}) if shift else labelled
+    return labelled.withColumns({c: F.lag(c, shift).over(by_time()) for c in names if c in labelled.columns}) if shift else labelled

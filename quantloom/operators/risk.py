@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import clip
-from quantloom.functions.windows import PREFIX, col, compound, lag, last_rows, rolling, row_number
+from quantloom.functions.windows import col, compound, lag, last_rows, rolling, row_number, up_to_now
 from quantloom.operators import sequential
 from quantloom.operators.features import simple_return
 
@@ -68,13 +68,13 @@ def turnover(position: Column | str) -> Column:
 
 def drawdown(equity: Column | str) -> Column:
     """1 - equity over its running maximum, 0 where that is undefined."""
-    return F.coalesce(1 - F.try_divide(col(equity), F.max(col(equity)).over(PREFIX)), F.lit(0.0))
+    return F.coalesce(1 - F.try_divide(col(equity), F.max(col(equity)).over(up_to_now())), F.lit(0.0))
 
 
 def cooldown(trigger: Column | str, bars: int) -> Column:
     """True on a trigger and on the ``bars`` rows after it."""
     rn = row_number()
-    since = rn - F.last(F.when(col(trigger), rn), ignorenulls=True).over(PREFIX)
+    since = rn - F.last(F.when(col(trigger), rn), ignorenulls=True).over(up_to_now())
     return F.coalesce(since <= max(bars, 0), F.lit(False))
 
 
@@ -136,7 +136,7 @@ def overlay(panel: DataFrame, cfg: RiskConfig = RiskConfig(), start: float = 1.0
     if cfg.guard:
         out = guarded(out, cfg.guard, start=start)
     else:
-        out = out.withColumn("equity_proxy", F.product(1 + F.coalesce("returns", F.lit(0.0))).over(PREFIX)).withColumn("drawdown", F.lit(0.0)).withColumn("guard_active", F.lit(False)).withColumn("guard_scale", F.lit(1.0))
+        out = out.withColumn("equity_proxy", F.product(1 + F.coalesce("returns", F.lit(0.0))).over(up_to_now())).withColumn("drawdown", F.lit(0.0)).withColumn("guard_active", F.lit(False)).withColumn("guard_scale", F.lit(1.0))
     return out.withColumn("position_target", F.coalesce(clip("position", -cfg.max_leverage, cfg.max_leverage), F.lit(0.0))).drop("position")
 
 

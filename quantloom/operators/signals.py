@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import clip
-from quantloom.functions.windows import WHOLE
+from quantloom.functions.windows import by_instrument
 from quantloom.operators.features import momentum, zscore
 
 
@@ -29,7 +29,7 @@ class PositionRule:
         if self.method == "tanh":
             return self.max_leverage * F.tanh(self.k * score)
         if self.method == "scaled_clip":
-            score = F.try_divide(score, F.max(F.abs(score)).over(WHOLE))
+            score = F.try_divide(score, F.max(F.abs(score)).over(by_instrument()))
         return clip(score, -self.max_leverage, self.max_leverage)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import PREFIX, SERIES, WHOLE
+from quantloom.functions.windows import by_instrument, by_time, up_to_now
 
 #: Published critical values of the KPSS statistic for a constant, and their levels.
 KPSS_LINES, KPSS_LEVELS = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
@@ -25,8 +25,8 @@ def kpss_lags(n: int) -> int:
 def kpss(panel: DataFrame, x: str, lags: int) -> DataFrame:
     """(instrument, n, kpss, p_value) around a constant: squared partial sums over the Bartlett long-run variance."""
     rows = panel.filter(F.col(x).isNotNull()).select("instrument", "ts", F.col(x).alias("_x"))
-    rows = rows.withColumn("_e", F.col("_x") - F.avg("_x").over(WHOLE))
-    rows = rows.select("*", F.sum("_e").over(PREFIX).alias("_s"), *[(F.col("_e") * F.lag("_e", k).over(SERIES)).alias(f"_c{k}") for k in range(1, lags + 1)])
+    rows = rows.withColumn("_e", F.col("_x") - F.avg("_x").over(by_instrument()))
+    rows = rows.select("*", F.sum("_e").over(up_to_now()).alias("_s"), *[(F.col("_e") * F.lag("_e", k).over(by_time())).alias(f"_c{k}") for k in range(1, lags + 1)])
     n = F.count("*")
     long_run = F.sum(F.col("_e") * F.col("_e")) / n
     for k in range(1, lags + 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SERIES, lag
+from quantloom.functions.windows import by_time, lag
 from quantloom.operators import backtest, clean, decay, features, risk, sequential, signals
 from quantloom.operators.backtest import BacktestConfig
 from quantloom.operators.features import FeatureConfig
@@ -225,7 +225,7 @@ EARLY = "early as (select * from (select *, row_number() over (partition by inst
 
 
 def early(s, d):
-    return items_panel(s, d).withColumn("i", F.row_number().over(SERIES)).filter("i <= 200").drop("i")
+    return items_panel(s, d).withColumn("i", F.row_number().over(by_time())).filter("i <= 200").drop("i")
 
 
 def recursion(first: str, step: str) -> str:
@@ -251,7 +251,7 @@ def _(s, d):
 
 @query("ewma_time_aware", recursive(ORDERS, EARLY, "rec(instrument, ts, i, y) as (select instrument, ts, i, price from early where i = 1 union all select e.instrument, e.ts, e.i, (1 - exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0)) * e.price + exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0) * rec.y from rec join early e on e.instrument = rec.instrument and e.i = rec.i + 1)", "o as (select instrument, ts, y as price_ewma from rec)", out=final("o", "instrument", "ts:t", "price_ewma:d")))
 def _(s, d):
-    return decay.ewma_by_time(orders_panel(s, d).withColumn("i", F.row_number().over(SERIES)).filter("i <= 200"), "price", 432_000.0)
+    return decay.ewma_by_time(orders_panel(s, d).withColumn("i", F.row_number().over(by_time())).filter("i <= 200"), "price", 432_000.0)
 
 
 @query("position_inertia", recursive(ITEMS, EARLY, recursion("price", "0.5 * e.price + 0.5 * rec.y"), "o as (select instrument, ts, y as position from rec)", out=final("o", "instrument", "ts:t", "position:d")))

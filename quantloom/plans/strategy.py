@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SERIES
+from quantloom.functions.windows import by_time
 from quantloom.operators import backtest, clean, evaluate, features, risk, signals
 from quantloom.operators.backtest import BacktestConfig
 from quantloom.operators.clean import CleanConfig
@@ -66,7 +66,7 @@ def slice_run(bars: DataFrame, start: str | None = None, end: str | None = None,
         out = out.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         out = out.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    return out.withColumn("_k", F.row_number().over(SERIES)).filter((F.col("_k") - 1) % stride == 0).drop("_k")
+    return out.withColumn("_k", F.row_number().over(by_time())).filter((F.col("_k") - 1) % stride == 0).drop("_k")
 
 
 def trace(bars: DataFrame, at: str) -> DataFrame:
