@@ -6,7 +6,7 @@ up to its own, and a lookup probes the levels in turn until one is absent. The p
     (c(pair) + K * p(word)) / (c(first) + K),   p(word) = (c(word) + 0.5) / (N + 0.5 (V + 1)),
 with counts read from the filter. The base score uses exact counts.
 
-The filter is cut into segments by hash, each built by one task and sized to its grams, 12 bits an entry. If all
+The filter is cut into segments by hash, each built by one task and sized to its grams, 8 bits an entry. If all
 segments together stay under ``most_bytes`` they are broadcast; beyond that, the lookups are shuffled to the segments
 and give the same levels. Exact counts are never broadcast as a whole: words that make up at least 1/65536 of all tokens,
 65536 at most, are sent to the workers, and the others are looked up by sending each document's words to the segments.
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from quantloom.llm.base import Scratch, chunks, fold, hash_words, mix64, read_table
 
 STEP = 1.5
-PROBES, BITS = 4, 12
+PROBES, BITS = 4, 8
 SMOOTH = 4.0
 HEAVY = 65_536
 #: A gram is hot if its count is at least the bytes of text over HOT, so at most HOT words and HOT pairs are.
 HOT = 1 << 18
-MOST_BYTES = 160_000_000
+MOST_BYTES = 100_000_000
 #: Text bytes for each segment of the filter.
 SEGMENT_TEXT = 24_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -367,12 +367,15 @@ def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> Data
     small = held <= most_bytes
     shared = None
     if small:
-        rows = table.select("segment", "filter").orderBy("segment").collect()
         sizes = np.zeros(segments, dtype=np.int64)
-        sizes[[r["segment"] for r in rows]] = [len(r["filter"]) for r in rows]
-        joined = np.frombuffer(b"".join(r["filter"] for r in rows), dtype=np.uint8)
-        shared = spark.sparkContext.broadcast((joined, np.cumsum(sizes) - sizes, sizes))
-        del rows, joined
+        for r in table.select("segment", F.octet_length("filter").alias("b")).collect():
+            sizes[r["segment"]] = r["b"]
+        offsets, joined = np.cumsum(sizes) - sizes, np.empty(held, dtype=np.uint8)
+        for r in table.select("segment", "filter").toLocalIterator():  # one segment at a time passes through the driver
+            at = offsets[r["segment"]]
+            joined[at : at + len(r["filter"])] = np.frombuffer(r["filter"], dtype=np.uint8)
+        shared = spark.sparkContext.broadcast((joined, offsets, sizes))
+        del joined
     light = light_sums(keyed, table, heavy, segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
