@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java form of the word rule shared by several operators: runs of anything but space, tab and the four other ASCII white-space bytes.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -78,6 +79,32 @@ def chunks(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         yield begin, out
 
 
+def map_texts(docs: DataFrame, compute: Callable[[list[bytes]], list[pa.Array]], fields: list[tuple[str, T.DataType]], whole: bool) -> DataFrame:
+    """(_keep, _text, fields): what compute finds in each row's text, beside the row itself.
+
+    Without ``whole``, _keep holds doc_id only and _text is NULL. Rows travel inside a struct, so their column names never
+    meet those of the fields.
+    """
+    names = [c for c in docs.columns if c != "text"] if whole else ["doc_id"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_keep"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            asked = pa.RecordBatch.from_arrays([texts.cast(pa.binary())], ["text"])
+            for begin, part in chunks(asked, "text"):
+                back = texts.slice(begin, len(part)) if whole else pa.nulls(len(part), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), back, *compute(part)], schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def whole_rows(mapped: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns of the rows inside a frame of map_texts(whole=True)."""
+    return [F.col("_text").alias("text") if c == "text" else F.col(f"_keep.`{c}`").alias(c) for c in columns]
+
+
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)

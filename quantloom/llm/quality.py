@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quantloom.llm.base import chunks, fold, hash_grams, hash_words, read_table
+from quantloom.llm.base import fold, hash_grams, hash_words, map_texts, read_table, whole_rows
 
 SAMPLE = 12_000
 TREES, DEPTH, LEAST_ROWS, BINS = 30, 3, 20, 32
@@ -85,20 +86,9 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, and STATS of its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, texts in chunks(batch, "_text"):
-                found = statistics(texts)
-                kept = [batch.column(k).slice(begin, len(texts)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[:, k]) for k in range(len(STATS)))], [*keep, *names])
-
-    names = [f"s_{c}" for c in STATS]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{c} double" for c in names)]))
+def with_statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """map_texts() with STATS of each text, as s_<name>."""
+    return map_texts(docs, lambda texts: [pa.array(c) for c in statistics(texts).T.copy()], [(f"s_{c}", T.DoubleType()) for c in STATS], whole)
 
 
 @dataclass(frozen=True)
@@ -211,21 +201,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Rules:
-    sample = labelled_sample(docs, labels, "quality", 5, 0).withColumn("label", F.col("label").cast("double"))
-    rows = with_statistics(sample, ("doc_id", "label")).limit(2 * SAMPLE).toPandas().sort_values(["doc_id", "s_words", "s_length"])
-    return fit_rules(rows[[f"s_{c}" for c in STATS]].to_numpy(), rows["label"].to_numpy())
+    sample = labelled_sample(docs, labels, "quality", 5, 0)
+    stats = with_statistics(sample, whole=True).select("_keep.doc_id", F.col("_keep.label").cast("double").alias("label"), *[f"s_{c}" for c in STATS])
+    rows = stats.limit(2 * SAMPLE).toPandas().sort_values(["doc_id", "s_words", "s_length"])
+    return fit_rules(rows[[f"s_{c}" for c in STATS]].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))
 
 
 def score(docs: DataFrame, rules: Rules) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
-    out = with_statistics(docs).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), rules.column().alias("score"))
+    doc_id = F.col("_keep.doc_id")
+    out = with_statistics(docs).select(doc_id.alias("doc_id"), (fold(doc_id, 5) == 0).alias("held_out"), rules.column().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, rules: Rules) -> DataFrame:
     """The rows of docs that are predicted to be good, unchanged."""
-    names = tuple(docs.columns)
-    return with_statistics(docs, names).filter(rules.column() >= THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    return with_statistics(docs, whole=True).filter(rules.column() >= THRESHOLD).select(*whole_rows(docs, docs.columns))
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:

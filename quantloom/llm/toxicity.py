@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quantloom.llm.base import chunks, fold, read_table
+from quantloom.llm.base import chunks, fold, map_texts, read_table, whole_rows
 from quantloom.llm.quality import SAMPLE, labelled_sample
 
 TERMS = 4000
@@ -228,32 +229,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     return fit_linear(found, model.posterior(votes), terms)
 
 
-def with_scores(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, and the score of its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder({t: k for k, t in enumerate(model.terms)})
-        for batch in batches:
-            for begin, texts in chunks(batch, "_text"):
-                found = model.scores([finder(t.decode("utf-8", "replace")) for t in texts])
-                kept = [batch.column(k).slice(begin, len(texts)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*keep, "_score"])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "_score double"]))
+def with_scores(docs: DataFrame, model: Classifier, whole: bool = False) -> DataFrame:
+    """map_texts() with the score of each text."""
+    finder = Finder({t: k for k, t in enumerate(model.terms)})
+    return map_texts(docs, lambda texts: [pa.array(model.scores([finder(t.decode("utf-8", "replace")) for t in texts]), pa.float64())], [("_score", T.DoubleType())], whole)
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
-    out = with_scores(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"))
+    doc_id = F.col("_keep.doc_id")
+    out = with_scores(docs, model).select(doc_id.alias("doc_id"), (fold(doc_id, 3) == 1).alias("held_out"), F.col("_score").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of docs that are not predicted to be toxic, unchanged."""
-    names = tuple(docs.columns)
-    return with_scores(docs, model, names).filter(F.col("_score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in names])
+    return with_scores(docs, model, whole=True).filter(F.col("_score") < THRESHOLD).select(*whole_rows(docs, docs.columns))
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

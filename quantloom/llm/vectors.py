@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By dimension: row numbers and a double matrix of the vectors that are not NULL and hold finite numbers only."""
     column = column.cast(pa.list_(pa.float64()))
-    lengths = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
+    lengths = np.array([-1 if x is None else x for x in pc.list_value_length(column).to_pylist()], dtype=np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # NULL components become NaN
     kept = np.flatnonzero(lengths >= 0)
     starts = np.zeros(len(lengths), dtype=np.int64)
