@@ -261,7 +261,7 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
                 index = np.frombuffer(batch.column(2)[i].as_py(), dtype="<u4").astype(np.int64)
                 keys = np.frombuffer(batch.column(3)[i].as_py(), dtype="<i8")
                 c = _look_up(words, counts, hashes)
-                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys))
+                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys)).astype(np.float64)
                 known = np.bincount(index[c > 0], minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(known)], ["key", "part", "known"])
 
@@ -280,7 +280,7 @@ def _rows(batch: pa.RecordBatch, begin: int, texts: list[bytes], heavy, filters,
     words = tokens[inner]
     c = _look_up(*heavy, words)
     found = c >= 0
-    part = np.bincount(owner[found], weights=np.log10(c[found] + 0.5), minlength=len(texts))
+    part = np.bincount(owner[found], weights=np.log10(c[found] + 0.5), minlength=len(texts)).astype(np.float64)
     known = np.bincount(owner[found], minlength=len(texts)).astype(np.int64)
     out = [pa.array(lengths), pa.array(part), pa.array(known)]
     if filters is not None:

@@ -119,9 +119,10 @@ class SortedLists:
         x = [[int(v) for v in row] for row in self.x.tolist()]
         for query, row in zip(query_ids.tolist(), q.tolist(), strict=True):
             own = [int(v) for v in row]
-            found = [(sum(a * b for a, b in zip(own, y, strict=True)), i) for i, y in zip(self.ids.tolist(), x, strict=True) if i != query]
+            within = lambda v: min(max(v, -(2**63)), 2**63 - 1)
+            found = [(within(sum(a * b for a, b in zip(own, y, strict=True))), i) for i, y in zip(self.ids.tolist(), x, strict=True) if i != query]
             best = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
-            yield query, np.array([f[1] for f in best], dtype=np.int64), np.array([min(max(f[0], -(2**63)), 2**63 - 1) for f in best], dtype=np.int64)
+            yield query, np.array([f[1] for f in best], dtype=np.int64), np.array([f[0] for f in best], dtype=np.int64)
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, number: int) -> DataFrame:
