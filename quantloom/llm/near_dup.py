@@ -195,13 +195,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 2048) -> Da
     keys = ("n_shingles", "f1", "f2")
     full = base.filter("doc_id is not null and n_shingles > 0")
     nodes = scratch.write(full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
-    own = full.select(F.col("doc_id").alias("u"), *keys).join(nodes.select("node", *keys), list(keys)).select("u", F.col("node").alias("v")).filter("u <> v")
+    # only the nodes of a doc_id that stands on unlike texts need a link; copies find their component by fingerprint
+    held = full.select("doc_id", *keys).join(nodes.select("node", *keys), list(keys)).groupBy("doc_id").agg(F.collect_set("node").alias("all"))
+    own = held.filter("size(all) > 1").select(F.col("doc_id").alias("u"), F.explode("all").alias("v"))
     found = candidate_clusters(nodes.select("node", "sketch"), scratch)
     clusters = scratch.write(found.join(nodes.select("node", "n_shingles"), "node"))
     linked = verified_links(docs, clusters, percent, block)
     labels = scratch.write(components(linked.unionByName(own), scratch))
-    out = base.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    named = nodes.select("node", *keys).join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
+    out = base.select("doc_id", *keys).join(named, list(keys), "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
