@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions import chunks
 from quantloom.functions.windows import by_time, lag
 from quantloom.operators import backtest, clean, decay, features, risk, sequential, signals
 from quantloom.operators.backtest import BacktestConfig
@@ -139,6 +140,17 @@ def _(s, d):
     return feature_panel(s, d)
 
 
+@query("feature_matrix_chunked", sql(ITEMS, RETURNS, FEATURES, out=final("feats", "instrument", "ts:t", *(f"{c}:d" for c in NAMES))))
+def _(s, d):
+    return chunks.in_chunks(items_panel(s, d), lambda p: features.build_features(p, SMALL), 30, 500, 30 * 86_400)
+
+
+@query("running_turnover", sql(ITEMS, RETURNS, f"o as (select *, sum(coalesce(abs(s), 0)) {over(PREFIX)} as total from ret)", out=final("o", "instrument", "ts:t", "total:d")))
+def _(s, d):
+    moved = items_panel(s, d).select("instrument", "ts", F.coalesce(F.abs(features.simple_return()), F.lit(0.0)).alias("move"))
+    return chunks.running_sum(moved, "move", "total", 30 * 86_400).select("instrument", "ts", "total")
+
+
 FIT = f"fit as (select *, case when count(price) {over(last(20))} >= 20 then regr_slope(ln(price), rn) {over(last(20))} end as slope_20, case when count(price) {over(last(20))} >= 20 then case when var_pop(ln(price)) {over(last(20))} = 0 then 0 else regr_r2(ln(price), rn) {over(last(20))} end end as r2_20 from ret)"
 
 

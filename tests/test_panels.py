@@ -95,6 +95,20 @@ def test_warm_up_and_no_lookahead(spark):
         assert near(values(full, c)[: 15 - cfg.warm_up()], values(changed, c)[: 15 - cfg.warm_up()])
 
 
+@pytest.mark.parametrize("rows", [9, 10, 40])
+def test_chunks_change_nothing(spark, rows):
+    from quantloom.functions import chunks
+
+    rng = np.random.default_rng(8)
+    df = series(spark, price=np.exp(rng.normal(size=50).cumsum() * 0.1)).unionByName(series(spark, instrument="b", price=range(1, 14)))
+    cfg = features.FeatureConfig((2, 3), (2,), (2,), 1)
+    f = lambda p: features.build_features(p, cfg)
+    whole, cut = f(df).orderBy("instrument", "ts").collect(), chunks.in_chunks(df, f, 9, rows, 7 * 86_400).orderBy("instrument", "ts").collect()
+    assert [r[:2] for r in whole] == [r[:2] for r in cut] and all(near(list(a[2:]), list(b[2:]), 1e-12) for a, b in zip(whole, cut, strict=True))
+    with pytest.raises(ValueError):
+        chunks.in_chunks(df, f, 9, 5)
+
+
 def test_one_series_does_not_touch_another(spark):
     a, b = series(spark, price=[1, 2, 3, 5, 8, 13]), series(spark, instrument="b", price=[5, 4, 5, 4, 5, 4])
     f = lambda df: features.regime_features(df, (3,))
