@@ -112,7 +112,8 @@ def sample_events(pages: DataFrame) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages").select("page_id", "url")
-    return filter_captures(sample_captures(pages), sample_events(pages), id_col="page_id")
+    judged = filter_captures(sample_captures(pages), sample_events(pages), id_col="page_id")
+    return judged.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 ORACLE = r"""
@@ -143,7 +144,7 @@ ranked as (select *, row_number() over (partition by page_id, url, day order by
   count(*) over (partition by page_id, url, day) as n from met),
 hits as (select page_id, url, day, key, category from ranked where r = 1),
 counted as (select page_id, url, day, count(distinct key) as n_active from met group by all)
-select c.page_id, c.url, c.day, h.key is not null as blocked, cast(coalesce(n.n_active, 0) as bigint) as n_active, h.key, h.category
+select c.page_id, c.url, strftime(c.day, '%Y-%m-%d') as day, h.key is not null as blocked, cast(coalesce(n.n_active, 0) as bigint) as n_active, h.key, h.category
 from captures c
 left join hits h on h.page_id = c.page_id and h.url = c.url and h.day = c.day
 left join counted n on n.page_id = c.page_id and n.url = c.url and n.day = c.day
