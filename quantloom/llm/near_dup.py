@@ -41,7 +41,7 @@ MARGIN = 0.15
 #: Shingles of a block at most, but for one longer document, and shingles held as Python sets at a time.
 BLOCK_SHINGLES, HELD = 2_000_000, 1_000_000
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_TURN, _STIR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
+TURN, STIR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -60,7 +60,7 @@ def sketch(members: np.ndarray) -> np.ndarray:
     """The registers of a set of hashes; those of an empty set are 0."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max)
     for i in range(0, len(members), 2048):
-        least = np.minimum(least, ((members[i : i + 2048, None] ^ _STIR) * _TURN).min(axis=0))
+        least = np.minimum(least, ((members[i : i + 2048, None] ^ STIR) * TURN).min(axis=0))
     if not len(members):
         return np.zeros(REGISTERS, dtype="<u2")
     x = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 1e-16)) / RATE

@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, and a linear classifier.
 
-1. Terms, words and word beginnings of three to seven letters, are counted over labelled documents in Spark; those that
+1. Of near-copies among the labelled documents one is kept. Terms, words and word beginnings of three to seven letters, are counted over labelled documents in Spark; those that
    are much commoner in toxic than in clean documents become voters: the strongest terms each by itself, the others in lexicons
    of words and groups of patterns. A voter fires on a document that holds one of its terms.
 2. In the label model each voter fires with one probability on toxic and another on clean documents, and that none
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.base import chunks, fold, map_texts, read_table, whole_rows
+from quantloom.llm.base import Scratch, chunks, fold, map_texts, read_table, whole_rows
+from quantloom.llm.near_dup import STIR, TURN, shingle_sets
 from quantloom.llm.quality import SAMPLE, labelled_sample
 
 TERMS = 4000
@@ -41,6 +42,8 @@ STEMS = (3, 4, 5, 6, 7)
 #: the logarithm of the labelled documents, as more documents bring more terms that stand out by chance.
 LEAST_TOXIC, LEAST_RATIO = 3, 5.0
 SINGLE, LEXICONS = 160, 8
+#: Least shingle hashes by which near-copies among the labelled documents are told.
+FAMILY = 8
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -200,8 +203,33 @@ def fit_linear(found: list[list[int]], target: np.ndarray, terms: list[str], rid
     return Classifier(tuple(terms), w, float(b))
 
 
+def one_of_each_family(sample: DataFrame) -> DataFrame:
+    """The labelled documents but for those that share a least shingle hash with one of smaller hash of id before them.
+
+    Near-copies carry the same rare words, which would otherwise stand out by chance. At most SAMPLE rows of eight numbers
+    reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in chunks(batch, "text"):
+                least = [((s[:, None] ^ STIR[:FAMILY]) * TURN[:FAMILY]).min(axis=0).view(np.int64) if len(s) else np.empty(0, np.int64) for s in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))], ["doc_id", "least"])
+
+    rows = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, least array<long>").withColumn("h", F.xxhash64("doc_id"))
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for r in sorted(rows.limit(2 * SAMPLE).collect(), key=lambda r: (r["h"], r["doc_id"], r["least"])):
+        keys = set(enumerate(r["least"]))
+        if not keys & seen:
+            kept.append((r["doc_id"],))
+        seen |= keys
+    ids = sample.sparkSession.createDataFrame(kept, "doc_id long").distinct()
+    return sample.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    sample = labelled_sample(docs, labels, "toxic", 3, 1)
+    sample = one_of_each_family(Scratch(docs.sparkSession).write(labelled_sample(docs, labels, "toxic", 3, 1)))
     terms = mine_terms(sample)
     finder = Finder({t: k for k, t in enumerate(terms)})
 
