@@ -245,7 +245,7 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
                     part = order[cuts[s] : cuts[s + 1]]
                     rows, index = np.unique(owner[part], return_inverse=True)
                     blobs = grams[part].tobytes(), index.astype("<u4").tobytes(), row_keys[begin + rows].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "hashes", "counts", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row_keys[begin]], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "chunk", "hashes", "counts", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -254,21 +254,44 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
                 segment = batch.column(0)[i].as_py()
                 if segment != now:
                     now, words, counts = segment, np.empty(0, np.uint64), np.empty(0, np.int64)
-                hashes = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u8")
-                if batch.column(3)[i].as_py() is None:
-                    words, counts = hashes, np.frombuffer(batch.column(2)[i].as_py(), dtype="<i8")
+                hashes = np.frombuffer(batch.column(2)[i].as_py(), dtype="<u8")
+                if batch.column(4)[i].as_py() is None:
+                    words, counts = hashes, np.frombuffer(batch.column(3)[i].as_py(), dtype="<i8")
                     continue
-                index = np.frombuffer(batch.column(2)[i].as_py(), dtype="<u4").astype(np.int64)
-                keys = np.frombuffer(batch.column(3)[i].as_py(), dtype="<i8")
+                index = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u4").astype(np.int64)
+                keys = batch.column(4)[i].as_py()
                 c = _look_up(words, counts, hashes)
-                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys)).astype(np.float64)
-                known = np.bincount(index[c > 0], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(known)], ["key", "part", "known"])
+                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys) // 8).astype("<f8")
+                known = np.bincount(index[c > 0], minlength=len(keys) // 8).astype("<i8")
+                blobs = keys, part.tobytes(), known.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "keys", "parts", "known"])
 
-    asked = keyed.select("key", "text").mapInArrow(send, "segment int, hashes binary, counts binary, keys binary")
-    known = table.select("segment", F.col("words").alias("hashes"), F.col("word_counts").alias("counts"), F.lit(None).cast("binary").alias("keys"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The answers of all segments for one chunk of rows come together; one row for each key goes on."""
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([np.frombuffer(h[0], dtype="<i8") for h in held]), return_inverse=True)
+            part = np.bincount(at, weights=np.concatenate([np.frombuffer(h[1], dtype="<f8") for h in held]))
+            known = np.bincount(at, weights=np.concatenate([np.frombuffer(h[2], dtype="<i8") for h in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(known)], ["key", "part", "known"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, *blobs = (batch.column(k)[i].as_py() for k in range(4))
+                if chunk != now:
+                    if held:
+                        yield done()
+                    now, held = chunk, []
+                held.append(blobs)
+        if held:
+            yield done()
+
+    asked = keyed.select("key", "text").mapInArrow(send, "segment int, chunk long, hashes binary, counts binary, keys binary")
+    known = table.select("segment", F.lit(0).cast("long").alias("chunk"), F.col("words").alias("hashes"), F.col("word_counts").alias("counts"), F.lit(None).cast("binary").alias("keys"))
     met = known.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.col("keys").isNotNull())
-    return met.mapInArrow(answer, "key long, part double, known long").groupBy("key").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
+    answers = met.mapInArrow(answer, "chunk long, keys binary, parts binary, known binary").repartition("chunk").sortWithinPartitions("chunk")
+    return answers.mapInArrow(gather, "key long, part double, known long").groupBy("key").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
 
 
 def _rows(batch: pa.RecordBatch, begin: int, texts: list[bytes], heavy, filters, n: int, v: int):
