@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import evaluate, features, information, meta, regimes, stationarity
-from quantloom.plans import strategy
+from quantloom.plans import reports, strategy
 from quantloom.plans.queries_bars import REGIME_FEATURES, bar_panel, feature_panel
 from quantloom.plans.registry import query
 from quantloom.plans.sql import BARS, FEATURES, ITEMS, KEYS, LONG, MARKET, ORDERS, POSITIONS, PREFIX, RANKED, RETURNS, binned, corr, final, mi_table, normal_cdf, normal_ppf, over, roll
@@ -491,3 +491,43 @@ for _policy, _edge, _go, _size in (
 @query("meta_summary", sql(*L, SCORED, "a as (select *, case when z_mom_5 <> 0 and p - 0.55 >= 0 then 1 else 0 end as action from sc), o as (select instrument, avg(p) as p_mean, stddev_pop(p) as p_std, sum(action) as n_follow, sum(1 - action) as n_skip, sum(action) as n_sized from a group by 1)", out=final("o", "instrument", "p_mean:d", "p_std:d", "n_follow:i", "n_skip:i", "n_sized:i")))
 def _(s, d):
     return strategy.meta_summary(meta.decide(scored(s, d), "threshold", 0.55, signal="z_mom_5"))
+
+
+def research_panel(s, d):
+    """Features with price, returns and a signal on the same rows."""
+    prices = items_panel(s, d).withColumn("returns", features.log_return())
+    return feature_panel(s, d).join(prices, ["instrument", "ts"]).withColumn("signal", F.col("z_mom_5"))
+
+
+@query("evaluation_report")
+def _(s, d):
+    market = simple(s, d, market_panel).select("ts", F.col("s").alias("benchmark"))
+    report = reports.evaluate_strategy(bar_panel(s, d), benchmark=market)
+    joined = report.metrics
+    for part in (report.distribution, report.stability, report.hac.drop("sharpe"), report.benchmark, report.robustness.select("instrument", "psr", "dsr")):
+        joined = joined.join(part, "instrument")
+    return joined
+
+
+@query("information_report")
+def _(s, d):
+    rows = research_panel(s, d).withColumn("regime", (F.col("returns") > 0).cast("int"))
+    cfg = reports.InformationConfig(horizon=3, te_runs=16, te_top=2)
+    return reports.information_report(rows, ["mom_5", "rv_5", "z_mom_5"], signal="signal", regime="regime", live=feature_panel(s, d), cfg=cfg).summary
+
+
+@query("regime_report")
+def _(s, d):
+    return reports.infer_regimes(items_panel(s, d), reports.RegimeConfig(calibrate_to="1996-12-31", output_shift=1)).states
+
+
+@query("meta_model")
+def _(s, d):
+    cfg = reports.MetaConfig(horizon=3, folds=3)
+    rows = research_panel(s, d)
+    return reports.predict_meta_model(reports.fit_meta_model(rows, ["mom_5", "rv_5"], cfg=cfg), rows, cfg=cfg)
+
+
+@query("future_usage", sql(*L, "f as (select instrument, max(ts) as last_feature from feats group by 1), y as (select instrument, max(ts) as last_target from fw where y is not null group by 1), o as (select instrument, last_feature, last_target, coalesce(last_feature > last_target, true) as warning from f left join y using (instrument))", out=final("o", "instrument", "last_feature:t", "last_target:t", "warning")))
+def _(s, d):
+    return reports.future_usage(feature_panel(s, d), long_panel(s, d).filter("y is not null"))
