@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions import chunks
-from quantloom.functions.windows import by_time, lag
+from quantloom.functions.windows import lag
 from quantloom.operators import backtest, clean, decay, features, risk, sequential, signals
 from quantloom.operators.backtest import BacktestConfig
 from quantloom.operators.features import FeatureConfig
@@ -232,48 +232,44 @@ for _kind, _n in (("linear", 10), ("power", 10), ("step", 10)):
     _sum = " + ".join(f"coalesce({lagged('price', k) if k else 'price'}, 0) * {_w[_n - 1 - k]!r}" for k in range(_n))
     query(f"kernel_{_kind}", sql(ITEMS, f"o as (select *, case when count(price) {over(last(_n))} >= {_n} then {_sum} end as v from panel)", out=final("o", "instrument", "ts:t", "v:d")))(lambda s, d, w=_w: items_panel(s, d).select("instrument", "ts", decay.kernel_mean("price", w).alias("v")))
 
-#: Recursions in SQL run on the first 200 bars of each instrument, and so do their queries' series.
-EARLY = "early as (select * from (select *, row_number() over (partition by instrument order by ts) as i from panel) where i <= 200)"
-
-
-def early(s, d):
-    return items_panel(s, d).withColumn("i", F.row_number().over(by_time())).filter("i <= 200").drop("i")
+#: Recursions in SQL step through numbered bars.
+STEPS = "steps as (select *, row_number() over (partition by instrument order by ts) as i from panel)"
 
 
 def recursion(first: str, step: str) -> str:
-    return f"rec(instrument, ts, i, y) as (select instrument, ts, i, {first} from early where i = 1 union all select e.instrument, e.ts, e.i, {step} from rec join early e on e.instrument = rec.instrument and e.i = rec.i + 1)"
+    return f"rec(instrument, ts, i, y) as (select instrument, ts, i, {first} from steps where i = 1 union all select e.instrument, e.ts, e.i, {step} from rec join steps e on e.instrument = rec.instrument and e.i = rec.i + 1)"
 
 
 def recursive(*ctes: str, out: str) -> str:
     return "with recursive " + ",\n".join(ctes) + "\n" + out
 
 
-EWMA = recursive(ITEMS, EARLY, recursion("price", "0.2 * e.price + 0.8 * rec.y"), "o as (select instrument, ts, y as price_ewma from rec)", out=final("o", "instrument", "ts:t", "price_ewma:d"))
+EWMA = recursive(ITEMS, STEPS, recursion("price", "0.2 * e.price + 0.8 * rec.y"), "o as (select instrument, ts, y as price_ewma from rec)", out=final("o", "instrument", "ts:t", "price_ewma:d"))
 
 
 @query("ewma", EWMA)
 def _(s, d):
-    return decay.ewma(early(s, d), "price", 0.2)
+    return decay.ewma(items_panel(s, d), "price", 0.2)
 
 
 @query("ewma_frame", EWMA)
 def _(s, d):
-    return early(s, d).select("instrument", "ts", decay.ewma_frame("price", 0.2).alias("price_ewma"))
+    return items_panel(s, d).select("instrument", "ts", decay.ewma_frame("price", 0.2).alias("price_ewma"))
 
 
-@query("ewma_time_aware", recursive(ORDERS, EARLY, "rec(instrument, ts, i, y) as (select instrument, ts, i, price from early where i = 1 union all select e.instrument, e.ts, e.i, (1 - exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0)) * e.price + exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0) * rec.y from rec join early e on e.instrument = rec.instrument and e.i = rec.i + 1)", "o as (select instrument, ts, y as price_ewma from rec)", out=final("o", "instrument", "ts:t", "price_ewma:d")))
+@query("ewma_time_aware", recursive(ORDERS, STEPS, "rec(instrument, ts, i, y) as (select instrument, ts, i, price from steps where i = 1 union all select e.instrument, e.ts, e.i, (1 - exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0)) * e.price + exp(-ln(2) * (epoch(e.ts) - epoch(rec.ts)) / 432000.0) * rec.y from rec join steps e on e.instrument = rec.instrument and e.i = rec.i + 1)", "o as (select instrument, ts, y as price_ewma from rec)", out=final("o", "instrument", "ts:t", "price_ewma:d")))
 def _(s, d):
-    return decay.ewma_by_time(orders_panel(s, d).withColumn("i", F.row_number().over(by_time())).filter("i <= 200"), "price", 432_000.0)
+    return decay.ewma_by_time(orders_panel(s, d), "price", 432_000.0)
 
 
-@query("position_inertia", recursive(ITEMS, EARLY, recursion("price", "0.5 * e.price + 0.5 * rec.y"), "o as (select instrument, ts, y as position from rec)", out=final("o", "instrument", "ts:t", "position:d")))
+@query("position_inertia", recursive(ITEMS, STEPS, recursion("price", "0.5 * e.price + 0.5 * rec.y"), "o as (select instrument, ts, y as position from rec)", out=final("o", "instrument", "ts:t", "position:d")))
 def _(s, d):
-    return decay.inertia(early(s, d), "price", 1.0)
+    return decay.inertia(items_panel(s, d), "price", 1.0)
 
 
-@query("turnover_cap", recursive(ITEMS, EARLY, recursion("price", "rec.y + least(greatest(e.price - rec.y, -50.0), 50.0)"), "o as (select instrument, ts, y as price from rec)", out=final("o", "instrument", "ts:t", "price:d")))
+@query("turnover_cap", recursive(ITEMS, STEPS, recursion("price", "rec.y + least(greatest(e.price - rec.y, -50.0), 50.0)"), "o as (select instrument, ts, y as price from rec)", out=final("o", "instrument", "ts:t", "price:d")))
 def _(s, d):
-    return risk.cap_turnover(early(s, d), 50.0, "price")
+    return risk.cap_turnover(items_panel(s, d), 50.0, "price")
 
 
 @query("ar1_half_life", sql(ITEMS, f"p as (select instrument, price as a, {lagged('price')} as b from panel)", "q as (select instrument, covar_pop(a, b) / nullif(var_pop(b), 0) as phi from p where b is not null group by 1)", "o as (select *, case when phi > 0 and phi < 1 then -ln(2) / ln(phi) end as half_life from q)", out=final("o", "instrument", "phi:d", "half_life:d")))
@@ -421,16 +417,16 @@ def _(s, d):
     return strategy.ingest_report(hourly(s, d))[1]
 
 
-@query("cusum", recursive(ITEMS, EARLY, f"x as (select instrument, ts, i, coalesce(ln(price) - lag(ln(price)) over ({W}), 0) as v from early)", "rec(instrument, ts, i, up, down, flag) as (select instrument, ts, i, 0.0::double, 0.0::double, 0 from x where i = 1 union all select instrument, ts, i, case when a > 0.8 or b < -0.8 then 0.0 else a end, case when a > 0.8 or b < -0.8 then 0.0 else b end, case when a > 0.8 or b < -0.8 then 1 else 0 end from (select x.instrument, x.ts, x.i, greatest(0.0, rec.up + x.v - 0.02) as a, least(0.0, rec.down + x.v + 0.02) as b from rec join x on x.instrument = rec.instrument and x.i = rec.i + 1))", out=final("rec", "instrument", "ts:t", "flag:i")))
+@query("cusum", recursive(ITEMS, STEPS, f"x as (select instrument, ts, i, coalesce(ln(price) - lag(ln(price)) over ({W}), 0) as v from steps)", "rec(instrument, ts, i, up, down, flag) as (select instrument, ts, i, 0.0::double, 0.0::double, 0 from x where i = 1 union all select instrument, ts, i, case when a > 0.8 or b < -0.8 then 0.0 else a end, case when a > 0.8 or b < -0.8 then 0.0 else b end, case when a > 0.8 or b < -0.8 then 1 else 0 end from (select x.instrument, x.ts, x.i, greatest(0.0, rec.up + x.v - 0.02) as a, least(0.0, rec.down + x.v + 0.02) as b from rec join x on x.instrument = rec.instrument and x.i = rec.i + 1))", out=final("rec", "instrument", "ts:t", "flag:i")))
 def _(s, d):
     from quantloom.operators import regimes
 
-    return regimes.cusum(early(s, d).withColumn("v", features.log_return()), "v", 0.8, 0.02)
+    return regimes.cusum(items_panel(s, d).withColumn("v", features.log_return()), "v", 0.8, 0.02)
 
 
-@query("sequential_passthrough", sql(ITEMS, EARLY, out=final("early", "instrument", "ts:t", "price:d")))
+@query("sequential_passthrough", sql(ITEMS, STEPS, out=final("steps", "instrument", "ts:t", "price:d")))
 def _(s, d):
-    return sequential.run_kernel(early(s, d), ["price"], ["price"], lambda v: (v,), keep=("instrument", "ts"))
+    return sequential.run_kernel(items_panel(s, d), ["price"], ["price"], lambda v: (v,), keep=("instrument", "ts"))
 
 
 @query("feature_shift", sql(ITEMS, RETURNS, FEATURES, f"o as (select instrument, ts, {lagged('z_mom_5', 2)} as z from feats)", out=final("o", "instrument", "ts:t", "z:d")))

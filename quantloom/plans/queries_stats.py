@@ -156,8 +156,8 @@ def _(s, d):
 
 
 SPEARMAN_ROLL = (
-    f"fr as (select *, row_number() over (partition by {KEYS} order by ts) as i from long where feature = 'mom_5' and x is not null and y is not null), "
-    "w as (select a.instrument, a.feature, a.ts, a.i, b.x, b.y from fr a join fr b on a.instrument = b.instrument and a.feature = b.feature and b.i between a.i - 19 and a.i where a.i >= 20 and a.i <= 300), "
+    f"fr as (select *, row_number() over (partition by {KEYS} order by ts) as i from long where x is not null and y is not null), "
+    "w as (select a.instrument, a.feature, a.ts, a.i, b.x, b.y from fr a join fr b on a.instrument = b.instrument and a.feature = b.feature and b.i between a.i - 19 and a.i where a.i >= 20), "
     "k as (select *, rank() over (partition by instrument, feature, i order by x) + (count(*) over (partition by instrument, feature, i, x) - 1) / 2.0 as rx, rank() over (partition by instrument, feature, i order by y) + (count(*) over (partition by instrument, feature, i, y) - 1) / 2.0 as ry from w), "
     f"o as (select {KEYS}, ts, {corr('rx', 'ry')} as ic from k group by all)"
 )
@@ -165,8 +165,7 @@ SPEARMAN_ROLL = (
 
 @query("ic_rolling_spearman", sql(*L, SPEARMAN_ROLL, out=final("o", "instrument", "feature", "ts:t", "ic:d")))
 def _(s, d):
-    rows = information.complete(long_panel(s, d)).filter("feature = 'mom_5'").withColumn("i", F.row_number().over(Window.partitionBy("instrument", "feature").orderBy("ts")))
-    return information.ic_rolling(rows.filter("i <= 300"), 20, "spearman")
+    return information.ic_rolling(long_panel(s, d), 20, "spearman")
 
 
 NW = (
