@@ -412,8 +412,7 @@ def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> Data
     own = keyed.mapInArrow(run, f"doc_id {kind}, held_out boolean, key long, n_tokens long, part double, known long" + ", score double" * small)
     if not small:
         own = own.join(shuffled_scores(keyed, table, segments, n, v), "key", "left")
-    own = own.withColumn("copies", F.count("*").over(Window.partitionBy("key")))
-    shrink = 1.0 if small else F.col("copies")
+    own = own.withColumn("copies", F.count("*").over(Window.partitionBy("key")))  # light_sums adds up all copies of a row
     joined = own.alias("o").join(light.alias("l"), "key", "left")
     part = F.col("o.part") + F.coalesce("l.part", F.lit(0.0)) / F.col("copies")
     return joined.select(
@@ -423,7 +422,7 @@ def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> Data
         (F.col("o.known") + F.coalesce(F.col("l.known") / F.col("copies"), F.lit(0.0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (part - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-        (F.col("score") / shrink).alias("score"),
+        "score",
     )
 
 

@@ -156,6 +156,13 @@ def test_shuffled_lookups_give_the_broadcast_scores(small):
     assert (a - b).abs().max() < 1e-9
 
 
+def test_repeated_rows_score_alike_on_both_paths(spark, small):
+    frame = small.unionByName(small.filter("doc_id % 3 = 0")).unionByName(small.filter("doc_id % 6 = 0")).select("doc_id", "text")
+    a, b = (sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_score.score(frame, most_bytes=m, hot=4000).collect()) for m in (10**8, 0))
+    assert len(a) == frame.count() > small.count() and [r[0] for r in a] == [r[0] for r in b]
+    assert np.abs(np.array(a)[:, 1:] - np.array(b)[:, 1:]).max() < 1e-9
+
+
 def test_scores_of_no_rows_and_of_no_training_rows(spark, no_docs):
     assert lm_score.score(no_docs).count() == 0
     held = next(i for i in range(50) if brute.fold(i, 5) == 1)
