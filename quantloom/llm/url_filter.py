@@ -8,6 +8,7 @@ by the entries whose interval holds its fetch day, [from, until), over all keys
 The list is packed into one row for each key before the join, so a capture meets each of its keys once however often
 the list changed; captures keep their own rows, so one hot host only makes a hot key of the join, which adaptive
 execution splits. Lists of at most ``broadcast_keys`` keys, counted first, are broadcast; longer ones are shuffled.
+A capture's keys reach down to its full depth, or to the greatest depth in the list if that is less.
 
 Defined cases: a NULL or unparsable URL or a NULL day is matched by nothing and kept (blocked = false); repeated
 events count once; several events of a key and category on one day: 'remove' wins; NULL keys or days in the list are
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.base import read_table
 
-PREFIX_DEPTH = 2
-
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dots; NULL if there is none."""
@@ -38,14 +37,19 @@ def path_of(url: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1))
 
 
-def keys_of(url: Column) -> Column:
-    """All list keys that a URL answers to: its host and parent domains, alone and with up to two path prefixes."""
+def keys_of(url: Column, deepest: int | None = None, root: bool = False) -> Column:
+    """All list keys that a URL answers to: its host and parent domains, alone and with each path prefix.
+
+    Prefixes of more than ``deepest`` folders are left out, as the caller knows that no list key has more; ``root`` adds
+    the bare slash.
+    """
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
     hosts = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array(host_of(url)))
     steps = F.split(path_of(url), "/")
-    depth = F.least(F.size(steps) - 2, F.lit(PREFIX_DEPTH))
-    prefixes = F.when(depth >= 1, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i + 1), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    depth, least = F.size(steps) - 2, F.lit(0 if root else 1)
+    depth = depth if deepest is None else F.least(depth, F.lit(deepest))
+    prefixes = F.when(depth >= least, F.transform(F.sequence(least, F.greatest(depth, least)), lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i + 1), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     ends = F.concat(F.array(F.lit("")), prefixes)
     return F.when(host_of(url).isNotNull(), F.flatten(F.transform(hosts, lambda h: F.transform(ends, lambda e: F.concat(h, e)))))
 
@@ -65,10 +69,12 @@ def filter_captures(captures: DataFrame, events: DataFrame, *, id_col: str, url_
     """(id, url, day, blocked, n_active, key, category) for each capture; key: the longest active one, then the first category."""
     spans = validity(events)
     packed = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("category", "valid_from", "valid_until"))).alias("spans"))
-    if packed.limit(broadcast_keys + 1).count() <= broadcast_keys:
+    folders = F.length("key") - F.length(F.replace("key", F.lit("/"))) - 1
+    facts = packed.agg(F.count("*").alias("keys"), F.max(folders).alias("deepest"), F.max(F.col("key").endswith("/") & (folders == 0)).alias("root")).first()
+    if facts["keys"] <= broadcast_keys:
         packed = F.broadcast(packed)
     base = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(day_col).alias("_day"))
-    asked = base.withColumn("_key", F.explode(keys_of(F.col("_url"))))
+    asked = base.withColumn("_key", F.explode(keys_of(F.col("_url"), max(facts["deepest"] or 0, 0), bool(facts["root"]))))
     active = F.filter("spans", lambda s: (s.valid_from <= F.col("_day")) & (s.valid_until.isNull() | (F.col("_day") < s.valid_until)))
     met = asked.join(packed, F.col("_key") == F.col("key")).withColumn("_active", active).filter(F.size("_active") > 0)
     top = F.struct(F.length("key").alias("long"), F.col("key"), F.transform("_active", lambda s: s.category).alias("c"))

@@ -68,6 +68,19 @@ def test_url_filter_judges_by_the_day(spark, keys):
     assert url_filter.filter_captures(captures.limit(0), events, id_col="page_id").count() == 0
 
 
+@pytest.mark.parametrize("keys", [50_000, 0])
+def test_url_filter_matches_prefixes_of_any_depth(spark, keys):
+    day = datetime.date(2024, 1, 1)
+    deep = "a.com/" + "".join(f"{k}/" for k in range(30))
+    names = ["b.com/x/y/z/", "x.b.com/x/y/z/w/v/", deep, "c.com/", "d.com/x/y/z"]
+    events = spark.createDataFrame([(k, "spam", "add", day) for k in names], "key string, category string, action string, day date")
+    urls = ["http://b.com/x/y/z/q", "http://b.com/x/y/z", "http://x.b.com/x/y/z/w/v/", "http://x.b.com/x/y/z/w/v?q=/", f"http://w.{deep}q", "http://a.com/0/1/2/", "http://c.com", "http://c.com/p/q/r/s", "http://d.com/x/y/z/w"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    out = url_filter.filter_captures(captures, events, id_col="page_id", broadcast_keys=keys).orderBy("page_id").collect()
+    assert [r["key"] for r in out] == ["b.com/x/y/z/", None, "x.b.com/x/y/z/w/v/", "b.com/x/y/z/", deep, None, "c.com/", "c.com/", None]
+    assert [r["n_active"] for r in out] == [1, 0, 2, 1, 1, 0, 1, 1, 0] and all(r["blocked"] == (r["key"] is not None) for r in out)
+
+
 def odd_vectors(spark, seed: int = 0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, 24))
