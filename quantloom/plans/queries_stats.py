@@ -300,7 +300,7 @@ def _(s, d):
 
 @query("te_significance")
 def _(s, d):
-    return information.te_significance(long_panel(s, d), runs=40)
+    return information.te_significance(long_panel(s, d))
 
 
 @query("summary_outer_join", sql(*L, f"i as (select {KEYS}, {corr('x', 'y')} as ic, count(*) as n from long where x is not null and y is not null and feature <> 'rv_5' group by all)", binned("long", 10), mi_table("binned", KEYS), "m as (select * from mi_t where feature <> 'mom_5')", "o as (select coalesce(i.instrument, m.instrument) as instrument, coalesce(i.feature, m.feature) as feature, ic, n, mi from i full outer join m on i.instrument = m.instrument and i.feature = m.feature)", out=final("o", "instrument", "feature", "ic:d", "n:i", "mi:d")))
@@ -369,7 +369,7 @@ def _(s, d):
 
 
 for _mode in ("filter", "smooth", "viterbi"):
-    query(f"hmm_{_mode}")(lambda s, d, m=_mode: regimes.hmm(regime_panel(s, d), ["ret_abs", "vol_roll_20"], regimes.HmmConfig(2, 20), m))
+    query(f"hmm_{_mode}")(lambda s, d, m=_mode: regimes.hmm(regime_panel(s, d), ["ret_abs", "vol_roll_20"], regimes.HmmConfig(2), m))
 
 FWD = f"case when count(*) {over('rows between 1 following and 3 following')} >= 3 then sum(coalesce(r, 0)) {over('rows between 1 following and 3 following')} end"
 LABEL = f"lb as (select *, {FWD} as f, sign(r) as side from ret)"
@@ -511,7 +511,7 @@ def _(s, d):
 @query("information_report")
 def _(s, d):
     rows = research_panel(s, d).withColumn("regime", (F.col("returns") > 0).cast("int"))
-    cfg = reports.InformationConfig(horizon=3, te_runs=16, te_top=2)
+    cfg = reports.InformationConfig(horizon=3)
     return reports.information_report(rows, ["mom_5", "rv_5", "z_mom_5"], signal="signal", regime="regime", live=feature_panel(s, d), cfg=cfg).summary
 
 

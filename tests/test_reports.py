@@ -8,7 +8,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.plans import reports
+from quantloom.operators import regimes
+from quantloom.plans import queries_stats, registry, reports  # noqa: F401
 from quantloom.sources.store import rows_to_panel
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -73,3 +74,16 @@ def test_evaluation_report(spark):
 def test_rows_become_ticks(spark):
     ticks = rows_to_panel(spark, [{"timestamp_utc": "2024-01-01", "price": 1.5}, {"timestamp_utc": "2024-01-01", "price": 2}])
     assert [r["seq"] for r in ticks.orderBy("seq").collect()] == [0, 1]
+
+
+def test_queries_run_the_whole_job(spark, data, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(regimes, "hmm", lambda panel, columns, cfg, mode: asked.update({mode: cfg}) or panel)
+    for mode in ("filter", "smooth", "viterbi"):
+        registry.QUERIES[f"hmm_{mode}"](spark, data)
+        assert asked[mode].rounds == regimes.HmmConfig().rounds == 100
+    for name in ("te_significance", "information_report"):
+        found = registry.QUERIES[name](spark, data).toPandas()
+        runs = found["pvalue"].dropna() * 201
+        assert len(runs) == len(found) and (runs - runs.round()).abs().max() < 1e-3 and runs.min() > 0.9
+    assert (found.groupby("instrument")["feature"].nunique() == 3).all()
