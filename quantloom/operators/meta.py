@@ -225,9 +225,10 @@ def select_threshold(panel: DataFrame, p: str = "p_follow", pnl: str = "pnl") ->
 
 
 def decide(panel: DataFrame, policy: str = "threshold", threshold: float = 0.5, p: str = "p_follow", signal: str = "signal", max_size: float = 1.0, payoff: float = 1.0, cost: float = 0.0) -> DataFrame:
-    """panel with action (1 follow, 0 skip), size and edge by threshold, kelly_fraction or bayes_risk."""
+    """panel with action (1 follow, 0 skip), size and edge by threshold, kelly_fraction or bayes_risk, also called utility."""
     chance = F.col(p)
-    edge = {"threshold": chance - threshold, "kelly_fraction": chance - (1 - chance) / payoff, "bayes_risk": chance * payoff - (1 - chance) - cost}[policy]
+    risk = chance * payoff - (1 - chance) - cost
+    edge = {"threshold": chance - threshold, "kelly_fraction": chance - (1 - chance) / payoff, "bayes_risk": risk, "utility": risk}[policy]
     live = chance.isNotNull() & F.col(signal).isNotNull() & (F.col(signal) != 0)
     go = edge >= 0 if policy == "threshold" else edge > 0
     size = F.lit(1.0) if policy != "kelly_fraction" else F.greatest(F.lit(0.0), F.least(F.lit(max_size), edge))

@@ -243,6 +243,12 @@ def test_models_calibration_and_policies(spark):
     assert decided.count() == 0
 
 
+def test_utility_is_the_bayes_risk_policy(spark):
+    rows = spark.createDataFrame([(0.3, 1.0), (0.51, 1.0), (0.9, -1.0), (0.9, 0.0), (None, 1.0)], "p_follow double, signal double")
+    a, b = (meta.decide(rows, k, payoff=1.5, cost=0.01).collect() for k in ("utility", "bayes_risk"))
+    assert a == b and [r["action"] for r in a] == [0, 1, 1, 0, 0]
+
+
 def test_purged_folds_leave_a_gap(spark):
     folds = meta.purged_kfold(series(spark, price=range(1, 21)), 4, 5, 2, 1).toPandas()
     for _, part in folds.groupby("fold"):
