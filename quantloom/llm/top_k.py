@@ -31,8 +31,8 @@ from quantloom.llm.vectors import matrices
 
 SCALE = 1024.0
 SHARD, BLOCK = 4096, 1024
-#: Parts of the lists read before bounds are compared again, and the share of rows at which final scores are resolved.
-DEPTHS = (0.125, 0.5)
+#: Parts of the lists read before bounds are compared again, and the share of rows at which a query stops reading.
+DEPTHS = (0.125, 0.5, 0.75, 0.9, 1.0)
 FEW = 0.05
 _LIMIT = 2.0**53
 PACKED = "dim int, shard int, ids binary, numbers binary"
@@ -96,24 +96,26 @@ class SortedLists:
         if not self.safe(q):
             yield from self._search_large(query_ids, q, k)
             return
-        n, rows = len(self.ids), np.arange(len(self.ids))
-        own = lambda r: query_ids[:, None] == self.ids[r][None, :]
+        for i, left in enumerate(self.left(query_ids, q, k)):
+            at = np.flatnonzero(left)
+            found = self.x[at] @ q[i]
+            best = np.lexsort((self.ids[at], -found))[:k]
+            yield int(query_ids[i]), self.ids[at[best]], found[best].astype(np.int64)
+
+    def left(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """For each query (a line) the rows that may be among its k best ones when its reading stops."""
+        left, few = query_ids[:, None] != self.ids[None, :], max(k, FEW * len(self.ids))
         for part in DEPTHS:
-            if len(rows) <= k + 1 or len(rows) <= FEW * n:
+            reading = np.flatnonzero(left.sum(axis=1) > few)
+            if not len(reading):
                 break
-            lower, upper = self.bounds(q, max(1, int(part * n)), rows)
-            lower[own(rows)] = -np.inf
-            if len(rows) > k:
-                line = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
-                rows = rows[(upper >= line[:, None]).any(axis=0)]
-        scores = q @ self.x[rows].T
-        scores[own(rows)] = -np.inf
-        keep = min(k, len(rows))
-        for i, found in enumerate(scores):
-            line = np.partition(found, len(found) - keep)[len(found) - keep] if keep else 0
-            at = np.flatnonzero((found >= line) & np.isfinite(found))
-            best = at[np.lexsort((self.ids[rows[at]], -found[at]))][:k]
-            yield int(query_ids[i]), self.ids[rows[best]], found[best].astype(np.int64)
+            rows = np.flatnonzero(left[reading].any(axis=0))
+            stay = left[np.ix_(reading, rows)]
+            lower, upper = self.bounds(q[reading], max(1, int(part * len(self.ids))), rows)
+            lower[~stay] = -np.inf
+            line = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
+            left[np.ix_(reading, rows)] = stay & (upper >= line[:, None])
+        return left
 
     def _search_large(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         x = [[int(v) for v in row] for row in self.x.tolist()]

@@ -127,6 +127,20 @@ def test_top_k_equals_brute_force(spark, shard):
     assert top_k.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_reads_on_until_few_rows_are_left(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, depths, plain = np.floor(1024 * rng.normal(size=(1000, 64))), [], top_k.SortedLists.bounds
+    monkeypatch.setattr(top_k.SortedLists, "bounds", lambda self, q, depth, rows: depths.append(depth) or plain(self, q, depth, rows))
+    lists, queries = top_k.SortedLists(np.arange(1000), x), np.arange(0, 1000, 50)
+    for query, ids, scores in lists.search(queries, x[queries], 10):
+        own = x @ x[query]
+        own[query] = -np.inf
+        want = np.lexsort((np.arange(1000), -own))[:10]
+        assert ids.tolist() == want.tolist() and scores.tolist() == own[want].tolist()
+    assert depths == sorted(depths) and depths[-1] >= 900
+    assert lists.left(queries, x[queries], 10).sum(axis=1).max() <= 50
+
+
 def test_top_k_of_huge_components_is_exact(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1, 1]) * 2.0**rng.randrange(20, 24) for _ in range(8)]) for i in range(30)]
