@@ -19,6 +19,8 @@ counts in training; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -317,10 +319,10 @@ def _rows(batch: pa.RecordBatch, begin: int, texts: list[bytes], heavy, filters,
 
 
 def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v: int) -> DataFrame:
-    """(key, score) by sending every token and pair to the segment that can answer for it.
+    """(key, score) by sending the grams of each chunk of rows, each once, to the segments that can answer for them.
 
     The grams that are hot, at most 2 * HOT of them, are answered where they stand, so that no segment gets a third of
-    the tokens.
+    the tokens. The rows of a chunk, their texts packed, come along, and meet the levels of their grams at the end.
     """
     rows = table.select("hot", "hot_levels").collect()
     hot = np.concatenate([np.frombuffer(r["hot"], dtype="<u8") for r in rows] or [np.empty(0, np.uint64)])
@@ -328,53 +330,86 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
     order = np.argsort(hot)
     known = keyed.sparkSession.sparkContext.broadcast((hot[order], hot_levels[order]))
 
+    def grams_of(texts: list[bytes]):
+        """Tokens, their numbers by text, inner tokens, the place of each token and pair among the grams, and the grams;
+        their levels, -1 if to be asked for; and for each segment asked the places of its grams."""
+        tokens, lengths, begins = frame(texts)
+        inner = np.ones(len(tokens), dtype=bool)
+        inner[begins] = False
+        grams, at = np.unique(np.concatenate([tokens, pair_hash(tokens[:-1], tokens[1:])[inner[1:]]]), return_inverse=True)
+        level = _look_up(*known.value, grams)
+        asked = np.flatnonzero(level < 0)
+        own = segment_of(grams[asked], segments)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(segments + 1))
+        places = {s: asked[order[cuts[s] : cuts[s + 1]]] for s in np.flatnonzero(np.diff(cuts)).tolist()}
+        return len(tokens), lengths, inner, at, grams, level, places
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row_keys = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, texts in chunks(batch, "text"):
-                tokens, lengths, begins = frame(texts)
-                row = np.repeat(np.arange(len(texts)), lengths + 1)
-                place = np.arange(len(tokens)) - begins[row]
-                inner = place > 0
-                pairs = pair_hash(tokens[:-1], tokens[1:])[inner[1:]]
-                grams = np.concatenate([tokens, pairs])
-                kind = np.repeat(np.array([0, 1], dtype=np.int32), [len(tokens), len(pairs)])
-                keys, places = np.concatenate([row_keys[begin + row], row_keys[begin + row[inner]]]), np.concatenate([place, place[inner]])
-                yield pa.RecordBatch.from_arrays([pa.array(segment_of(grams, segments).astype(np.int32)), pa.array(grams.view(np.int64)), pa.array(kind), pa.array(keys), pa.array(places), pa.array(_look_up(*known.value, grams).astype(np.int32)), pa.nulls(len(grams), pa.binary())], ["segment", "gram", "kind", "key", "place", "level", "filter"])
+                keys = row_keys[begin : begin + len(texts)].astype("<i8").tobytes()
+                chunk = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)  # equal chunks get equal answers
+                *_, grams, _, places = grams_of(texts)
+                sizes = np.array([len(t) for t in texts], dtype="<i8").tobytes()
+                out = [(s, grams[part].tobytes(), None, None, None) for s, part in places.items()]
+                for s, *blobs in [*out, (chunk % segments, None, keys, sizes, zlib.compress(b"".join(texts), 1))]:
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.binary())], ["segment", "chunk", "grams", "keys", "sizes", "texts", "filter"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        """Levels in the order of the grams asked for; rows go on as they are."""
+        now, table_of = None, np.empty(0, np.uint8)
         for batch in batches:
-            owner = batch.column(0).to_numpy(zero_copy_only=False)
-            is_filter = batch.column(6).is_valid().to_numpy(zero_copy_only=False)
-            for s in np.unique(owner).tolist():  # segments come in order, each with its filter first
-                mine = (owner == s) & ~is_filter
-                rows = np.flatnonzero(is_filter & (owner == s))
-                if len(rows):
-                    held = {s: np.frombuffer(batch.column(6)[int(rows[0])].as_py(), dtype=np.uint8)}
-                table_of = held.get(s, np.empty(0, np.uint8))
-                sizes, offsets = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64)
-                sizes[s] = len(table_of)
-                grams = batch.column(1).to_numpy(zero_copy_only=False)[mine].astype(np.int64).view(np.uint64)
-                level = probe(grams, table_of, offsets, sizes)
-                columns = [pa.array(batch.column(k).to_numpy(zero_copy_only=False)[mine].astype(kind)) for k, kind in ((3, np.int64), (4, np.int64), (2, np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(level.astype(np.int32))], ["key", "place", "kind", "level"])
-
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                s, bits, grams = (batch.column(k)[i].as_py() for k in (0, 6, 2))  # segments come in order, each with its filter first
+                if s != now:
+                    now, table_of = s, np.empty(0, np.uint8)
+                if bits is not None:
+                    table_of = np.frombuffer(bits, dtype=np.uint8)
+                    continue
+                levels = None
+                if grams is not None:
+                    sizes, offsets = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64)
+                    sizes[s] = len(table_of)
+                    levels = probe(np.frombuffer(grams, dtype="<u8"), table_of, offsets, sizes).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in (1, 0)), pa.array([levels], pa.binary()), *(batch.column(k).slice(i, 1) for k in (3, 4, 5))], ["chunk", "segment", "levels", "keys", "sizes", "texts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The levels that all segments gave for one chunk of rows come together with its texts."""
+        now, held, own = None, {}, None
+
+        def done() -> pa.RecordBatch:
+            keys, sizes = (np.frombuffer(x, dtype="<i8") for x in own[:2])
+            joined, ends = zlib.decompress(own[2]), np.cumsum(sizes)
+            count, lengths, inner, at, _, level, places = grams_of([joined[e - z : e] for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)])
+            for s, part in places.items():
+                level[part] = np.frombuffer(held[s], dtype=np.uint8)
+            word, pair = level[at[:count]], level[at[count:]]
+            logs = token_scores(pair, word[:-1][inner[1:]], word[1:][inner[1:]], n, v)
+            owner = np.repeat(np.arange(len(keys)), lengths)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(owner, weights=logs, minlength=len(keys)))], ["key", "score"])
+
         for batch in batches:
-            of = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(token_scores(*of, n, v))], ["key", "log"])
-
-    sent = keyed.select("key", "text").mapInArrow(send, "segment int, gram long, kind int, key long, place long, level int, filter binary")
-    asked = sent.filter("level < 0")
-    own = table.select("segment", F.lit(0).cast("long").alias("gram"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("level"), "filter")
-    met = own.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.col("filter").isNull())
-    levels = met.mapInArrow(answer, "key long, place long, kind int, level int").unionByName(sent.filter("level >= 0").select("key", "place", "kind", "level"))
-    roles = levels.withColumn("role", F.explode(F.when(F.col("kind") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))))
-    at = roles.withColumn("at", F.col("place") + F.when(F.col("role") == 1, 1).otherwise(0))
-    by_token = at.groupBy("key", "at").agg(*[F.max(F.when(F.col("role") == r, F.col("level"))).alias(c) for r, c in ((0, "pair"), (1, "first"), (2, "word"))])
-    whole = by_token.filter("pair is not null").select("key", "pair", "first", "word")
-    return whole.mapInArrow(logs, "key long, log double").groupBy("key").agg(F.sum("log").alias("score"))
+            for i in range(batch.num_rows):
+                chunk, s, levels, *blobs = (batch.column(k)[i].as_py() for k in range(6))
+                if chunk != now:
+                    if own:
+                        yield done()
+                    now, held, own = chunk, {}, None
+                if levels is None:
+                    own = blobs
+                else:
+                    held[s] = levels
+        if own:
+            yield done()
+
+    blobs = "keys binary, sizes binary, texts binary"
+    asked = keyed.select("key", "text").mapInArrow(send, f"segment int, chunk long, grams binary, {blobs}, filter binary")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("grams", "keys", "sizes", "texts")]
+    met = table.select("segment", F.lit(0).cast("long").alias("chunk"), *none, "filter").unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.col("filter").isNull())
+    answers = met.mapInArrow(answer, f"chunk long, segment int, levels binary, {blobs}").repartition("chunk").sortWithinPartitions("chunk")
+    return answers.mapInArrow(gather, "key long, score double").groupBy("key").agg(F.max("score").alias("score"))
 
 
 def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> DataFrame:

@@ -156,6 +156,15 @@ def test_shuffled_lookups_give_the_broadcast_scores(small):
     assert (a - b).abs().max() < 1e-9
 
 
+def test_shuffled_lookups_send_no_row_for_each_token(small, monkeypatch):
+    plans, plain = [], lm_score.shuffled_scores
+    monkeypatch.setattr(lm_score, "shuffled_scores", lambda *a: plans.append(plain(*a)) or plans[-1])
+    out = lm_score.score(small, most_bytes=0, hot=4000)
+    assert out.count() == small.count()
+    text = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text and "place" not in text
+
+
 def test_repeated_rows_score_alike_on_both_paths(spark, small):
     frame = small.unionByName(small.filter("doc_id % 3 = 0")).unionByName(small.filter("doc_id % 6 = 0")).select("doc_id", "text")
     a, b = (sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_score.score(frame, most_bytes=m, hot=4000).collect()) for m in (10**8, 0))
