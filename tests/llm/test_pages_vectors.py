@@ -178,6 +178,19 @@ def test_pipeline_stages_take_effect(spark, data):
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(now.columns)
 
 
+def test_pipeline_drops_near_copies_from_jaccard_80(spark, data):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(300)]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    texts = [" ".join([*words[:cut], *(f"x{k}" for k in range(300 - cut))]) for cut in range(240, 300)]
+    of = {t: likeness(brute.shingles(" ".join(words)), brute.shingles(t)) for t in texts}
+    near, far = next(t for t in texts if 0.81 <= of[t] < 0.84), next(t for t in texts if 0.7 < of[t] < 0.78)
+    for text, want in ((near, [1]), (far, [1, 2])):
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, text)], "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, data).collect()) == want
+
+
 def test_every_operator_is_registered():
     names = registry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
