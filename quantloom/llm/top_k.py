@@ -1,12 +1,17 @@
 """Exact top-k search by inner product with no-random-access aggregation over sorted lists.
 
 Vectors are turned into whole numbers, floor(1024 * x). Each shard of about ``shard`` rows keeps, for each dimension, the
-list of its rows in order of the component; a query reads it from the top where its own component is positive and from
-the bottom where it is negative. All lists are read in step, by growing depths. What has been read of a row is added up
-exactly; for what has not, the value at the reading depth gives an upper bound of its part and the end of the list a
-lower bound, so every row has a lower and an upper bound of its score. Rows whose upper bound is below the k-th lower
-bound of the query are out; reading stops when all rows left are few, and their final scores are resolved; at full depth
-the bounds are the scores. The bounds of all rows for a block of queries are matrix products over clipped components.
+list of its rows in order of the component, each entry with the row's norm. A query reads a list from the top where its
+own component is positive and from the bottom where it is negative, and adds what it reads of a row to the row's partial
+score. All lists are read in rounds: a round goes on in each list until what one unread entry can still change in a score
+is at most a width common to all lists, and the width shrinks from round to round; so lists that the query hardly weighs
+are read last or not at all.
+
+After each round every row has a lower and an upper bound of its score: the partial score plus, for the unread
+components, the sums of the ends and of the reading places of their lists, or, if that is closer, plus or minus the
+product of the norms of the unread parts of query and row. Rows whose upper bound is below the k-th lower bound are
+outsiders; reading stops when the rows left are few, and their final scores are resolved. Fully read lists give the
+scores themselves, so reading always stops.
 
 Queries are a stated part of the rows and travel in blocks to each shard; each shard emits k rows a query, and the
 queries' lists of all shards are merged. A task holds one shard and one block of queries.
@@ -14,7 +19,8 @@ queries' lists of all shards are merged. A task holds one shard and one block of
 Defined cases: vectors that are NULL or empty or hold NULL or non-finite components, and rows with a NULL vec_id, take
 no part; of rows that share a vec_id the least vector counts, once; vectors of different dimension do not meet; ties
 go to the smaller vec_id; components are limited to +-2^53 / 1024, and scores to the range of long; fewer rows than k
-give all; an empty table gives no rows; other columns are not looked at.
+give all; an empty table gives no rows; other columns are not looked at; a vec_id that is not a whole number is an error
+of the cast.
 """
 
 from __future__ import annotations
@@ -31,9 +37,10 @@ from quantloom.llm.vectors import matrices
 
 SCALE = 1024.0
 SHARD, BLOCK = 4096, 1024
-#: Parts of the lists read before bounds are compared again, and the share of rows at which a query stops reading.
-DEPTHS = (0.125, 0.5, 0.75, 0.9, 1.0)
-FEW = 0.05
+#: First width as a part of the widest list's, the part of it left after each round, and the share of rows at which a
+#: query stops reading.
+FIRST, SHRINK = 0.12, 0.6
+FEW = 0.02
 _LIMIT = 2.0**53
 PACKED = "dim int, shard int, ids binary, numbers binary"
 
@@ -75,60 +82,72 @@ def pack(rows: DataFrame, most: int) -> DataFrame:
 
 
 class SortedLists:
-    """The sorted lists of one shard (ids ascending), and the bounds that reading them to some depth gives."""
+    """The sorted lists of one shard (ids ascending), read by one query at a time."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.lists = np.sort(x, axis=0)
-        top = max(float(np.abs(x).max()), 1.0)
-        self.safe = lambda q: max(float(np.abs(q).max()), 1.0) * top * x.shape[1] < 2.0**52  # sums are exact in doubles
-
-    def bounds(self, q: np.ndarray, depth: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores of rows for each query, once ``depth`` entries of each list are read."""
-        x, plus, minus = self.x[rows], np.maximum(q, 0), np.minimum(q, 0)
-        high, low = self.lists[len(self.lists) - depth], self.lists[depth - 1]
-        upper = plus @ np.maximum(x, high).T + minus @ np.minimum(x, low).T
-        lower = plus @ np.where(x >= high, x, self.lists[0]).T + minus @ np.where(x <= low, x, self.lists[-1]).T
-        return lower, upper
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of the k best rows of the shard for each query, its own row apart."""
-        if not self.safe(q):
-            yield from self._search_large(query_ids, q, k)
-            return
-        for i, left in enumerate(self.left(query_ids, q, k)):
-            at = np.flatnonzero(left)
-            found = self.x[at] @ q[i]
-            best = np.lexsort((self.ids[at], -found))[:k]
-            yield int(query_ids[i]), self.ids[at[best]], found[best].astype(np.int64)
-
-    def left(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-        """For each query (a line) the rows that may be among its k best ones when its reading stops."""
-        left, few = query_ids[:, None] != self.ids[None, :], max(k, FEW * len(self.ids))
-        for part in DEPTHS:
-            reading = np.flatnonzero(left.sum(axis=1) > few)
-            if not len(reading):
-                break
-            rows = np.flatnonzero(left[reading].any(axis=0))
-            stay = left[np.ix_(reading, rows)]
-            lower, upper = self.bounds(q[reading], max(1, int(part * len(self.ids))), rows)
-            lower[~stay] = -np.inf
-            line = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
-            left[np.ix_(reading, rows)] = stay & (upper >= line[:, None])
-        return left
-
-    def _search_large(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        x = [[int(v) for v in row] for row in self.x.tolist()]
-        for query, row in zip(query_ids.tolist(), q.tolist(), strict=True):
-            own = [int(v) for v in row]
-            within = lambda v: min(max(v, -(2**63)), 2**63 - 1)
-            found = [(within(sum(a * b for a, b in zip(own, y, strict=True))), i) for i, y in zip(self.ids.tolist(), x, strict=True) if i != query]
-            best = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
-            yield query, np.array([f[1] for f in best], dtype=np.int64), np.array([f[0] for f in best], dtype=np.int64)
+        columns = np.ascontiguousarray(x.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.lists = np.take_along_axis(columns, self.order, axis=1)
+        self.norms = (x * x).sum(axis=1)
+        self.top = max(float(np.abs(x).max()), 1.0)
+
+    def read(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """The rows that may be among the query's k best ones when its reading stops, and the entries read till then."""
+        n, d = self.x.shape
+        few = max(2 * k, FEW * n)
+        ends = np.stack([q * self.lists[:, 0], q * self.lists[:, -1]])
+        high, low = ends.max(axis=0), ends.min(axis=0)
+        slack = 1e-13 * d * max(float(np.abs(q).max()), 1.0) * self.top
+        met = np.zeros(d, dtype=np.int64)
+        partial, seen, unread = np.zeros(n), np.zeros(n), np.ones((d, n))
+        left = np.flatnonzero(self.ids != query_id)
+        width = FIRST * float((high - low).max(initial=0.0))
+        while len(left) > few and (met[q != 0] < n).any():
+            width = width * SHRINK if width > 1.0 else -1.0  # contributions are whole numbers: below 1 all is read
+            place = np.minimum(high, low + width)  # entries of a greater contribution are read
+            for i in range(d):
+                line, column = place[i] / q[i] if q[i] else 0.0, self.lists[i]
+                if q[i] > 0:
+                    until = n - int(np.searchsorted(column, line, "right"))
+                    span = slice(n - until, n - met[i])
+                else:
+                    until = int(np.searchsorted(column, line, "left")) if q[i] else n * (width < 0)
+                    span = slice(met[i], until)
+                if until > met[i]:
+                    rows, values = self.order[i, span], column[span]
+                    partial[rows] += q[i] * values
+                    seen[rows] += values * values
+                    unread[i, rows] = 0.0
+                    met[i] = until
+            place = np.where(met < n, place, 0.0)
+            above, below, of_query = (np.stack([place, low, q * q]) @ unread)[:, left]
+            reach = np.sqrt(np.maximum(self.norms[left] - seen[left], 0.0) * of_query)
+            upper, lower = partial[left] + np.minimum(above, reach), partial[left] + np.maximum(below, -reach)
+            if len(left) > k:
+                line = np.partition(lower, len(left) - k)[len(left) - k]
+                left = left[upper >= line - slack]
+        return left, int(met.sum())
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """(query id, ids, scores, entries read) of the k best rows of the shard for each query, its own row apart."""
+        for query, row in zip(query_ids.tolist(), q, strict=True):
+            left, entries = self.read(query, row, k)
+            score = self.resolve(left, row)
+            best = np.lexsort((self.ids[left], -score))[:k]
+            yield query, self.ids[left[best]], score[best], entries
+
+    def resolve(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores of rows: in doubles while all sums are whole there, else in Python's numbers."""
+        if max(float(np.abs(q).max()), 1.0) * self.top * len(q) < 2.0**52:
+            return (self.x[rows] @ q).astype(np.int64)
+        own = [int(v) for v in q.tolist()]
+        sums = (sum(a * int(b) for a, b in zip(own, x, strict=True)) for x in self.x[rows].tolist())
+        return np.array([min(max(v, -(2**63) + 1), 2**63 - 1) for v in sums], dtype=np.int64)
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, number: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best rows of each shard for each query."""
+    """(query_id, vec_id, score, entries): the k best rows of each shard for each query, and the entries of its lists read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, []
@@ -141,18 +160,22 @@ def search(shards: DataFrame, queries: DataFrame, k: int, number: int) -> DataFr
                 if not is_query:
                     lists.append(SortedLists(ids, x))
                     continue
-                out = [(q, a, b) for held in lists for q, a, b in held.search(ids, x, k)]
+                out = [o for held in lists for o in held.search(ids, x, k)]
                 if out:
-                    columns = [np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                    sizes = [len(o[1]) for o in out]
+                    columns = [np.repeat([o[0] for o in out], sizes), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out]), np.repeat([o[3] for o in out], sizes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score", "entries"])
 
     blocks = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("shard"), F.lit(True).alias("is_query"), "ids", "numbers")
     met = shards.select("dim", "shard", F.lit(False).alias("is_query"), "ids", "numbers").unionByName(blocks)
-    return met.repartition(min(number, 10_000), "dim", "shard").sortWithinPartitions("dim", "shard", "is_query").mapInArrow(run, "query_id long, vec_id long, score long")
+    return met.repartition(min(number, 10_000), "dim", "shard").sortWithinPartitions("dim", "shard", "is_query").mapInArrow(run, "query_id long, vec_id long, score long, entries long")
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows for each row whose vec_id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score, entries): the k best rows for each row whose vec_id is divisible by ``every``.
+
+    entries: list entries that the query read in the shard of this row; whole lists are rows of the shard times dimension.
+    """
     rows = Scratch(vectors.sparkSession).write(whole_numbers(vectors))
     total = rows.count()
     number = max(1, -(-total // shard))
@@ -161,11 +184,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD)
     blocks = max(1, -(-total // (every * BLOCK)))
     found = search(pack(deal(rows, number), 2 * shard), pack(deal(asked, blocks), BLOCK), k, number)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "entries")
 
 
 def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    return top_k(read_table(spark, folder, "embeddings"))
+    return top_k(read_table(spark, folder, "embeddings")).drop("entries")
 
 
 ORACLE = """
