@@ -134,7 +134,7 @@ class SortedLists:
         for query, row in zip(query_ids.tolist(), q, strict=True):
             left, entries = self.read(query, row, k)
             score = self.resolve(left, row)
-            best = np.lexsort((self.ids[left], -score))[:k]
+            best = np.lexsort((self.ids[left], ~score))[:k]  # ~s falls as s rises, without overflow
             yield query, self.ids[left[best]], score[best], entries
 
     def resolve(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -143,7 +143,7 @@ class SortedLists:
             return (self.x[rows] @ q).astype(np.int64)
         own = [int(v) for v in q.tolist()]
         sums = (sum(a * int(b) for a, b in zip(own, x, strict=True)) for x in self.x[rows].tolist())
-        return np.array([min(max(v, -(2**63) + 1), 2**63 - 1) for v in sums], dtype=np.int64)
+        return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in sums], dtype=np.int64)
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, number: int) -> DataFrame:
