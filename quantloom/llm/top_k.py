@@ -123,7 +123,7 @@ class SortedLists:
             place = np.where(met < n, place, 0.0)
             above, below, of_query = (np.stack([place, low, q * q]) @ unread)[:, left]
             reach = np.sqrt(np.maximum(self.norms[left] - seen[left], 0.0) * of_query)
-            upper, lower = partial[left] + np.minimum(above, reach), partial[left] + np.maximum(below, -reach)
+            upper, lower = (np.clip(partial[left] + b, -(2.0**63), 2.0**63) for b in (np.minimum(above, reach), np.maximum(below, -reach)))
             if len(left) > k:
                 line = np.partition(lower, len(left) - k)[len(left) - k]
                 left = left[upper >= line - slack]

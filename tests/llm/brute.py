@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import collections
+import html.parser
 import math
 import zlib
 
+from quantloom.llm.quality import STOP_WORDS
+
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
@@ -53,3 +56,84 @@ def base_scores(rows: list[tuple]) -> tuple[int, dict]:
     n, v = sum(counts.values()), len(counts)
     out = {k: (len(ws), sum(counts[w] > 0 for w in ws), sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for k, ws in enumerate(tokens)}
     return n, out
+
+
+class _Blocks(html.parser.HTMLParser):
+    """[text, characters in links, in an article, furniture, heading] of each block of a page whose elements are closed or <b>."""
+
+    BREAK = {"p", "li", "div", "article", "h1", "ul", "nav", "footer", "br", "section", "header", "body", "form"}
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out, self.now = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(t for t, _ in self.now).split())
+        if text:
+            linked = sum(len(" ".join(t.split())) for t, link in self.now if link)
+            names = [t for t, _ in self.open]
+            bad = any(t in ("nav", "footer", "aside", "header") or c in ("ad", "comments", "cookie-notice") for t, c in self.open)
+            self.out.append([text, linked, "article" in names, bad, "h1" in names])
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAK:
+            self.end()
+        if tag == "p" and self.open and self.open[-1][0] == "p":
+            self.open.pop()
+        if tag not in ("b", "br", "meta", "input"):
+            self.open.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAK:
+            self.end()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style", "title", "form") for t, _ in self.open):
+            self.now.append((data, any(t == "a" for t, _ in self.open)))
+
+
+def page_text(page: str) -> str:
+    """Main text of a page in words with spaces, of one article at most, by the two passes, each block looked at alone."""
+    blocks, labels = _Blocks(page).out, []
+    split = lambda text: [w.strip(".,;:!?\"'()") for w in text.lower().split()]
+    every = [w for b in blocks if not b[3] for w in split(b[0])]
+    known = 10 * sum(w in STOP_WORDS for w in every) >= len(every)
+    for text, linked, article, bad, _ in blocks:
+        words = split(text)
+        stops = sum(w in STOP_WORDS if known else len(w) <= 3 for w in words) / len(words)
+        if sum(map(len, words)) > 15 * len(words):
+            stops = 1.0
+        if linked / len(text) > (0.5999999 if article else 0.25) or bad:
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("short")
+        elif stops >= 0.25:
+            labels.append("good" if len(text) > 200 else "near")
+        else:
+            labels.append("near" if stops >= 0.15 or article else "bad")
+    out = []
+    for k, (text, linked, article, _, heading) in enumerate(blocks):
+        label = labels[k]
+        if label not in ("good", "bad"):
+            seen = [n for n in range(len(blocks)) if labels[n] in ("good", "bad") and (blocks[n][2] or not article)]
+            sides = [*[n for n in seen if n < k][-1:], *[n for n in seen if n > k][:1]]
+            ahead = [n for n in sides if k < n <= k + 2]
+            if not sides:
+                label = "good" if article or label == "near" or not linked else "bad"
+            elif heading and ahead:
+                label = labels[ahead[0]]
+            elif label == "near":
+                label = "good" if any(labels[n] == "good" for n in sides) else "bad"
+            else:
+                label = min((abs(n - k), labels[n] == "bad", labels[n]) for n in sides)[2]
+        if label == "good":
+            out.append(text)
+    return " ".join(out)

@@ -32,6 +32,40 @@ def test_short_blocks_follow_their_neighbours():
     assert html_text.main_text(page) == f"{LONG} Short. {LONG}"
 
 
+RUSSIAN = "Это длинный абзац основного текста страницы и он написан на языке которого нет в списке стоп слов но в нём есть много коротких слов и все они идут подряд так что его длина больше чем двести знаков и это всё что надо для проверки правила."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p title=don't>Main text</p><p>it's the second</p></article>", "Main text it's the second"),
+        ("<article><p>a <b the rest", "a the rest"),
+        ("<p>one <b two <p>three</p>", "one two three"),
+        (f"<p>{RUSSIAN}</p>", RUSSIAN),
+        (f'<p>{LONG}</p><ul><li><a href="/a">&eacute;&eacute;&eacute;&eacute;&eacute;&eacute;</a> and then a good many plain words</li></ul>', f"{LONG} éééééé and then a good many plain words"),
+        (f'<article><header><h1>Title</h1></header><div class="discussion"><p>{LONG}</p></div><p class="tags">Short.</p></article>', f"Title {LONG} Short."),
+        (f'<div class="discussion"><p>{LONG}</p></div>', ""),
+        (f'<article><p>{LONG}</p><ul><li><a href="/1">One more story</a></li><li><a href="/2">Yet another</a></li></ul><p>Bye.</p></article>', LONG),
+    ],
+)
+def test_main_text_of_hard_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_main_text_equals_the_plain_version_on_every_page(spark, data):
+    pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    for page in pages:
+        for form in (page, page.replace("<article>", "<div>").replace("</article>", "</div>"), page.replace(' class="ad"', "")):
+            assert html_text.main_text(form) == brute.page_text(form)
+
+
+def test_rules_and_not_markup_alone_decide(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    used = {(r["rule"], r["main"]): r["blocks"] for r in html_text.rules_used(pages).collect()}
+    assert all(used.get(key, 0) > 50 for key in (("density", True), ("neighbours", True), ("links", False)))
+    assert used[("markup", False)] < sum(n for (rule, _), n in used.items() if rule in ("density", "links"))
+
+
 @pytest.mark.parametrize("page", ["", "<p", "<", "&am", "<a href='x", "<script>", "</p></div>", "<p>&#0;&bogus;</p>", "<!--", "<p>" * 5000, "a" * 100_000])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
