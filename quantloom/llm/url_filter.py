@@ -5,10 +5,12 @@ domains, optionally followed by a path prefix that ends at a slash. For each key
 becomes validity intervals: from an 'add' to the next event of that key and category, or for ever. A capture is judged
 by the entries whose interval holds its fetch day, [from, until), over all keys that its URL answers to.
 
-The list is packed into one row for each key before the join, so a capture meets each of its keys once however often
-the list changed; captures keep their own rows, so one hot host only makes a hot key of the join, which adaptive
-execution splits. Lists of at most ``broadcast_keys`` keys, counted first, are broadcast; longer ones are shuffled.
-A capture's keys reach down to its full depth, or to the greatest depth in the list if that is less.
+Captures ask for each listed key that their URL answers to. The as-of join takes each distinct (key, day) of these
+questions once, whatever the number of captures behind it: questions and intervals of a key and category are put in one
+order of days, and each question takes the last interval begun. A hot host asks at most one question a key and day, so no
+task of the join grows with its captures. The answers, one for each key and day with an active entry, then meet the
+captures. Lists of at most ``broadcast_keys`` keys, counted first, are broadcast to find the listed keys; longer ones are
+shuffled. A capture's keys reach down to its full depth, or to the greatest depth in the list if that is less.
 
 Defined cases: a NULL or unparsable URL or a NULL day is matched by nothing and kept (blocked = false); repeated
 events count once; several events of a key and category on one day: 'remove' wins; NULL keys or days in the list are
@@ -65,20 +67,35 @@ def validity(events: DataFrame) -> DataFrame:
     return daily.withColumn("valid_until", following).filter("removed = 0").select("key", "category", F.col("day").alias("valid_from"), "valid_until")
 
 
+def active_entries(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, day, category) of the distinct (key, day) of asked at which an entry is active; category: the first one.
+
+    The as-of join: in the order of days, each question takes the last interval of its key and category begun by then.
+    """
+    none = F.lit(None).cast("date")
+    questions = asked.join(spans.select("key", "category").distinct(), "key").select("key", "category", "day", none.alias("begun"), none.alias("until"))
+    begins = spans.select("key", "category", F.col("valid_from").alias("day"), F.col("valid_from").alias("begun"), F.col("valid_until").alias("until"))
+    order = Window.partitionBy("key", "category").orderBy("day", F.col("begun").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("begun").isNotNull(), F.struct("begun", "until")), ignorenulls=True).over(order)
+    as_of = questions.unionByName(begins).withColumn("last", last).filter("begun is null and last is not null and (last.until is null or day < last.until)")
+    return as_of.groupBy("key", "day").agg(F.min("category").alias("category"))
+
+
 def filter_captures(captures: DataFrame, events: DataFrame, *, id_col: str, url_col: str = "url", day_col: str = "day", broadcast_keys: int = 50_000) -> DataFrame:
     """(id, url, day, blocked, n_active, key, category) for each capture; key: the longest active one, then the first category."""
     spans = validity(events)
-    packed = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("category", "valid_from", "valid_until"))).alias("spans"))
     folders = F.length("key") - F.length(F.replace("key", F.lit("/"))) - 1
-    facts = packed.agg(F.count("*").alias("keys"), F.max(folders).alias("deepest"), F.max(F.col("key").endswith("/") & (folders == 0)).alias("root")).first()
+    listed = spans.select("key").distinct()
+    facts = listed.agg(F.count("*").alias("keys"), F.max(folders).alias("deepest"), F.max(F.col("key").endswith("/") & (folders == 0)).alias("root")).first()
     if facts["keys"] <= broadcast_keys:
-        packed = F.broadcast(packed)
+        listed = F.broadcast(listed)
     base = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(day_col).alias("_day"))
-    asked = base.withColumn("_key", F.explode(keys_of(F.col("_url"), max(facts["deepest"] or 0, 0), bool(facts["root"]))))
-    active = F.filter("spans", lambda s: (s.valid_from <= F.col("_day")) & (s.valid_until.isNull() | (F.col("_day") < s.valid_until)))
-    met = asked.join(packed, F.col("_key") == F.col("key")).withColumn("_active", active).filter(F.size("_active") > 0)
-    top = F.struct(F.length("key").alias("long"), F.col("key"), F.transform("_active", lambda s: s.category).alias("c"))
-    hits = met.groupBy("_id", "_url", "_day").agg(F.max(top).alias("best"), F.size(F.collect_set("key")).alias("n_active"))
+    keys = base.filter("_day is not null").withColumn("key", F.explode(keys_of(F.col("_url"), max(facts["deepest"] or 0, 0), bool(facts["root"]))))
+    asked = keys.join(listed, "key", "left_semi")
+    answers = active_entries(asked.select("key", F.col("_day").alias("day")).distinct(), spans).withColumnRenamed("day", "_day")
+    top = F.struct(F.length("key").alias("long"), F.col("key"), F.col("category").alias("c"))
+    met = asked.join(answers, ["key", "_day"])
+    hits = met.groupBy("_id", "_url", "_day").agg(F.max(top).alias("best"), F.count_distinct("key").alias("n_active"))
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("_id", "_url", "_day")]
     return base.alias("b").join(hits.alias("h"), same[0] & same[1] & same[2], "left").select(
         F.col("b._id").alias(id_col),
@@ -87,7 +104,7 @@ def filter_captures(captures: DataFrame, events: DataFrame, *, id_col: str, url_
         F.col("h.best").isNotNull().alias("blocked"),
         F.coalesce("h.n_active", F.lit(0)).cast("long").alias("n_active"),
         F.col("h.best.key").alias("key"),
-        F.array_min("h.best.c").alias("category"),
+        F.col("h.best.c").alias("category"),
     )
 
 

@@ -115,6 +115,14 @@ def test_url_filter_matches_prefixes_of_any_depth(spark, keys):
     assert [r["n_active"] for r in out] == [1, 0, 2, 1, 1, 0, 1, 1, 0] and all(r["blocked"] == (r["key"] is not None) for r in out)
 
 
+def test_url_filter_of_tables_with_clashing_names(spark):
+    day = datetime.date(2024, 1, 3)
+    events = spark.createDataFrame([("a.com", "spam", "add", day, 1, "x")], "key string, category string, action string, day date, begun int, until string")
+    captures = spark.createDataFrame([(1, "http://a.com/", day, "k", "c", 0)], "page_id long, url string, day date, key string, category string, last int")
+    out = url_filter.filter_captures(captures, events, id_col="page_id").collect()
+    assert [tuple(r) for r in out] == [(1, "http://a.com/", day, True, 1, "a.com", "spam")]
+
+
 def odd_vectors(spark, seed: int = 0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, 24))
