@@ -4,16 +4,19 @@
    keeps the least exponential value met under its own hash, truncated to steps that are spaced exponentially with
    base 1.001; the register of a union is the maximum of the registers, so sketches merge, and two sets agree in a
    register with about the probability of their Jaccard similarity.
-2. Documents with equal sets are one node, named by the least doc_id.
-3. The registers are cut into 32 bands of 6. Nodes with an equal band are candidates of each other; a pair at the
-   threshold of 0.85 is missed by all bands with probability 3e-7. Each bucket links its members to its least one, and the
-   connected components of these links are the clusters: any candidate pair is inside one cluster.
-4. Every pair inside a cluster is compared once. The joint likelihood of the register comparison (counts of greater,
-   less and equal registers, given both set sizes) estimates the similarity; pairs estimated more than 0.15, about six
-   standard errors, below the threshold are passed over, and the others are verified on full sets unless they are
-   already known to be connected. A cluster above ``block`` nodes is cut into blocks, and each pair of blocks is a task
-   of its own, so memory is bounded by two blocks whatever the cluster, and no pair is emitted: only spanning links are.
-5. Components of the verified links give component_id.
+2. Documents with equal sets are one node, named by the least doc_id; sets are equal if their sizes and the SHA-256 of all
+   their members in order are.
+3. The registers are cut into 32 bands of 6. Nodes with an equal band are mates, and only mates are compared; a pair at the
+   threshold of 0.85 is missed by all bands with probability 3e-7.
+4. First each mate is compared with the hub of its bucket, the least node there, in tasks that take a hub and a hash part
+   of its mates. Then come the buckets whose other mates are not all connected by that: every pair of them is compared
+   once, in the first band that it shares, but for pairs that are connected already. A bucket above ``block`` nodes is
+   cut into blocks, and each pair of blocks is a task of its own, so memory is bounded by two blocks whatever the bucket,
+   and no pair is emitted: only spanning links are.
+5. A comparison begins with the registers: the joint likelihood of their counts of greater, less and equal ones, given
+   both set sizes, estimates the similarity. Pairs estimated more than 0.15, about six standard errors, below the
+   threshold are passed over, and the others are verified on full sets.
+6. Components of the verified links give component_id.
 
 Defined cases: NULL or blank texts have n_shingles 0 and are their own component; a NULL doc_id links with nothing, has
 a NULL component_id and is kept; rows that share a doc_id are one document, linked to each other; repeated rows are
@@ -22,6 +25,7 @@ returned as often as they come; an empty table gives no rows; columns beyond doc
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.base import Scratch, chunks, hash_grams, hash_words, mix64, read_table
-from quantloom.llm.components import Forest, components
+from quantloom.llm.components import Forest, components, hub_line, meet
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
@@ -38,8 +42,8 @@ REGISTERS = BANDS * ROWS
 #: Base of the register steps, rate of the exponential values, highest step.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 MARGIN = 0.15
-#: Shingles of a block at most, but for one longer document, and shingles held as Python sets at a time.
-BLOCK_SHINGLES, HELD = 2_000_000, 1_000_000
+#: Shingles of a block at most, but for one longer document, and hash parts of the mates of a hub.
+BLOCK_SHINGLES, PARTS = 2_000_000, 64
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 TURN, STIR = _SEEDS[:REGISTERS] | np.uint64(1), _SEEDS[REGISTERS:]
 
@@ -75,135 +79,175 @@ def estimate(greater: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.nda
     return (a + b - np.sqrt((a - b) ** 2 + 4 * greater * less * u * u * v * v)) / (2 * REGISTERS * u * v)
 
 
-def links(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, split: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning links among the nodes, or, if 0 < split < n, those of the pairs across the split; each is verified.
+def is_similar(few: np.ndarray, many: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, on all their members."""
+    if len(few) > len(many):
+        few, many = many, few
+    both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return 100 * both >= percent * (len(few) + len(many) - both)
 
-    Linked pairs of nodes that are connected already are passed over: they change no component.
+
+def promising(sizes: np.ndarray, sketches: np.ndarray, size: float, own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets that may reach the similarity with the set of ``own``, most alike first."""
+    near = np.flatnonzero(100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+    greater, less = (sketches[near] > own).sum(axis=1), (sketches[near] < own).sum(axis=1)
+    guess = estimate(greater.astype(np.float64), less.astype(np.float64), sizes[near], size)
+    order = np.argsort(-guess, kind="stable")
+    return near[order[guess[order] >= percent / 100 - MARGIN]]
+
+
+def links(ids: list[int], groups: list[int], sets: list[np.ndarray], sketches: np.ndarray, split: int, band: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Spanning links among mates of a band, or, if 0 < split < n, those of the pairs across the split; each is verified.
+
+    Nodes of a group are connected already, and further links inside it are passed over: they change no component.
+    Pairs that share an earlier band are left to that one.
     """
     forest = Forest()
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    full: dict[int, set] = {}
-    held = 0
-
-    def members(i: int) -> set:
-        nonlocal full, held
-        if i not in full:
-            if held > HELD:
-                full, held = {}, 0
-            full[i] = set(sets[i].tolist())
-            held += len(sets[i])
-        return full[i]
-
-    for i in range(1, len(ids)):
+    bands = sketches.reshape(len(ids), BANDS, ROWS)
+    for i in range(max(split, 1), len(ids)):
         stop = min(i, split) if split else i
-        if split and i < split:
-            continue
-        few, many = np.minimum(sizes[:stop], sizes[i]), np.maximum(sizes[:stop], sizes[i])
-        near = np.flatnonzero((few > 0) & (100 * few >= percent * many))
-        if not len(near):
-            continue
-        greater = (sketches[near] > sketches[i]).sum(axis=1)
-        less = (sketches[near] < sketches[i]).sum(axis=1)
-        guess = estimate(greater.astype(np.float64), less.astype(np.float64), sizes[near], sizes[i])
-        order = np.argsort(-guess, kind="stable")
-        for j in near[order[guess[order] >= percent / 100 - MARGIN]].tolist():
-            if forest.root(ids[i]) != forest.root(ids[j]):
-                both = len(members(i) & members(j))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    forest.join(ids[i], ids[j])
-                    yield ids[i], ids[j]
+        for j in promising(sizes[:stop], sketches[:stop], sizes[i], sketches[i], percent).tolist():
+            if forest.root(groups[i]) == forest.root(groups[j]) or (bands[i, :band] == bands[j, :band]).all(axis=1).any():
+                continue
+            if is_similar(sets[i], sets[j], percent):
+                forest.join(groups[i], groups[j])
+                yield ids[i], ids[j]
 
 
 def with_sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sketch): the size, a 128-bit fingerprint and the registers of each row's set."""
+    """(doc_id, n_shingles, print, sketch): the size, the SHA-256 and the registers of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in chunks(batch, "text"):
                 sets = shingle_sets(texts)
-                first = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                second = np.array([mix64(s ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 columns = [
                     batch.column(0).slice(begin, len(texts)).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(first.view(np.int64)),
-                    pa.array(second.view(np.int64)),
+                    pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()),
                     pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "f1", "f2", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch binary")
 
 
-def candidate_clusters(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes (node, sketch) that share a band with another."""
+def bucket_mates(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n_shingles, hub) of the nodes that share a band with another; hub is the least node of the bucket."""
     width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
-    keyed = nodes.select("node", F.explode(bands).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
-    return components(keyed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")), scratch)
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))).alias("key")))
+    keyed = nodes.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.inline(bands))
+    hubs = keyed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).filter("hub <> last").drop("last")
+    return meet(keyed, hubs, ["band", "key"], hub_line(BANDS * nodes.count()))
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    """(u, v): spanning links of the verified similarity inside each cluster (node, component, n_shingles)."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"))
-    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
-    placed = clusters.join(sizes, "component").select("node", "component", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, sketch, members): the sets of the nodes of wanted (node, print, sketch), read again from the texts of that doc_id."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows give their set once
         for batch in batches:
             for begin, texts in chunks(batch, "text"):
-                columns = [batch.column(k).slice(begin, len(texts)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["node", "component", "parts", "part", "members"])
+                found = [s.tobytes() for s in shingle_sets(texts)]
+                columns = [batch.column(k).slice(begin, len(texts)) for k in (0, 1, 2)]
+                stay = []
+                for members, own in zip(found, columns[2].to_pylist(), strict=True):
+                    stay.append(own not in seen and hashlib.sha256(members).digest() == own)
+                    if stay[-1]:
+                        seen.add(own)
+                yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(found, pa.binary())], ["node", "sketch", "members"]).filter(pa.array(stay, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    found = texts.join(placed.hint("shuffle_hash"), "node").select("node", "component", "parts", "part", "text").mapInArrow(sets, "node long, component long, parts int, part int, members binary")
-    held = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), (F.col("part") > F.col("other")).alias("late"), "node", "members"
+    return texts.join(wanted.hint("shuffle_hash"), "node").select("node", "sketch", "print", "text").mapInArrow(run, "node long, sketch binary, members binary")
+
+
+def hub_links(mates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the verified links between mates and the hubs of their buckets."""
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")
+    pairs = mates.filter("node <> hub").select("node", "hub").distinct().select("node", "hub", part)
+    of_mates = pairs.join(sets, "node").select("hub", "part", F.lit(True).alias("mate"), "node", "sketch", "members")
+    of_hubs = pairs.select(F.col("hub").alias("node"), "part").distinct().join(sets, "node").select(F.col("node").alias("hub"), "part", F.lit(False).alias("mate"), "node", "sketch", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, []
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                *key, mate, node, drawn, members = (batch.column(k)[i].as_py() for k in range(6))
+                members, drawn = np.frombuffer(members, dtype=np.uint64), np.frombuffer(drawn, dtype="<u2")
+                if key != now:
+                    now, hub = key, []
+                if not mate:  # one, or more if the doc_id stands on unlike texts; before the mates
+                    hub.append((members, drawn))
+                    continue
+                for own, registers in hub:
+                    if len(promising(np.array([float(len(own))]), registers[None], float(len(members)), drawn, percent)) and is_similar(own, members, percent):
+                        found.append((node, key[0]))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return of_mates.unionByName(of_hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "mate").mapInArrow(run, "u long, v long")
+
+
+def bucket_links(mates: DataFrame, sets: DataFrame, percent: int, block: int, line: int) -> DataFrame:
+    """(u, v): spanning links among the mates (band, key, node, hub, component, n_shingles) that hubs leave unconnected."""
+    rest = mates.filter("node <> hub").select("band", "key", "node", "component", "n_shingles")
+    sizes = rest.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("mass"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    placed = meet(rest, sizes.select("band", "key", "n", parts.alias("parts")), ["band", "key"], line).select("band", "key", "node", "component", "parts").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    held = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", "key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), (F.col("part") > F.col("other")).alias("late"), "node", "component"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, members, split = None, [], [], 0
+        key, rows, split = None, [], 0
 
         def done() -> pa.RecordBatch:
-            cut = split if key[1] != key[2] else 0
-            found = [] if key[1] != key[2] and not 0 < split < len(ids) else list(links(ids, members, np.array([sketch(m) for m in members]), cut, percent))
+            found = []
+            if key[2] == key[3] or 0 < split < len(rows):
+                ids, groups, members, drawn = zip(*rows, strict=True)
+                found = list(links(ids, groups, members, np.stack(drawn), split if key[2] != key[3] else 0, key[0], percent))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(k) for k in range(6)]
             for i in range(batch.num_rows):
-                now = tuple(columns[k][i].as_py() for k in range(3))
+                *now, late, node, component, drawn, members = (batch.column(k)[i].as_py() for k in range(9))
                 if now != key:
-                    if len(ids) > 1:
+                    if len(rows) > 1:
                         yield done()
-                    key, ids, members, split = now, [], [], 0
-                ids.append(columns[4][i].as_py())
-                members.append(np.frombuffer(columns[5][i].as_py(), dtype=np.uint64))
-                split += not columns[3][i].as_py()
-        if len(ids) > 1:
+                    key, rows, split = now, [], 0
+                rows.append((node, component, np.frombuffer(members, dtype=np.uint64), np.frombuffer(drawn, dtype="<u2")))
+                split += not late
+        if len(rows) > 1:
             yield done()
 
-    keys = ("component", "a", "b")
-    return held.repartition(*keys).sortWithinPartitions(*keys, "late", "node").mapInArrow(compare, "u long, v long")
+    keys = ("band", "key", "a", "b")
+    met = held.join(sets, "node").select(*keys, "late", "node", "component", "sketch", "members")
+    return met.repartition(*keys).sortWithinPartitions(*keys, "late", "node").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs; similarity of at least percent / 100 links."""
     scratch = Scratch(docs.sparkSession)
     base = scratch.write(with_sketches(docs))
-    keys = ("n_shingles", "f1", "f2")
+    keys = ["n_shingles", "print"]
     full = base.filter("doc_id is not null and n_shingles > 0")
     nodes = scratch.write(full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
-    # only the nodes of a doc_id that stands on unlike texts need a link; copies find their component by fingerprint
-    held = full.select("doc_id", *keys).join(nodes.select("node", *keys), list(keys)).groupBy("doc_id").agg(F.collect_set("node").alias("all"))
-    own = held.filter("size(all) > 1").select(F.col("doc_id").alias("u"), F.explode("all").alias("v"))
-    found = candidate_clusters(nodes.select("node", "sketch"), scratch)
-    clusters = scratch.write(found.join(nodes.select("node", "n_shingles"), "node"))
-    linked = verified_links(docs, clusters, percent, block)
-    labels = scratch.write(components(linked.unionByName(own), scratch))
-    named = nodes.select("node", *keys).join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component"))
-    out = base.select("doc_id", *keys).join(named, list(keys), "left")
+    # only the nodes of a doc_id that stands on unlike texts need a link; copies find their component by their set's print
+    held = full.select("doc_id", *keys).join(nodes.select("node", *keys), keys).select("doc_id", "node")
+    several = held.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("doc_id")
+    own = held.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    mates = scratch.write(bucket_mates(nodes))
+    sets = scratch.write(full_sets(docs, nodes.join(mates.select("node").distinct(), "node").select("node", "print", "sketch")))
+    first = scratch.write(components(hub_links(mates, sets, percent).unionByName(own), scratch))
+    grouped = mates.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = bucket_links(grouped, sets, percent, block, hub_line(mates.count()))
+    for end in ("u", "v"):  # what hubs have joined is one node
+        more = more.join(first.select(F.col("node").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).select("u", "v")
+    second = scratch.write(components(more, scratch)).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    named = nodes.select("node", *keys).join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).join(second, "component", "left").select(*keys, F.coalesce("last", "component").alias("component"))
+    out = base.select("doc_id", *keys).join(named, keys, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
