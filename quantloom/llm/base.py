@@ -37,6 +37,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         self.root = f"{shared or tempfile.mkdtemp()}/scratch-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._quiet_drop, self.root)

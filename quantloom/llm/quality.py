@@ -11,7 +11,7 @@ enter a score.
 
 Defined cases: NULL texts count as empty, whose statistics are all 0; they are scored like any other. Without labelled
 rows every score is 0.5; if all labels agree, every score is (n1 + 1) / (n + 2). Rows with a NULL label are not used; a
-doc_id labelled twice counts once, with the lower label. Repeated rows are each scored. Extra columns are ignored.
+doc_id labelled twice counts once, with the lower label and its least text. Repeated rows are each scored. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,16 +194,20 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> Rules:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int) -> DataFrame:
-    """(doc_id, label, text) of at most SAMPLE labelled documents outside the held-out fold."""
+    """(doc_id, label, text) of at most SAMPLE labelled documents outside the held-out fold, those of least hash of id.
+
+    Of unlike texts that share a doc_id the least one counts.
+    """
     own = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held))
     least = own.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return docs.select("doc_id", "text").join(F.broadcast(least), "doc_id")
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(least), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Rules:
     sample = labelled_sample(docs, labels, "quality", 5, 0)
     stats = with_statistics(sample, whole=True).select("_keep.doc_id", F.col("_keep.label").cast("double").alias("label"), *[f"s_{c}" for c in STATS])
-    rows = stats.limit(2 * SAMPLE).toPandas().sort_values(["doc_id", "s_words", "s_length"])
+    rows = stats.toPandas().sort_values("doc_id")  # SAMPLE rows at most
     return fit_rules(rows[[f"s_{c}" for c in STATS]].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))
 
 

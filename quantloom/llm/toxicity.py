@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, and a linear classifier.
 
-1. Of near-copies among the labelled documents one is kept. Terms, words and word beginnings of three to seven letters, are counted over labelled documents in Spark; those that
-   are much commoner in toxic than in clean documents become voters: the strongest terms each by itself, the others in lexicons
-   of words and groups of patterns. A voter fires on a document that holds one of its terms.
+1. Of near-copies among the labelled documents one is kept. Terms, words and word beginnings of three to seven letters, are
+   counted over labelled documents in Spark; those that are much commoner in toxic than in clean documents become voters:
+   the strongest terms each by itself, the others in lexicons of words and groups of patterns. A voter fires on a document
+   that holds one of its terms.
 2. In the label model each voter fires with one probability on toxic and another on clean documents, and that none
    fires is a voter of its own. Expectation-maximisation estimates these rates and the share of toxic documents, starting
    from the labelled rates. The correlations of voters inside each class are estimated as well, and a vote counts for one
@@ -16,7 +17,7 @@ enter a score.
 
 Defined cases: NULL texts count as empty and score as a document without terms; without labelled rows or without toxic
 ones every score is the share of toxic ones, (n1 + 1) / (n + 2), or 0.0 if no row is labelled. Rows with a NULL label
-are not used; a doc_id labelled twice counts once, with the lower label. Repeated rows are each scored. Extra columns
+are not used; a doc_id labelled twice counts once, with the lower label and its least text. Repeated rows are each scored. Extra columns
 are ignored.
 """
 
@@ -219,7 +220,7 @@ def one_of_each_family(sample: DataFrame) -> DataFrame:
     rows = sample.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, least array<long>").withColumn("h", F.xxhash64("doc_id"))
     seen: set[tuple[int, int]] = set()
     kept = []
-    for r in sorted(rows.limit(2 * SAMPLE).collect(), key=lambda r: (r["h"], r["doc_id"], r["least"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"], r["least"])):
         keys = set(enumerate(r["least"]))
         if not keys & seen:
             kept.append((r["doc_id"],))
@@ -241,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "found"])
 
     rows = sample.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), F.col("text").cast("binary").alias("text"))
-    held = rows.mapInArrow(run, "doc_id long, label int, found array<int>").limit(2 * SAMPLE).collect()
+    held = rows.mapInArrow(run, "doc_id long, label int, found array<int>").collect()  # SAMPLE rows at most
     held.sort(key=lambda r: (r["doc_id"], r["found"]))
     ones = sum(bool(r["label"]) for r in held)
     if not held or not ones or not terms:

@@ -237,6 +237,21 @@ def test_pipeline_stages_take_effect(spark, data):
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(now.columns)
 
 
+def test_pipeline_stages_on_odd_rows_and_on_none(spark, data):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", len(long)), (3, long, "en", "a", len(long)), (3, "other words", "en", "a", 11), (None, "no id at all", "en", "b", 12), (4, " ".join(["one two three four five six"] * 3), "en", "b", 80)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, data)
+            assert out.count() <= 3 * docs.count()
+            assert name == "encoding" or out.columns == docs.columns
+    near = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), data).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near if r["text"]) == sorted([(0, rows[5][1]), (3, "other words"), (4, rows[6][1])])
+
+
 def test_pipeline_drops_near_copies_from_jaccard_80(spark, data):
     import corpus_pipeline
 
