@@ -32,7 +32,7 @@ from quantloom.llm.vectors import matrices
 
 SAMPLE = 4096
 LEAD = 16
-TILE = 4096
+TILE = 16_384
 SLACK = 1e-4
 
 UNITS = "vec_id long, dim int, f1 long, f2 long, unit binary"
@@ -89,15 +89,34 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> I
             yield a, b
 
 
-def compare_tiles(tiles: DataFrame, pairs: int, threshold: float) -> DataFrame:
+def plan_tiles(tiles: list[tuple[int, float, float, int]], reach: float) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(name, place, first, last) of each tile (dim, low, high, name): the tiles from first to last may hold links with it;
+    and the number of pairs. Tiles are taken in order of (dim, low); within a dimension the greatest high so far never falls.
+    """
+    order = sorted(tiles)
+    dims, low, high = (np.array([t[k] for t in order]) for k in range(3))
+    spans, pairs = [], 0
+    for d in np.unique(dims):
+        begin, end = np.searchsorted(dims, d, "left"), np.searchsorted(dims, d, "right")
+        tops = np.maximum.accumulate(high[begin:end])
+        first = begin + np.searchsorted(tops, low[begin:end] - reach, "left")
+        last = begin + np.searchsorted(low[begin:end], tops + reach, "right") - 1
+        places = np.arange(begin, end)
+        spans += list(zip((order[k][3] for k in places), places.tolist(), first.tolist(), last.tolist(), strict=True))
+        pairs += int((last - places + 1).sum())
+    return spans, pairs
+
+
+def compare_tiles(tiles: DataFrame, pairs: int, threshold: float, rotation: dict) -> DataFrame:
     """Rows (u, v, weight): v NULL: weight more links of node u; weight NULL: u and v are linked, a forest edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b, k, ids, weights, dim = (batch.column(c)[i].as_py() for c in range(6))
-                tile = np.frombuffer(ids, dtype=np.int64), np.frombuffer(weights, dtype=np.int64), np.frombuffer(batch.column(6)[i].as_py()).reshape(-1, dim), np.frombuffer(batch.column(7)[i].as_py()).reshape(-1, dim)
+                a, b, _, ids, weights, dim, units = (batch.column(c)[i].as_py() for c in range(7))
+                own = np.frombuffer(units).reshape(-1, dim)
+                tile = np.frombuffer(ids, dtype=np.int64), np.frombuffer(weights, dtype=np.int64), own @ rotation[dim][0] if dim in rotation else own, own
                 if (a, b) != now:
                     now, first = (a, b), tile
                     if a != b:
@@ -135,56 +154,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         for batch in batches:
             dims = batch.column(2).to_numpy(zero_copy_only=False)
             for d in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == d)
-                part = batch.take(pa.array(rows))
+                part = batch.take(pa.array(np.flatnonzero(dims == d)))
                 own = np.stack([np.frombuffer(v.as_py()) for v in part.column(3)])
-                turned = own @ rotation[d][0] if d in rotation else own
-                slot = np.searchsorted(cuts.get(d, np.empty(0)), turned[:, 0])
-                columns = [part.column(0), part.column(1), part.column(2), pa.array(slot.astype(np.int32)), pa.array(turned[:, 0]), pa.array([r.tobytes() for r in turned], pa.binary()), part.column(3)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "weight", "dim", "slot", "lead", "turned", "unit"])
+                lead = own @ rotation[d][0][:, 0] if d in rotation else own[:, 0]
+                slot = np.searchsorted(cuts.get(d, np.empty(0)), lead)
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(slot.astype(np.int32)), pa.array(lead), part.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "weight", "dim", "slot", "lead", "unit"])
 
-    placed = nodes.select("node", "weight", "dim", "unit").mapInArrow(place, "node long, weight long, dim int, slot int, lead double, turned binary, unit binary")
+    placed = nodes.select("node", "weight", "dim", "unit").mapInArrow(place, "node long, weight long, dim int, slot int, lead double, unit binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each run of at most ``tile`` rows of a slot; rows come sorted by (dim, slot)."""
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            ids, weights, leads, turned, units = zip(*held, strict=True)
-            blobs = np.array(ids, dtype=np.int64).tobytes(), np.array(weights, dtype=np.int64).tobytes(), b"".join(turned), b"".join(units)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([min(leads)]), pa.array([max(leads)]), *(pa.array([x], pa.binary()) for x in blobs)], ["dim", "low", "high", "ids", "weights", "turned", "units"])
+            ids, weights, leads, units = zip(*held, strict=True)
+            blobs = np.array(ids, dtype=np.int64).tobytes(), np.array(weights, dtype=np.int64).tobytes(), b"".join(units)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([min(leads)]), pa.array([max(leads)]), *(pa.array([x], pa.binary()) for x in blobs)], ["dim", "low", "high", "ids", "weights", "units"])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for node, weight, dim, slot, lead, turned, unit in zip(*columns, strict=True):
+            for node, weight, dim, slot, lead, unit in zip(*columns, strict=True):
                 if (dim, slot) != now or len(held) >= tile:
                     if held:
                         yield done()
                     now, held = (dim, slot), []
-                held.append((node, weight, lead, turned, unit))
+                held.append((node, weight, lead, unit))
         if held:
             yield done()
 
-    packed = placed.repartition("dim", "slot").sortWithinPartitions("dim", "slot").mapInArrow(pack, "dim int, low double, high double, ids binary, weights binary, turned binary, units binary")
-    stored = scratch.write(packed.withColumn("name", F.xxhash64("ids")))
-    reach = np.sqrt(2 - 2 * threshold) + SLACK
-    order = sorted((r["dim"], r["low"], r["high"], r["name"]) for r in stored.select("dim", "low", "high", "name").collect())  # 32 bytes a tile
-    spans, begin, pairs = [], 0, 0
-    tops: list[float] = []
-    for k, (d, low, high, name) in enumerate(order):
-        if k and order[k - 1][0] != d:
-            begin, tops = k, []
-        tops.append(high)
-        first = begin + int(np.argmax(np.maximum.accumulate(tops) >= low - reach))
-        last = k
-        while last + 1 < len(order) and order[last + 1][0] == d and order[last + 1][1] <= max(tops) + reach:
-            last += 1
-        spans.append((name, k, first, last))
-        pairs += last - k + 1
-    numbered = stored.join(F.broadcast(vectors.sparkSession.createDataFrame(spans or [(0, 0, 0, 0)], "name long, k int, first int, last int")), "name")
+    packed = placed.repartition("dim", "slot").sortWithinPartitions("dim", "slot").mapInArrow(pack, "dim int, low double, high double, ids binary, weights binary, units binary")
+    stored = scratch.write(packed.withColumn("name", F.xxhash64("dim", "ids")))
+    tiles = [(r["dim"], r["low"], r["high"], r["name"]) for r in stored.select("dim", "low", "high", "name").collect()]  # 32 bytes a tile
+    spans, pairs = plan_tiles(tiles, float(np.sqrt(2 - 2 * threshold)) + SLACK)
+    numbered = stored.join(vectors.sparkSession.createDataFrame(spans or [(0, 0, 0, 0)], "name long, k int, first int, last int"), "name")
     other = numbered.withColumn("other", F.explode(F.sequence("first", "last")))
-    asked = other.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "ids", "weights", "dim", "turned", "units")
-    found = scratch.write(compare_tiles(asked, max(1, min(pairs, 10_000)), threshold))
+    asked = other.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "ids", "weights", "dim", "units")
+    found = scratch.write(compare_tiles(asked, max(1, min(pairs, 10_000)), threshold, rotation))
     own = base.join(nodes.select("node", *keys), keys).select(F.col("vec_id").alias("u"), F.col("node").alias("v"))
     labels = scratch.write(components(found.filter("weight is null").select("u", "v").unionByName(own.filter("u <> v")), scratch))
     more = found.filter("v is null").groupBy("u").agg(F.sum("weight").alias("links"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -155,6 +156,23 @@ def test_vector_links_equal_brute_force(spark, tile):
     assert vector_dup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_tile_plans_hold_all_near_ranges_and_are_quick():
+    rng = np.random.default_rng(5)
+    low = rng.normal(size=300)
+    tiles = [(int(k % 2), float(x), float(x + w), k) for k, (x, w) in enumerate(zip(low, rng.exponential(0.1, size=300), strict=True))]
+    spans, pairs = vector_dup.plan_tiles(tiles, 0.3)
+    order, of = sorted(tiles), {name: (first, last) for name, _, first, last in spans}
+    for i, (d, lo, hi, name) in enumerate(order):
+        for j, (e, lo2, hi2, _) in enumerate(order):
+            if d == e and lo <= hi2 + 0.3 and lo2 <= hi + 0.3:
+                assert of[name][0] <= j <= of[name][1]
+    assert pairs == sum(last - k + 1 for _, k, _, last in spans)
+    assert all(of[order[j][3]][0] <= k <= of[order[j][3]][1] for _, k, first, last in spans for j in range(first, last + 1))
+    began = time.perf_counter()
+    vector_dup.plan_tiles([(64, float(x), float(x + 0.001), k) for k, x in enumerate(rng.uniform(-0.5, 0.5, size=20_000))], 0.3)
+    assert time.perf_counter() - began < 2
+
+
 @pytest.mark.parametrize("shard", [4096, 9])
 def test_top_k_equals_brute_force(spark, shard):
     frame, rows = odd_vectors(spark, 1)
