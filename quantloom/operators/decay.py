@@ -86,7 +86,9 @@ class DecayConfig:
 
 
 def apply_decay(panel: DataFrame, x: str, cfg: DecayConfig) -> DataFrame:
-    """(instrument, ts, x_decay): decayed, then filled, then shifted."""
+    """(instrument, ts, x_decay): gaps filled, decayed, shifted, and what is still missing filled."""
+    filled = lambda c: F.coalesce(c, F.lit(cfg.fill)) if cfg.fill is not None else F.col(c)
+    panel = panel.select("instrument", "ts", filled(x).alias(x))
     if cfg.kind == "ewma":
         out = ewma(panel, x, cfg.alpha, cfg.min_periods).withColumnRenamed(f"{x}_ewma", "_d")
     elif cfg.kind == "none":
@@ -94,9 +96,8 @@ def apply_decay(panel: DataFrame, x: str, cfg: DecayConfig) -> DataFrame:
     else:
         weights = kernel_weights(cfg.kind, cfg.window, cfg.power)
         out = panel.select("instrument", "ts", kernel_mean(x, weights, cfg.min_periods).alias("_d"))
-    value = F.coalesce("_d", F.lit(cfg.fill)) if cfg.fill is not None else F.col("_d")
-    out = out.withColumn("_d", value)
-    return out.select("instrument", "ts", (lag("_d", cfg.shift) if cfg.shift else F.col("_d")).alias(f"{x}_decay"))
+    out = out.withColumn("_d", lag("_d", cfg.shift)) if cfg.shift else out
+    return out.select("instrument", "ts", filled("_d").alias(f"{x}_decay"))
 
 
 def ar1_half_life(panel: DataFrame, x: str) -> DataFrame:

@@ -114,7 +114,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, cfg: ModelConfig) -> tuple[np.nda
     w, b = np.random.default_rng(cfg.seed).normal(0, 0.01, x.shape[1]), 0.0
     for _ in range(cfg.rounds):
         gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        w, b = w - cfg.rate * (x.T @ gap / len(y) + w / cfg.c / len(y)), b - cfg.rate * gap.mean()
+        w, b = w - cfg.rate * (x.T @ gap / len(y) + w / max(cfg.c, CLIP)), b - cfg.rate * gap.mean()
     return w, float(b)
 
 
@@ -136,32 +136,38 @@ def ridge_moments(panel: DataFrame, features: list[str], label: str, by: str = "
     )
 
 
-def fit_models(panel: DataFrame, features: list[str], label: str, cfg: ModelConfig = ModelConfig(), by: tuple[str, ...] = ("instrument",)) -> DataFrame:
-    """(by, n, intercept, weights, means, stds): one fit for each key, side by side; fewer than two classes give no row."""
+def fit_models(panel: DataFrame, features: list[str], label: str, cfg: ModelConfig = ModelConfig(), by: tuple[str, ...] = ("instrument",), calibration: str = "none") -> DataFrame:
+    """(by, n, intercept, weights, means, stds, cal_x, cal_y): one fit for each key, side by side, and the calibration of its
+    scores on the rows it was fitted on; fewer than two classes give no row."""
     features = sorted(features)
-    schema = ", ".join([*(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by), "n long, intercept double, weights array<double>, means array<double>, stds array<double>"])
+    schema = ", ".join([*(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by), "n long, intercept double, weights array<double>, means array<double>, stds array<double>, cal_x array<double>, cal_y array<double>"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         x, mean, std = standardise(pdf[features].to_numpy(dtype=float))
         y = pdf[label].to_numpy(dtype=float)
-        names = [*by, "n", "intercept", "weights", "means", "stds"]
+        names = [*by, "n", "intercept", "weights", "means", "stds", "cal_x", "cal_y"]
         if len(np.unique(y)) < 2:
             return pd.DataFrame(columns=names)
         w, b = (fit_logistic if cfg.kind == "logistic" else fit_ridge)(x, y, cfg)
-        return pd.DataFrame([[*key, len(y), b, w.tolist(), mean.tolist(), std.tolist()]], columns=names)
+        cal = fit_calibration(1 / (1 + np.exp(-(x @ w + b))), y, calibration)
+        return pd.DataFrame([[*key, len(y), b, w.tolist(), mean.tolist(), std.tolist(), *(c.tolist() for c in cal)]], columns=names)
 
     return panel.select(*by, "ts", *features, label).dropna(subset=[*features, label]).groupBy(*by).applyInPandas(run, schema)
 
 
-def predict(panel: DataFrame, models: DataFrame, features: list[str], by: tuple[str, ...] = ("instrument",)) -> DataFrame:
-    """panel with p_follow, the sigmoid of the linear score; a feature that panel lacks counts as NULL, and so does p_follow."""
+def predict(panel: DataFrame, models: DataFrame, features: list[str], by: tuple[str, ...] = ("instrument",), calibration: str | None = None) -> DataFrame:
+    """panel with p_follow, the sigmoid of the linear score, calibrated if a calibration is named; a feature that panel lacks
+    counts as NULL, and so does p_follow."""
     features = sorted(features)
     x = F.array(*[F.col(c).cast("double") if c in panel.columns else F.lit(None).cast("double") for c in features])
     joined = panel.join(models.drop("n"), list(by), "left").withColumn("_x", x)
     terms = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.col("weights").alias("w"), F.col("means").alias("m"), F.col("stds").alias("s")), lambda t: t["w"] * (t["x"] - t["m"]) / t["s"])
     score = F.aggregate(terms, F.col("intercept"), lambda s, t: s + t)
-    return joined.withColumn("p_follow", 1 / (1 + F.exp(-score))).drop("_x", "weights", "means", "stds", "intercept")
+    out = joined.withColumn("p_follow", 1 / (1 + F.exp(-score)))
+    if calibration:
+        out = out.withColumn("p_follow", calibrated(F.col("p_follow"), F.col("cal_x"), F.col("cal_y"), calibration))
+    return out.drop("_x", "weights", "means", "stds", "intercept", "cal_x", "cal_y")
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,21 +183,51 @@ def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([x for b in blocks for x in (b[2], b[3])]), np.array([b[0] for b in blocks for _ in (0, 1)])
 
 
-def calibrate_scores(scores: np.ndarray, y: np.ndarray, kind: str, rounds: int = 300, rate: float = 0.1) -> np.ndarray:
-    """Calibrated probabilities of the scores: none, platt, beta or isotonic, kept inside [1e-6, 1 - 1e-6]."""
+def fit_calibration(scores: np.ndarray, y: np.ndarray, kind: str, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters of a calibration: knots and their values (isotonic), or weights and intercept (platt, beta) by gradient
+    steps from zero, 200 on the score itself and 300 on the logarithms of it and of its complement."""
+    if kind == "none":
+        return np.empty(0), np.empty(0)
+    if kind == "isotonic":
+        return isotonic(scores, y)
+    if kind not in ("platt", "beta"):
+        raise ValueError("unknown calibration")
+    p = np.clip(scores, CLIP, 1 - CLIP)
+    x = scores[:, None] if kind == "platt" else np.stack([np.log(p), np.log(1 - p)], axis=1)
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(200 if kind == "platt" else 300):
+        gap = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - rate * x.T @ gap / len(y), b - rate * gap.mean()
+    return w, np.array([b])
+
+
+def calibrate_scores(scores: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """Calibrated probabilities of the scores by a calibration fitted on them: none (kept inside [1e-6, 1 - 1e-6]), platt, beta
+    or isotonic."""
+    w, v = fit_calibration(scores, y, kind)
     p = np.clip(scores, CLIP, 1 - CLIP)
     if kind == "isotonic":
-        p = np.interp(scores, *isotonic(scores, y))
-    elif kind in ("platt", "beta"):
-        x = np.log(p / (1 - p))[:, None] if kind == "platt" else np.stack([np.log(p), -np.log(1 - p)], axis=1)
-        w, b = np.ones(x.shape[1]), 0.0
-        for _ in range(rounds):
-            gap = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-            w, b = w - rate * x.T @ gap / len(y), b - rate * gap.mean()
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-    elif kind != "none":
+        return np.interp(scores, w, v)
+    if kind == "none":
+        return p
+    return 1 / (1 + np.exp(-(scores * w[0] + v[0] if kind == "platt" else np.log(p) * w[0] + np.log(1 - p) * w[1] + v[0])))
+
+
+def calibrated(score: Column, x: Column, y: Column, kind: str) -> Column:
+    """The calibration with parameters x and y, arrays as fit_calibration() gives them, of a score."""
+    p = F.least(F.greatest(score, F.lit(CLIP)), F.lit(1 - CLIP))
+    if kind == "none":
+        return p
+    if kind == "platt":
+        return 1 / (1 + F.exp(-(score * x[0] + y[0])))
+    if kind == "beta":
+        return 1 / (1 + F.exp(-(F.log(p) * x[0] + F.log(1 - p) * x[1] + y[0])))
+    if kind != "isotonic":
         raise ValueError("unknown calibration")
-    return np.clip(p, CLIP, 1 - CLIP)
+    k = F.size(F.filter(x, lambda v: v <= score))  # knots at or below the score
+    at = lambda a, i: F.try_element_at(a, i)
+    between = at(y, k) + (score - at(x, k)) / (at(x, k + 1) - at(x, k)) * (at(y, k + 1) - at(y, k))
+    return F.when(score.isNull() | x.isNull(), None).when(k == 0, at(y, F.lit(1))).when(k == F.size(x), at(y, F.size(x))).otherwise(between)
 
 
 def calibrate(panel: DataFrame, kind: str, score: str = "p_follow", label: str = "label") -> DataFrame:
@@ -224,16 +260,29 @@ def select_threshold(panel: DataFrame, p: str = "p_follow", pnl: str = "pnl") ->
     return best.select("instrument", F.coalesce("b.threshold", F.lit(0.5)).alias("threshold"), F.col("b.mean_pnl").alias("mean_pnl"))
 
 
-def decide(panel: DataFrame, policy: str = "threshold", threshold: float = 0.5, p: str = "p_follow", signal: str = "signal", max_size: float = 1.0, payoff: float = 1.0, cost: float = 0.0) -> DataFrame:
-    """panel with action (1 follow, 0 skip), size and edge by threshold, kelly_fraction or bayes_risk, also called utility."""
-    chance = F.col(p)
-    risk = chance * payoff - (1 - chance) - cost
-    edge = {"threshold": chance - threshold, "kelly_fraction": chance - (1 - chance) / payoff, "bayes_risk": risk, "utility": risk}[policy]
-    live = chance.isNotNull() & F.col(signal).isNotNull() & (F.col(signal) != 0)
-    go = edge >= 0 if policy == "threshold" else edge > 0
-    size = F.lit(1.0) if policy != "kelly_fraction" else F.greatest(F.lit(0.0), F.least(F.lit(max_size), edge))
-    act = F.when(live & go, 1).otherwise(0)
-    return panel.withColumn("edge", edge).withColumn("action", act).withColumn("size", F.when(act == 1, size).otherwise(0.0))
+def decide(panel: DataFrame, policy: str = "threshold", threshold: float | Column = 0.5, p: str = "p_follow", signal: str = "signal", max_size: float = 1.0, payoff: float = 1.0) -> DataFrame:
+    """panel with action (the signal's side, 0: skip), size and edge by threshold, kelly_fraction or bayes_risk, also called utility.
+
+    threshold: follows from the threshold on, and the size is the part of the way from there to 1. kelly_fraction: the size
+    is the Kelly fraction for the payoff. bayes_risk: the size is the edge p - (1 - p), which the other policies leave
+    NULL. Sizes stay in [0, 1] or [0, max_size]; a NULL chance has no size and action 0.
+    """
+    chance, bounded = F.col(p), lambda x, top: F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(top), x)))
+    edge = F.lit(None).cast("double")
+    if policy == "threshold":
+        line = F.lit(threshold) if isinstance(threshold, float) else threshold
+        go, size = chance >= line, bounded((chance - line) / (1 - line), 1.0)
+    elif policy == "kelly_fraction":
+        kept = F.when(chance.isNotNull(), F.least(F.greatest(chance, F.lit(CLIP)), F.lit(1 - CLIP)))
+        size = bounded((kept * payoff - (1 - kept)) / max(payoff, CLIP), max_size)
+        go = size > 0
+    elif policy in ("bayes_risk", "utility"):
+        edge = chance - (1 - chance)
+        go, size = edge > 0, bounded(edge, max_size)
+    else:
+        raise ValueError("unknown policy")
+    action = F.when(F.coalesce(go, F.lit(False)), F.signum(signal)).otherwise(0.0)
+    return panel.withColumn("edge", edge).withColumn("action", action).withColumn("size", size)
 
 
 def fingerprint(config) -> str:
@@ -246,11 +295,11 @@ def schema_fingerprint(columns: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(columns)).encode()).hexdigest()
 
 
-def out_of_sample(panel: DataFrame, features: list[str], label: str, folds: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """(instrument, ts, fold, label, p_follow): each test row predicted by the model of its own fold's train rows."""
+def out_of_sample(panel: DataFrame, features: list[str], label: str, folds: DataFrame, cfg: ModelConfig = ModelConfig(), calibration: str = "none") -> DataFrame:
+    """(instrument, ts, fold, label, p_follow): each test row predicted, and calibrated, by its own fold's train rows."""
     joined = panel.join(folds.select("instrument", "ts", "fold", "part"), ["instrument", "ts"])
-    models = fit_models(joined.filter("part = 'train'"), features, label, cfg, ("instrument", "fold"))
-    tested = predict(joined.filter("part = 'test'"), models, features, ("instrument", "fold"))
+    models = fit_models(joined.filter("part = 'train'"), features, label, cfg, ("instrument", "fold"), calibration)
+    tested = predict(joined.filter("part = 'test'"), models, features, ("instrument", "fold"), calibration)
     return tested.select("instrument", "ts", "fold", label, "p_follow")
 
 

@@ -66,6 +66,10 @@ def durations(panel: DataFrame, state: str = "state") -> DataFrame:
     return runs(panel, state).groupBy("instrument", "state").agg(F.count("*").alias("n_runs"), F.sum("length").alias("n_rows"), F.avg("length").alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"))
 
 
+#: Least mass of a live state, and what is added to each count of steps.
+LEAST_MASS, LEAST_STEP = 1e-6, 1e-12
+
+
 @dataclass(frozen=True)
 class HmmConfig:
     n_states: int = 2
@@ -135,26 +139,29 @@ class Hmm:
 def fit_hmm(x: np.ndarray, cfg: HmmConfig) -> Hmm:
     """Diagonal Gaussian hidden Markov model of rows (n, d) by expectation-maximisation; states by ascending first mean."""
     n, k = len(x), cfg.n_states
-    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
+    centre, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 0, scale, 1.0)
     z = (x - centre) / scale
-    groups = np.array_split(np.argsort(z[:, 0], kind="stable"), k)
-    means = np.stack([z[g].mean(axis=0) for g in groups])
-    if cfg.init == "kmeans":
-        for _ in range(20):
+    if cfg.init == "quantile":
+        near = np.searchsorted(np.quantile(z[:, 0], np.linspace(0, 1, k + 1)[1:-1]), z[:, 0], "right")
+        means = np.stack([z[near == j].mean(axis=0) if (near == j).any() else z.mean(axis=0) for j in range(k)])
+    else:
+        means = z[np.random.default_rng(cfg.seed).choice(n, k, replace=False)]
+        for _ in range(10):
             near = ((z[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
             means = np.stack([z[near == j].mean(axis=0) if (near == j).any() else means[j] for j in range(k)])
-    variances = np.maximum(np.tile(z.var(axis=0), (k, 1)), cfg.floor)
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), means, variances, centre, scale)
+    variances = np.stack([z[near == j].var(axis=0) if (near == j).any() else z.var(axis=0) for j in range(k)])
+    model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), means, np.maximum(variances, cfg.floor), centre, scale)
     was = -math.inf
     for _ in range(cfg.rounds):
         weight, counts, gain = model.smooth(model.densities(x))
         mass = weight.sum(axis=0)
-        dead = mass < 1e-8
-        means = np.where(dead[:, None], model.means, weight.T @ z / np.maximum(mass, 1e-8)[:, None])
-        spread = np.stack([(weight[:, j, None] * (z - means[j]) ** 2).sum(axis=0) / max(mass[j], 1e-8) for j in range(k)])
-        rows = counts.sum(axis=1, keepdims=True)
-        step = np.where(rows > 1e-12, counts / np.maximum(rows, 1e-12), 1 / k)
-        model = Hmm(weight[0], step, means, np.maximum(np.where(dead[:, None], 1.0, spread), cfg.floor), centre, scale)
+        dead, safe = mass < LEAST_MASS, np.maximum(mass, LEAST_MASS)
+        means = weight.T @ z / safe[:, None]
+        spread = np.stack([(weight[:, j, None] * (z - means[j]) ** 2).sum(axis=0) / safe[j] for j in range(k)])
+        means[dead], spread[dead] = z.mean(axis=0), z.var(axis=0)  # a state that holds nothing starts again from all rows
+        start, step = np.maximum(weight[0], LEAST_STEP), counts + LEAST_STEP
+        model = Hmm(start / start.sum(), step / step.sum(axis=1, keepdims=True), means, np.maximum(spread, cfg.floor), centre, scale)
         if abs(gain - was) < cfg.tolerance:
             break
         was = gain

@@ -87,7 +87,7 @@ def guarded(panel: DataFrame, cfg: DrawdownGuard, position: str = "position", re
     out = out.withColumn("drawdown", drawdown("equity_proxy")).withColumn("_hit", F.col("drawdown") >= cfg.limit)
     out = out.withColumn("guard_active", cooldown("_hit", cfg.cooldown))
     if cfg.mode == "flatten":
-        scale = F.when(F.col("guard_active"), F.lit(cfg.floor)).otherwise(1.0)
+        scale = F.when(F.col("guard_active"), F.lit(0.0)).otherwise(1.0)
     else:
         scale = F.when(F.col("guard_active"), F.lit(cfg.floor)).otherwise(clip(1 - F.col("drawdown") / cfg.limit, cfg.floor, 1.0))
     out = out.withColumn("_scale", scale)

@@ -395,7 +395,7 @@ def _(s, d):
 
 @query("strategy_run", sql(HOURLY.replace("hourly as", "hh as"), "panel as (select instrument, date_trunc('day', ts) as ts, arg_max(price, ts) as price from (select instrument, ts, arg_max(price, seq) as price from hh group by 1, 2) group by 1, 2)", RETURNS, FEATURES, "pos as (select p.instrument, p.ts, p.price, 0.2 * f.z_mom_5 as alpha, tanh(0.2 * f.z_mom_5) as position from panel p join feats f using (instrument, ts))", BARS, SUMMARY, out=final("o", "instrument", "bars:i", "final_equity:d", "volatility:d", "turnover:d")))
 def _(s, d):
-    cfg = strategy.StrategyConfig(clean=clean.CleanConfig(max_abs_log_return=None), features=SMALL, risk=risk.RiskConfig(vol=None, max_turnover=None), backtest=COSTS)
+    cfg = strategy.StrategyConfig(clean=clean.CleanConfig(max_abs_log_return=None), features=SMALL, ensemble=Ensemble((Momentum(5), mean_reversion(5)), (0.6, 0.4)), risk=risk.RiskConfig(vol=None, max_turnover=None), backtest=COSTS)
     return strategy.run_strategy(hourly(s, d), cfg).summary.select("instrument", "bars", "final_equity", "volatility", "turnover")
 
 

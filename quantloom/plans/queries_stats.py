@@ -478,16 +478,16 @@ def _(s, d):
 
 
 for _policy, _edge, _go, _size in (
-    ("threshold", "p - 0.55", ">=", "1.0"),
-    ("kelly_fraction", "p - (1 - p) / 1.0", ">", "greatest(0.0, least(1.0, edge))"),
-    ("bayes_risk", "p * 1.0 - (1 - p) - 0.01", ">", "1.0"),
+    ("threshold", "null::double", "p >= 0.55", "greatest(0.0, least(1.0, (p - 0.55) / 0.45))"),
+    ("kelly_fraction", "null::double", "p - (1 - p) / 2.0 > 0", "greatest(0.0, least(0.3, (p * 2.0 - (1 - p)) / 2.0))"),
+    ("bayes_risk", "p - (1 - p)", "p > 0.5", "greatest(0.0, least(0.3, p - (1 - p)))"),
 ):
-    query("decision_policy" if _policy == "threshold" else f"decision_{_policy}", sql(*L, SCORED, f"e as (select *, {_edge} as edge from sc), a as (select *, case when z_mom_5 <> 0 and edge {_go} 0 then 1 else 0 end as action from e), o as (select *, case when action = 1 then {_size} else 0.0 end as size from a)", out=final("o", "instrument", "ts:t", "edge:d", "action:i", "size:d")))(
-        lambda s, d, k=_policy: meta.decide(scored(s, d), k, 0.55, signal="z_mom_5", cost=0.01 if k == "bayes_risk" else 0.0).select("instrument", "ts", "edge", "action", "size")
+    query("decision_policy" if _policy == "threshold" else f"decision_{_policy}", sql(*L, SCORED, f"o as (select *, {_edge} as edge, case when {_go} then sign(z_mom_5)::double else 0.0 end as action, case when p is not null then {_size} end as size from sc)", out=final("o", "instrument", "ts:t", "edge:d", "action:d", "size:d")))(
+        lambda s, d, k=_policy: meta.decide(scored(s, d), k, 0.55, signal="z_mom_5", max_size=0.3, payoff=2.0).select("instrument", "ts", "edge", "action", "size")
     )
 
 
-@query("meta_summary", sql(*L, SCORED, "a as (select *, case when z_mom_5 <> 0 and p - 0.55 >= 0 then 1 else 0 end as action from sc), o as (select instrument, avg(p) as p_mean, stddev_pop(p) as p_std, sum(action) as n_follow, sum(1 - action) as n_skip, sum(action) as n_sized from a group by 1)", out=final("o", "instrument", "p_mean:d", "p_std:d", "n_follow:i", "n_skip:i", "n_sized:i")))
+@query("meta_summary", sql(*L, SCORED, "a as (select *, case when p >= 0.55 then sign(z_mom_5) else 0 end as action, greatest(0.0, least(1.0, (p - 0.55) / 0.45)) as size from sc), o as (select instrument, avg(p) as p_mean, stddev_pop(p) as p_std, sum((action <> 0)::int) as n_follow, sum((action = 0)::int) as n_skip, sum((size <> 0)::int) as n_sized from a group by 1)", out=final("o", "instrument", "p_mean:d", "p_std:d", "n_follow:i", "n_skip:i", "n_sized:i")))
 def _(s, d):
     return strategy.meta_summary(meta.decide(scored(s, d), "threshold", 0.55, signal="z_mom_5"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import lag
@@ -186,9 +186,13 @@ class MetaConfig:
     up: float = 0.02
     down: float = 0.02
     quantile: float = 0.8
+    cv: str = "purged_kfold"
     folds: int = 4
     purge: int = 0
     embargo: int = 0
+    train_rows: int = 252
+    test_rows: int = 63
+    calibration: str = "none"
     model: meta.ModelConfig = field(default_factory=meta.ModelConfig)
     policy: str = "threshold"
     threshold: float | None = None
@@ -198,6 +202,8 @@ class MetaConfig:
     def __post_init__(self):
         if self.label not in ("meta_label", "return_sign", "quantile", "triple_barrier") or self.folds < 2 or self.horizon < 1:
             raise ValueError("unknown label, folds or horizon")
+        if self.cv not in ("purged_kfold", "combinatorial_purged_cv", "walk_forward") or self.calibration not in ("none", "platt", "beta", "isotonic"):
+            raise ValueError("unknown folds or calibration")
 
 
 @dataclass(frozen=True)
@@ -228,24 +234,43 @@ def fit_meta_model(panel: DataFrame, names: list[str], signal: str = "signal", r
     else:
         label = meta.meta_label(signal, returns, cfg.horizon, cfg.costs_bps) if cfg.label == "meta_label" else meta.sign_label(returns, cfg.horizon)
         rows = rows.withColumn("label", label)
-    rows = rows.withColumn("pnl", F.signum(signal) * features.forward_return(returns, cfg.horizon) - cfg.costs_bps / 1e4)
+    paid = rows.select("instrument", "ts", F.signum(lag(signal, cfg.output_shift) if cfg.output_shift else F.col(signal)).alias("_side"), features.forward_return(returns, cfg.horizon).alias("_f"))
     rows = rows.dropna(subset=[*names, "label"])
-    tested = meta.out_of_sample(rows, names, "label", meta.purged_kfold(rows, cfg.folds, cfg.horizon, cfg.purge, cfg.embargo), cfg.model)
-    scored = tested.join(rows.select("instrument", "ts", "pnl"), ["instrument", "ts"])
+    if cfg.cv == "walk_forward":
+        folds = meta.walk_forward(rows, cfg.train_rows, cfg.test_rows, gap=max(cfg.purge, cfg.horizon))
+    else:
+        folds = meta.purged_kfold(rows, cfg.folds, cfg.horizon, cfg.purge, cfg.embargo)
+    tested = meta.out_of_sample(rows, names, "label", folds, cfg.model, cfg.calibration)
+    # a score is acted on output_shift rows later, with the side of its own row
+    late = tested.withColumn("p_follow", lag("p_follow", cfg.output_shift)) if cfg.output_shift else tested
+    scored = late.join(paid, ["instrument", "ts"]).withColumn("pnl", F.col("_side") * F.col("_f") - cfg.costs_bps / 1e4)
     thresholds = meta.select_threshold(scored)
     if cfg.threshold is not None:
         thresholds = thresholds.withColumn("threshold", F.lit(cfg.threshold))
-    return MetaFit(tuple(sorted(names)), meta.fit_models(rows, names, "label", cfg.model), tested, meta.brier_ece(tested), thresholds, meta.schema_fingerprint(names), meta.fingerprint(cfg))
+    return MetaFit(tuple(sorted(names)), meta.fit_models(rows, names, "label", cfg.model, calibration=cfg.calibration), tested, meta.brier_ece(tested), thresholds, meta.schema_fingerprint(names), meta.fingerprint(cfg))
 
 
 def predict_meta_model(fit: MetaFit, panel: DataFrame, signal: str = "signal", cfg: MetaConfig = MetaConfig()) -> DataFrame:
-    """(instrument, ts, p_follow, action, size): what was known ``output_shift`` rows before; threshold 0.5 where none was found."""
+    """(instrument, ts, p_follow, action, size, edge): what was known ``output_shift`` rows before; threshold 0.5 where none was found."""
     names = [c for c in fit.names if c in panel.columns]
-    scored = meta.predict(_shifted(panel, names, cfg.feature_shift), fit.models, list(fit.names))
-    lined = scored.join(fit.thresholds.select("instrument", F.col("threshold").alias("_t")), "instrument", "left").withColumn("_t", F.coalesce("_t", F.lit(0.5)))
-    moved = lined.withColumn("p_follow", F.col("p_follow") - F.col("_t")) if cfg.policy == "threshold" else lined
-    decided = meta.decide(moved, cfg.policy, 0.0, signal=signal)
-    if cfg.policy == "threshold":
-        decided = decided.withColumn("p_follow", F.col("p_follow") + F.col("_t"))
-    out = decided.select("instrument", "ts", "p_follow", "action", "size")
-    return out.withColumns({c: lag(c, cfg.output_shift) for c in ("p_follow", "action", "size")}) if cfg.output_shift else out
+    scored = meta.predict(_shifted(panel, names, cfg.feature_shift), fit.models, list(fit.names), calibration=cfg.calibration)
+    lined = scored.join(fit.thresholds.select("instrument", F.col("threshold").alias("_t")), "instrument", "left")
+    decided = meta.decide(lined, cfg.policy, F.coalesce("_t", F.lit(0.5)), signal=signal)
+    given = ("p_follow", "action", "size", "edge")
+    out = decided.select("instrument", "ts", *given)
+    return out.withColumns({c: lag(c, cfg.output_shift) for c in given}) if cfg.output_shift else out
+
+
+def save_meta_model(fit: MetaFit, folder: str) -> None:
+    """A fit as Parquet folders, and its names and hashes as JSON beside them."""
+    for name in ("models", "out_of_sample", "calibration", "thresholds"):
+        getattr(fit, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark = fit.models.sparkSession
+    spark.createDataFrame([(list(fit.names), fit.schema_hash, fit.config_hash)], "names array<string>, schema_hash string, config_hash string").write.mode("overwrite").json(f"{folder}/facts")
+
+
+def load_meta_model(spark: SparkSession, folder: str) -> MetaFit:
+    """The fit that save_meta_model() wrote."""
+    facts = spark.read.schema("names array<string>, schema_hash string, config_hash string").json(f"{folder}/facts").first()
+    frames = {name: spark.read.parquet(f"{folder}/{name}") for name in ("models", "out_of_sample", "calibration", "thresholds")}
+    return MetaFit(tuple(facts["names"]), schema_hash=facts["schema_hash"], config_hash=facts["config_hash"], **frames)

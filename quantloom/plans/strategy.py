@@ -23,7 +23,7 @@ CAPABILITIES = {"meta_models": ["logistic", "ridge"], "calibrations": ["none", "
 class StrategyConfig:
     clean: CleanConfig = field(default_factory=CleanConfig)
     features: FeatureConfig = field(default_factory=lambda: FeatureConfig((3, 5, 10), (5,), (5,), 1))
-    ensemble: Ensemble = field(default_factory=lambda: Ensemble((Momentum(5), mean_reversion(5)), (0.6, 0.4)))
+    ensemble: Ensemble = field(default_factory=lambda: Ensemble((Momentum(5), mean_reversion(5)), (0.5, 0.5)))
     risk: RiskConfig = field(default_factory=RiskConfig)
     backtest: BacktestConfig = field(default_factory=BacktestConfig)
 
@@ -94,7 +94,7 @@ def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def meta_summary(decided: DataFrame) -> DataFrame:
     """(instrument, p_mean, p_std, n_follow, n_skip, n_sized) of a decided panel."""
-    return decided.groupBy("instrument").agg(F.avg("p_follow").alias("p_mean"), F.stddev_pop("p_follow").alias("p_std"), F.sum("action").alias("n_follow"), F.sum(1 - F.col("action")).alias("n_skip"), F.sum((F.col("size") != 0).cast("int")).alias("n_sized"))
+    return decided.groupBy("instrument").agg(F.avg("p_follow").alias("p_mean"), F.stddev_pop("p_follow").alias("p_std"), F.sum((F.col("action") != 0).cast("int")).alias("n_follow"), F.sum((F.col("action") == 0).cast("int")).alias("n_skip"), F.sum((F.col("size") != 0).cast("int")).alias("n_sized"))
 
 
 def ingest_report(ticks: DataFrame, keep: int = 10) -> tuple[DataFrame, DataFrame]:

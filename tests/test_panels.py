@@ -245,8 +245,47 @@ def test_models_calibration_and_policies(spark):
 
 def test_utility_is_the_bayes_risk_policy(spark):
     rows = spark.createDataFrame([(0.3, 1.0), (0.51, 1.0), (0.9, -1.0), (0.9, 0.0), (None, 1.0)], "p_follow double, signal double")
-    a, b = (meta.decide(rows, k, payoff=1.5, cost=0.01).collect() for k in ("utility", "bayes_risk"))
-    assert a == b and [r["action"] for r in a] == [0, 1, 1, 0, 0]
+    a, b = (meta.decide(rows, k).collect() for k in ("utility", "bayes_risk"))
+    assert a == b and [r["action"] for r in a] == [0, 1, -1, 0, 0]
+    assert [r["size"] and round(r["size"], 9) for r in a] == [0, 0.02, 0.8, 0.8, None]
+
+
+def test_policies_by_hand(spark):
+    rows = spark.createDataFrame([(0.3, 1.0), (0.6, -2.0), (1.0, 1.0), (0.8, None), (None, 1.0)], "p_follow double, signal double")
+    found = lambda **k: [(r["action"], r["size"] and round(r["size"], 9), r["edge"]) for r in meta.decide(rows, **k).collect()]
+    assert found(policy="threshold", threshold=0.5) == [(0, 0, None), (-1, 0.2, None), (1, 1, None), (None, 0.6, None), (0, None, None)]
+    assert found(policy="kelly_fraction", payoff=2.0, max_size=0.5) == [(0, 0, None), (-1, 0.4, None), (1, 0.5, None), (None, 0.5, None), (0, None, None)]
+
+
+def test_calibration_columns_equal_the_arrays(spark):
+    rng = np.random.default_rng(9)
+    scores, y = rng.uniform(size=60).round(2), rng.integers(0, 2, 60).astype(float)
+    asked = np.concatenate([scores, [0.0, 1.0]])
+    for kind in ("none", "platt", "beta", "isotonic"):
+        x, v = (F.array(*[F.lit(float(c)) for c in part]) for part in meta.fit_calibration(scores, y, kind))
+        got = [r[0] for r in spark.createDataFrame([(float(s),) for s in asked], "s double").select(meta.calibrated(F.col("s"), x, v, kind)).collect()]
+        assert np.allclose(got[:60], meta.calibrate_scores(scores, y, kind))
+    w, b = meta.fit_calibration(np.array([0.0, 1.0]), np.array([0.0, 1.0]), "platt")
+    a, c = 0.0, 0.0
+    for _ in range(200):  # the two-row gradient by hand
+        p0, p1 = 1 / (1 + np.exp(-c)), 1 / (1 + np.exp(-a - c))
+        a, c = a - 0.1 * (p1 - 1) / 2, c - 0.1 * (p0 + p1 - 1) / 2
+    assert np.allclose([w[0], b[0]], [a, c])
+
+
+def test_logistic_penalty_is_not_divided_by_rows():
+    x, y = np.array([[1.0], [-1.0]]), np.array([1.0, 0.0])
+    w, b = np.random.default_rng(7).normal(0, 0.01), 0.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.array([w + b, b - w])))
+        w, b = w - 0.1 * (((p[0] - 1) - p[1]) / 2 + w / 0.5), b - 0.1 * (p.sum() - 1) / 2
+    found, intercept = meta.fit_logistic(x, y, meta.ModelConfig(c=0.5))
+    assert np.allclose([found[0], intercept], [w, b])
+
+
+def test_decay_fills_before_and_after_the_shift(spark):
+    out = decay.apply_decay(series(spark, x=[1.0, None, 3.0]), "x", decay.DecayConfig("none", fill=0.5, shift=1)).orderBy("ts").collect()
+    assert [r["x_decay"] for r in out] == [0.5, 1.0, 0.5]
 
 
 def test_purged_folds_leave_a_gap(spark):

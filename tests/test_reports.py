@@ -40,6 +40,16 @@ def test_meta_model_runs(spark, label):
     assert len(fit.schema_hash) == 64 and len(fit.config_hash) == 16
 
 
+@pytest.mark.parametrize("calibration", ["platt", "isotonic"])
+def test_meta_model_with_walk_forward_and_calibration_is_kept_on_disk(spark, tmp_path, calibration):
+    cfg = reports.MetaConfig(horizon=2, cv="walk_forward", train_rows=30, test_rows=10, calibration=calibration, policy="kelly_fraction")
+    fit = reports.fit_meta_model(panel(spark), ["f1", "f2"], cfg=cfg)
+    reports.save_meta_model(fit, str(tmp_path / "fit"))
+    kept = reports.load_meta_model(spark, str(tmp_path / "fit"))
+    a, b = (reports.predict_meta_model(f, panel(spark), cfg=cfg).orderBy("instrument", "ts").collect() for f in (fit, kept))
+    assert a == b and any(r["size"] for r in a) and kept.names == ("f1", "f2") and kept.config_hash == fit.config_hash
+
+
 def test_predictions_use_no_later_rows(spark):
     fit = reports.fit_meta_model(panel(spark), ["f1", "f2"], cfg=CFG)
     a = reports.predict_meta_model(fit, panel(spark), cfg=CFG).filter("ts < '2024-02-20'").orderBy("instrument", "ts").collect()
