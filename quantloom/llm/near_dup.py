@@ -256,4 +256,17 @@ def op4_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "documents"))
 
 
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+h as (select doc_id, hash(g)::ubigint as g, g as s from g),
+n as (select doc_id, count(*) as n from g group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both from h a join h b on a.g = b.g and a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+pairs as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * p.both >= 85 * (x.n + y.n - p.both)),
+reach as (select a as x, b as y from pairs union select r.x, p.b from reach r join pairs p on r.y = p.a),
+least as (select x, min(y) as y from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(least.y, d.doc_id)) as component_id, d.doc_id <= coalesce(least.y, d.doc_id) as kept
+from documents d left join n on n.doc_id = d.doc_id left join least on d.doc_id = x
+"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_near_dup": op4_near_dup}
+ORACLES: dict[str, str] = {"op4_near_dup": ORACLE}

@@ -205,4 +205,16 @@ def op8_vector_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read_table(spark, folder, "embeddings"))
 
 
+ORACLE = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v where list_inner_product(e, e) > 0),
+pairs as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach as (select a as x, b as y from pairs union select r.x, p.b from reach r join pairs p on r.y = p.a),
+least as (select x, min(y) as y from reach group by 1),
+linked as (select a, count(*) as n from pairs group by 1)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(least.y, vec_id)) as component_id, vec_id <= coalesce(least.y, vec_id) as kept
+from embeddings left join least on vec_id = x left join linked on vec_id = a
+"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_vector_dup": op8_vector_dup}
+ORACLES: dict[str, str] = {"op8_vector_dup": ORACLE}
