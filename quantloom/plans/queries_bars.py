@@ -437,3 +437,25 @@ def _(s, d):
 @query("market_returns", sql(MARKET.replace("market as", "panel as"), RETURNS, out=final("ret", "instrument", "ts:t", "s:d")))
 def _(s, d):
     return market_panel(s, d).select("instrument", "ts", features.simple_return().alias("s"))
+
+
+@query("pseudo_price", sql(ITEMS, RETURNS, f"o as (select instrument, ts, exp(sum(ln(1 + coalesce(s, 0))) {over(PREFIX)}) as price from ret)", out=final("o", "instrument", "ts:t", "price:d")))
+def _(s, d):
+    return items_panel(s, d).withColumn("s", features.simple_return()).select("instrument", "ts", features.pseudo_price("s").alias("price"))
+
+
+@query("decay_filled", sql(ITEMS, RETURNS, f"k as (select instrument, ts, case when s < 0 then null else s end as x from ret), m as (select *, sum(coalesce(x, 0.1)) {over('rows between 2 preceding and current row')} / 3 as d from k), o as (select instrument, ts, coalesce({lagged('d', 2)}, 0.1) as x_decay from m)", out=final("o", "instrument", "ts:t", "x_decay:d")))
+def _(s, d):
+    kept = items_panel(s, d).withColumn("s", features.simple_return()).withColumn("x", F.when(F.col("s") < 0, None).otherwise(F.col("s")))
+    return decay.apply_decay(kept, "x", decay.DecayConfig("step", window=3, fill=0.1, shift=2))
+
+
+@query("late_nulls", sql(ITEMS, RETURNS, "o as (select instrument, sum((rn > 1 and (s is null or s > 0.5))::int) as n_late_nulls from ret group by 1)", out=final("o", "instrument", "n_late_nulls:i")))
+def _(s, d):
+    return risk.late_nulls(items_panel(s, d).withColumn("s", features.simple_return()).withColumn("returns", F.when(F.col("s") <= 0.5, F.col("s"))))
+
+
+@query("overlay_without_guard", sql(ITEMS, RETURNS, FEATURES, POSITIONS, f"g as (select *, price / {lagged('price')} - 1 as q from pos), o as (select instrument, ts, exp(sum(ln(1 + coalesce(q, 0))) {over(PREFIX)}) as equity_proxy, 0.0::double as drawdown, greatest(-1.0, least(1.0, position)) as position_target from g)", out=final("o", "instrument", "ts:t", "equity_proxy:d", "drawdown:d", "position_target:d")))
+def _(s, d):
+    out = risk.overlay(position_panel(s, d), risk.RiskConfig(vol=None, smooth_alpha=None, max_turnover=None, guard=None, max_leverage=1.0))
+    return out.select("instrument", "ts", "equity_proxy", "drawdown", "position_target")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -444,7 +445,27 @@ def _(s, d):
     return fits.select("instrument", "n", F.col("weights")[0].alias("w_mom_5"), F.col("weights")[1].alias("w_rv_5"))
 
 
-@query("logistic_fit")
+def descent(rows: str, start: tuple[float, ...], terms: tuple[str, ...], rounds: int, penalty: float = 0.0) -> str:
+    """gd: weights w0, w1, .. of terms and intercept w after rounds k of logistic gradient steps of 0.1 over rows (instrument, terms, label)."""
+    names = [f"w{k}" for k in range(len(start))]
+    score = " + ".join(f"gd.{w} * z.{t}" for w, t in zip(names, terms, strict=True))
+    steps = ", ".join(f"any_value(q.{w}) - 0.1 * (sum(q.gap * q.{t}) / count(*) + {penalty} * any_value(q.{w}))" for w, t in zip(names, terms, strict=True))
+    return (
+        f"gd as (select instrument, 0 as k, {', '.join(f'{v!r}::double as {w}' for v, w in zip(start, names, strict=True))}, 0.0::double as w from {rows} group by 1 union all "
+        f"select q.instrument, q.k + 1, {steps}, any_value(q.w) - 0.1 * avg(q.gap) from (select gd.*, {', '.join(f'z.{t}' for t in terms)}, 1 / (1 + exp(-({score} + gd.w))) - z.label as gap from gd join {rows} z using (instrument) where gd.k < {rounds}) q group by q.instrument, q.k)"
+    )
+
+
+START = tuple(np.random.default_rng(meta.ModelConfig().seed).normal(0, 0.01, 3).tolist())
+LOGISTIC = (
+    "lb as (select *, (y > 0)::int as label from wide where y <> 0), st as (select instrument, avg(mom_5) as m1, stddev_pop(mom_5) as s1, avg(rv_5) as m2, stddev_pop(rv_5) as s2, avg(z_mom_5) as m3, stddev_pop(z_mom_5) as s3 from lb group by 1), "
+    "zz as (select instrument, (mom_5 - m1) / s1 as a, (rv_5 - m2) / s2 as b, (z_mom_5 - m3) / s3 as c, label from lb join st using (instrument)), "
+    + descent("zz", START, ("a", "b", "c"), 200, 1.0)
+    + ", o as (select instrument, (select count(*) from zz where zz.instrument = gd.instrument) as n, w as intercept, unnest([0, 1, 2]) as k, unnest([w0, w1, w2]) as weight from gd where k = 200)"
+)
+
+
+@query("logistic_fit", sql(*L, LOGISTIC, out=final("o", "instrument", "n:i", "intercept:d", "k:i", "weight:d")).replace("with ", "with recursive ", 1))
 def _(s, d):
     fits = meta.fit_models(labelled(s, d), ["mom_5", "rv_5", "z_mom_5"], "label")
     return fits.select("instrument", "n", "intercept", F.posexplode("weights").alias("k", "weight"))
@@ -461,10 +482,21 @@ def scored(s, d):
     return labelled(s, d).withColumn("p_follow", 1 / (1 + F.exp(-0.5 * F.col("z_mom_5")))).withColumn("pnl", F.col("fwd") * F.signum("z_mom_5"))
 
 
-for _kind in ("platt", "beta", "isotonic"):
-    query("calibration" if _kind == "platt" else f"calibration_{_kind}")(lambda s, d, k=_kind: meta.calibrate(scored(s, d), k))
-
 SCORED = "sc as (select *, case when y = 0 then null else (y > 0)::int end as label, 1 / (1 + exp(-0.5 * z_mom_5)) as p, y * sign(z_mom_5) as pnl from wide)"
+CALIBRATED = {
+    "platt": descent("cs", (0.0,), ("p",), 200) + ", o as (select instrument, ts, p as p_follow, label, 1 / (1 + exp(-(w0 * p + w))) as p from cs join gd using (instrument) where k = 200)",
+    "beta": descent("cs", (0.0, 0.0), ("a", "b"), 300) + ", o as (select instrument, ts, p as p_follow, label, 1 / (1 + exp(-(w0 * a + w1 * b + w))) as p from cs join gd using (instrument) where k = 300)",
+    # the monotone fit at i: the greatest over j <= i of the least over k >= i of the mean of j..k
+    "isotonic": "s0 as (select *, row_number() over (partition by instrument order by p, ts) as i, sum(label) over (partition by instrument order by p, ts rows between unbounded preceding and current row) as c from cs), "
+    "s1 as (select a.instrument, a.i as j, b.i as k, min((b.c - a.c + a.label) / (b.i - a.i + 1)) over (partition by a.instrument, a.i order by b.i desc) as least from s0 a join s0 b on a.instrument = b.instrument and a.i <= b.i), "
+    "s2 as (select instrument, k as i, max(least) as fit from s1 group by 1, 2), o as (select instrument, ts, s0.p as p_follow, label, fit as p from s0 join s2 using (instrument, i))",
+}
+for _kind, _twin in CALIBRATED.items():
+    query(
+        "calibration" if _kind == "platt" else f"calibration_{_kind}",
+        sql(*L, SCORED, "cs as (select instrument, ts, p, ln(p) as a, ln(1 - p) as b, label from sc where label is not null and p is not null)", _twin, out=final("o", "instrument", "ts:t", "p_follow:d", "label:i", "p:d")).replace("with ", "with recursive ", 1),
+    )(lambda s, d, k=_kind: meta.calibrate(scored(s, d), k))
+
 
 
 @query("brier_ece", sql(*L, SCORED, "bb as (select *, least(floor(p * 10), 9) as b from sc where label is not null), c as (select instrument, b, count(*) as n, avg(label - p) as g, sum((label - p) * (label - p)) as q from bb group by 1, 2), o as (select instrument, sum(q) / sum(n) as brier, sum(abs(g) * n) / sum(n) as ece from c group by 1)", out=final("o", "instrument", "brier:d", "ece:d")))
@@ -515,7 +547,14 @@ def _(s, d):
     return reports.information_report(rows, ["mom_5", "rv_5", "z_mom_5"], signal="signal", regime="regime", live=feature_panel(s, d), cfg=cfg).summary
 
 
-@query("regime_report")
+CALIBRATED_VOL = (
+    "ql as (select *, quantile_cont(vol_roll_20, 0.3) filter (where ts <= '1996-12-31') over (partition by instrument) as q1, quantile_cont(vol_roll_20, 0.7) filter (where ts <= '1996-12-31') over (partition by instrument) as q2 from rg), "
+    "st as (select instrument, ts, case when vol_roll_20 is not null then (q1 < vol_roll_20)::int + (q2 < vol_roll_20)::int end as now from ql), "
+    f"o as (select instrument, ts, lag(now) {over()} as state, lag(coalesce(now = 0, false)::double) {over()} as p_state_0, lag(coalesce(now = 1, false)::double) {over()} as p_state_1, lag(coalesce(now = 2, false)::double) {over()} as p_state_2 from st)"
+)
+
+
+@query("regime_report", sql(*RF, CALIBRATED_VOL, out=final("o", "instrument", "ts:t", "state:i", "p_state_0:d", "p_state_1:d", "p_state_2:d")))
 def _(s, d):
     return reports.infer_regimes(items_panel(s, d), reports.RegimeConfig(calibrate_to="1996-12-31", output_shift=1)).states
 
