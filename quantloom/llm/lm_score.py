@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.base import Scratch, chunks, fold, hash_words, mix64, read_table
@@ -41,6 +41,8 @@ MOST_BYTES = 100_000_000
 SEGMENT_TEXT = 24_000_000
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: A row's key is the MD5 of its doc_id and text; rows that have it in common are alike and get the same answers.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 #: Mean of the counts of each level, taken as the middle of its range of whole numbers.
 LEVELS = np.array([0.0, *((np.ceil(STEP**k) + max(np.ceil(STEP**k), np.ceil(STEP ** (k + 1)) - 1)) / 2 for k in range(120))])
 
@@ -91,16 +93,13 @@ def build_filter(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def probe(grams: np.ndarray, filters: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Levels of grams by probing; 0: absent. filters: all segments' bytes on end; offsets and sizes in bytes by segment."""
+    """Levels of grams by probing; 0: absent. filters: all segments' bytes on end; offsets and sizes: those of each gram's segment."""
     out = np.zeros(len(grams), dtype=np.int64)
-    segment = segment_of(grams, len(sizes))
-    live = np.arange(len(grams)) if len(filters) else np.empty(0, dtype=np.int64)
-    live = live[sizes[segment[live]] > 0]
+    live = np.flatnonzero(sizes > 0) if len(filters) else np.empty(0, dtype=np.int64)
     level = 1
     while len(live):
-        own = segment[live]
-        spot = _spots(grams[live], level, sizes[own] * 8)
-        hit = ((filters[offsets[own][:, None] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)
+        spot = _spots(grams[live], level, sizes[live] * 8)
+        hit = ((filters[offsets[live][:, None] + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1).all(axis=1)
         live = live[hit]
         out[live] = level
         level += 1
@@ -109,6 +108,17 @@ def probe(grams: np.ndarray, filters: np.ndarray, offsets: np.ndarray, sizes: np
     return out
 
 
+def probe_one(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Levels of the grams of one segment."""
+    return probe(grams, table, np.zeros(len(grams), dtype=np.int64), np.full(len(grams), len(table), dtype=np.int64))
+
+
+def probe_all(grams: np.ndarray, filters: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Levels of grams of any segment; offsets and sizes in bytes by segment."""
+    own = segment_of(grams, len(sizes))
+    return probe(grams, filters, offsets[own], sizes[own])
+
+
 def token_scores(pair: np.ndarray, first: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
     """log10 probabilities from the levels of the pair, its first token and its second."""
     p = (LEVELS[word] + 0.5) / (n + 0.5 * (v + 1))
@@ -142,11 +152,10 @@ def count_grams(docs: DataFrame, segments: int) -> DataFrame:
                 own = segment_of(grams, segments)
                 order = np.argsort(own, kind="stable")
                 cuts = np.searchsorted(own[order], np.arange(segments + 1))
-                for s in range(segments):
-                    if cuts[s] < cuts[s + 1]:
-                        part = np.sort(order[cuts[s] : cuts[s + 1]])
-                        blobs = grams[part].tobytes(), counts[part].astype("<u4").tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "kind", "hashes", "counts"])
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    part = np.sort(order[cuts[s] : cuts[s + 1]])
+                    blobs = grams[part].tobytes(), counts[part].astype("<u4").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "kind", "hashes", "counts"])
                 h.clear()
                 c.clear()
 
@@ -183,7 +192,7 @@ def build_segments(grams: DataFrame, segments: int, line: float) -> DataFrame:
             both, both_counts = np.concatenate([words, pairs]), np.concatenate([counts, pair_counts])
             table = build_filter(both, level_of(both_counts))
             hot = np.sort(both[both_counts >= line])
-            hot_levels = probe(hot, table, np.zeros(segments, dtype=np.int64), np.full(segments, len(table)))
+            hot_levels = probe_one(hot, table)
             real = words != BEGIN
             words, counts = words[real], counts[real]
             values = [now, int(counts.sum()), len(words), table.tobytes(), words.tobytes(), counts.astype("<i8").tobytes(), hot.tobytes(), hot_levels.astype("<i8").tobytes()]
@@ -228,17 +237,27 @@ def _look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndar
     return np.where(keys[at] == asked, counts[at], -1)
 
 
+def key_array(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=KEY)
+
+
 def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> DataFrame:
-    """(key, part, known): sums of log10(c + 0.5) and of known tokens over each row's words that are not heavy."""
+    """(key, part, known): sums of log10(c + 0.5) and of known tokens over each row's words that are not heavy.
+
+    Of alike rows of a chunk one is looked up, and all chunks give the same sums for them.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = heavy.value
         for batch in batches:
-            row_keys = batch.column(0).to_numpy(zero_copy_only=False)
+            row_keys = key_array(batch.column(0))
             for begin, texts in chunks(batch, "text"):
                 tokens, n, _ = frame(texts)
                 owner = np.repeat(np.arange(len(texts)), n + 1)
-                light = (tokens != BEGIN) & (_look_up(keys, counts, tokens) < 0)
+                first = np.zeros(len(texts), dtype=bool)
+                first[np.unique(row_keys[begin : begin + len(texts)], return_index=True)[1]] = True
+                light = (tokens != BEGIN) & first[owner]
+                light[light] = _look_up(keys, counts, tokens[light]) < 0
                 grams, owner = tokens[light], owner[light]
                 own = segment_of(grams, segments)
                 order = np.argsort(own, kind="stable")
@@ -246,8 +265,8 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     part = order[cuts[s] : cuts[s + 1]]
                     rows, index = np.unique(owner[part], return_inverse=True)
-                    blobs = grams[part].tobytes(), index.astype("<u4").tobytes(), row_keys[begin + rows].astype("<i8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row_keys[begin]], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "chunk", "hashes", "counts", "keys"])
+                    blobs = grams[part].tobytes(), index.astype("<u4").tobytes(), row_keys[begin + rows].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(row_keys["a"][begin : begin + 1].view(np.int64)), *(pa.array([x], pa.binary()) for x in blobs)], ["segment", "chunk", "hashes", "counts", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -263,8 +282,8 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
                 index = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u4").astype(np.int64)
                 keys = batch.column(4)[i].as_py()
                 c = _look_up(words, counts, hashes)
-                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys) // 8).astype("<f8")
-                known = np.bincount(index[c > 0], minlength=len(keys) // 8).astype("<i8")
+                part = np.bincount(index, weights=np.log10(np.maximum(c, 0) + 0.5), minlength=len(keys) // KEY.itemsize).astype("<f8")
+                known = np.bincount(index[c > 0], minlength=len(keys) // KEY.itemsize).astype("<i8")
                 blobs = keys, part.tobytes(), known.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "keys", "parts", "known"])
 
@@ -273,10 +292,10 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            keys, at = np.unique(np.concatenate([np.frombuffer(h[0], dtype="<i8") for h in held]), return_inverse=True)
+            keys, at = np.unique(np.concatenate([np.frombuffer(h[0], dtype=KEY) for h in held]), return_inverse=True)
             part = np.bincount(at, weights=np.concatenate([np.frombuffer(h[1], dtype="<f8") for h in held]))
             known = np.bincount(at, weights=np.concatenate([np.frombuffer(h[2], dtype="<i8") for h in held])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.array(known)], ["key", "part", "known"])
+            return pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(part), pa.array(known)], ["key", "part", "known"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -293,7 +312,7 @@ def light_sums(keyed: DataFrame, table: DataFrame, heavy, segments: int) -> Data
     known = table.select("segment", F.lit(0).cast("long").alias("chunk"), F.col("words").alias("hashes"), F.col("word_counts").alias("counts"), F.lit(None).cast("binary").alias("keys"))
     met = known.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.col("keys").isNotNull())
     answers = met.mapInArrow(answer, "chunk long, keys binary, parts binary, known binary").repartition("chunk").sortWithinPartitions("chunk")
-    return answers.mapInArrow(gather, "key long, part double, known long").groupBy("key").agg(F.sum("part").alias("part"), F.sum("known").alias("known"))
+    return answers.mapInArrow(gather, "key binary, part double, known long").groupBy("key").agg(F.max("part").alias("part"), F.max("known").alias("known"))
 
 
 def _rows(batch: pa.RecordBatch, begin: int, texts: list[bytes], heavy, filters, n: int, v: int):
@@ -310,9 +329,9 @@ def _rows(batch: pa.RecordBatch, begin: int, texts: list[bytes], heavy, filters,
     out = [pa.array(lengths), pa.array(part), pa.array(known)]
     if filters is not None:
         each, at = np.unique(tokens, return_inverse=True)
-        level = probe(each, *filters)[at]
+        level = probe_all(each, *filters)[at]
         pairs, of = np.unique(pair_hash(tokens[:-1], tokens[1:])[inner[1:]], return_inverse=True)
-        pair = probe(pairs, *filters)[of]
+        pair = probe_all(pairs, *filters)[of]
         logs = token_scores(pair, level[:-1][inner[1:]], level[1:][inner[1:]], n, v)
         out.append(pa.array(np.bincount(owner, weights=logs, minlength=len(texts))))
     return out
@@ -347,9 +366,9 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_keys = batch.column(0).to_numpy(zero_copy_only=False)
+            row_keys = key_array(batch.column(0))
             for begin, texts in chunks(batch, "text"):
-                keys = row_keys[begin : begin + len(texts)].astype("<i8").tobytes()
+                keys = row_keys[begin : begin + len(texts)].tobytes()
                 chunk = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)  # equal chunks get equal answers
                 *_, grams, _, places = grams_of(texts)
                 sizes = np.array([len(t) for t in texts], dtype="<i8").tobytes()
@@ -370,9 +389,7 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
                     continue
                 levels = None
                 if grams is not None:
-                    sizes, offsets = np.zeros(segments, dtype=np.int64), np.zeros(segments, dtype=np.int64)
-                    sizes[s] = len(table_of)
-                    levels = probe(np.frombuffer(grams, dtype="<u8"), table_of, offsets, sizes).astype(np.uint8).tobytes()
+                    levels = probe_one(np.frombuffer(grams, dtype="<u8"), table_of).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in (1, 0)), pa.array([levels], pa.binary()), *(batch.column(k).slice(i, 1) for k in (3, 4, 5))], ["chunk", "segment", "levels", "keys", "sizes", "texts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +397,7 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
         now, held, own = None, {}, None
 
         def done() -> pa.RecordBatch:
-            keys, sizes = (np.frombuffer(x, dtype="<i8") for x in own[:2])
+            keys, sizes = np.frombuffer(own[0], dtype=KEY), np.frombuffer(own[1], dtype="<i8")
             joined, ends = zlib.decompress(own[2]), np.cumsum(sizes)
             count, lengths, inner, at, _, level, places = grams_of([joined[e - z : e] for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)])
             for s, part in places.items():
@@ -388,7 +405,7 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
             word, pair = level[at[:count]], level[at[count:]]
             logs = token_scores(pair, word[:-1][inner[1:]], word[1:][inner[1:]], n, v)
             owner = np.repeat(np.arange(len(keys)), lengths)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(owner, weights=logs, minlength=len(keys)))], ["key", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(np.bincount(owner, weights=logs, minlength=len(keys)))], ["key", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -409,13 +426,13 @@ def shuffled_scores(keyed: DataFrame, table: DataFrame, segments: int, n: int, v
     none = [F.lit(None).cast("binary").alias(c) for c in ("grams", "keys", "sizes", "texts")]
     met = table.select("segment", F.lit(0).cast("long").alias("chunk"), *none, "filter").unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.col("filter").isNull())
     answers = met.mapInArrow(answer, f"chunk long, segment int, levels binary, {blobs}").repartition("chunk").sortWithinPartitions("chunk")
-    return answers.mapInArrow(gather, "key long, score double").groupBy("key").agg(F.max("score").alias("score"))
+    return answers.mapInArrow(gather, "key binary, score double").groupBy("key").agg(F.max("score").alias("score"))
 
 
 def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    keyed = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary"))).alias("key"), F.col("text").cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = max(8, -(-int(size) // SEGMENT_TEXT))
     table = scratch.write(build_segments(count_grams(keyed.filter("not held_out"), segments), segments, max(2.0, size / hot)))
@@ -444,17 +461,16 @@ def score(docs: DataFrame, most_bytes: int = MOST_BYTES, hot: int = HOT) -> Data
 
     names = ["doc_id", "held_out", "key", "n_tokens", "part", "known", *["score"] * small]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = keyed.mapInArrow(run, f"doc_id {kind}, held_out boolean, key long, n_tokens long, part double, known long" + ", score double" * small)
+    own = keyed.mapInArrow(run, f"doc_id {kind}, held_out boolean, key binary, n_tokens long, part double, known long" + ", score double" * small)
     if not small:
         own = own.join(shuffled_scores(keyed, table, segments, n, v), "key", "left")
-    own = own.withColumn("copies", F.count("*").over(Window.partitionBy("key")))  # light_sums adds up all copies of a row
     joined = own.alias("o").join(light.alias("l"), "key", "left")
-    part = F.col("o.part") + F.coalesce("l.part", F.lit(0.0)) / F.col("copies")
+    part = F.col("o.part") + F.coalesce("l.part", F.lit(0.0))
     return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("o.known") + F.coalesce(F.col("l.known") / F.col("copies"), F.lit(0.0))).cast("long").alias("n_known"),
+        (F.col("o.known") + F.coalesce("l.known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (part - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))).alias("base_score"),
         "score",

@@ -58,6 +58,33 @@ def base_scores(rows: list[tuple]) -> tuple[int, dict]:
     return n, out
 
 
+def model_scores(rows: list[tuple]) -> list[float]:
+    """The language model's scores by row, from exact counts quantised to levels of a factor of 1.5."""
+    texts = [["<", *words(t), ">"] for _, t in rows]
+    single, pairs = collections.Counter(), collections.Counter()
+    for (i, _), ws in zip(rows, texts, strict=True):
+        if fold(i, 5) != 1:
+            single.update(ws)
+            pairs.update(zip(ws, ws[1:], strict=False))
+    n, v = sum(single.values()) - single["<"], len(single) - ("<" in single)
+
+    def mean(count: int) -> float:
+        if not count:
+            return 0.0
+        k = math.floor(math.log(count) / math.log(1.5) + 1e-9)
+        low = math.ceil(1.5**k)
+        return (low + max(low, math.ceil(1.5 ** (k + 1)) - 1)) / 2
+
+    out = []
+    for ws in texts:
+        total = 0.0
+        for a, b in zip(ws, ws[1:], strict=False):
+            p, of = (mean(single[b]) + 0.5) / (n + 0.5 * (v + 1)), mean(single[a])
+            total += math.log10((min(mean(pairs[a, b]), of) + 4.0 * p) / (of + 4.0))
+        out.append(total)
+    return out
+
+
 class _Blocks(html.parser.HTMLParser):
     """[text, characters in links, in an article, furniture, heading] of each block of a page whose elements are closed or <b>."""
 
