@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import average_rank, correlation, normal_cdf, normal_ppf
+from quantloom.operators.features import forward_return
 
 EPSILON = 1e-12
 KEYS = ("instrument", "feature")
@@ -48,6 +49,13 @@ def ic(long: DataFrame, method: str = "pearson", keys: tuple[str, ...] = KEYS) -
     return rows.groupBy(*keys).agg(correlation("x", "y").alias("ic"), F.count("*").alias("n"))
 
 
+def ic_decay(panel: DataFrame, signal: str, returns: str, horizons: tuple[int, ...]) -> DataFrame:
+    """(instrument, horizon, ic, n): Spearman correlation of the signal with the return summed over the next ``horizon`` rows."""
+    wide = panel.select("instrument", "ts", F.col(signal).alias("x"), *[forward_return(returns, h).alias(f"y{h}") for h in horizons])
+    ahead = wide.select("instrument", "ts", "x", F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in horizons])))
+    return ic(ahead, "spearman", ("instrument", "horizon"))
+
+
 def ic_rolling(long: DataFrame, n: int, method: str = "pearson", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, ts, ic) over the last n complete rows, from the first full window on; Spearman ranks inside each window."""
     order = Window.partitionBy(*keys).orderBy("ts")

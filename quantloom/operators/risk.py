@@ -42,8 +42,11 @@ class RiskConfig:
     max_turnover: float | None = 1.0
     smooth_alpha: float | None = None
     guard: DrawdownGuard | None = None
+    var_es: bool = False
 
     def __post_init__(self):
+        if self.var_es:
+            raise NotImplementedError("the overlay has no step by value at risk or expected shortfall")
         if self.max_leverage <= 0 or (self.max_turnover is not None and self.max_turnover <= 0):
             raise ValueError("leverage and turnover are positive")
         if self.guard and self.guard.mode not in ("flatten", "linear_delever"):

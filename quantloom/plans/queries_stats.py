@@ -142,6 +142,20 @@ def _(s, d):
     return information.ic(long_panel(s, d))
 
 
+AHEAD = ", ".join(f"{{'horizon': {h}, 'y': case when count(*) {over(f'rows between 1 following and {h} following')} >= {h} then sum(coalesce(r, 0)) {over(f'rows between 1 following and {h} following')} end}}" for h in (1, 3, 5))
+SPREAD = (
+    f"ah as (select instrument, ts, unnest([{AHEAD}]) as f from ret), hz as (select p.instrument, h.f.horizon as horizon, p.z_mom_5 as x, h.f.y as y from feats p join ah h using (instrument, ts) where h.f.y is not null), "
+    "rk as (select instrument, horizon, rank() over (partition by instrument, horizon order by x) + (count(*) over (partition by instrument, horizon, x) - 1) / 2.0 as x, rank() over (partition by instrument, horizon order by y) + (count(*) over (partition by instrument, horizon, y) - 1) / 2.0 as y from hz), "
+    f"o as (select instrument, horizon, {corr('x', 'y')} as ic, count(*) as n from rk group by all)"
+)
+
+
+@query("ic_decay_spearman", sql(ITEMS, RETURNS, FEATURES, SPREAD, out=final("o", "instrument", "horizon:i", "ic:d", "n:i")))
+def _(s, d):
+    rows = returns_panel(s, d).select("instrument", "ts", "r").join(feature_panel(s, d).select("instrument", "ts", "z_mom_5"), ["instrument", "ts"], "left")
+    return information.ic_decay(rows, "z_mom_5", "r", (1, 3, 5))
+
+
 @query("ic_spearman", sql(*L, RANKED, f"o as (select {KEYS}, {corr('x', 'y')} as ic, count(*) as n from ranked group by all)", out=final("o", "instrument", "feature", "ic:d", "n:i")))
 def _(s, d):
     return information.ic(long_panel(s, d), "spearman")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def table(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", ["resample_last", "outlier_filter", "feature_matrix", "ensemble", "ewma", "turnover_cap", "drawdown_guard_flatten", "backtest_summary", "performance_metrics", "ic_spearman", "mi_hist", "drift_report", "transfer_entropy", "transition_matrix", "triple_barrier", "purged_kfold", "ridge_fit", "cusum"])
+@pytest.mark.parametrize("name", ["calibration_isotonic", "decision_kelly_fraction", "logistic_fit", "regime_report", "ic_decay_spearman", "resample_last", "outlier_filter", "feature_matrix", "ensemble", "ewma", "turnover_cap", "drawdown_guard_flatten", "backtest_summary", "performance_metrics", "ic_spearman", "mi_hist", "drift_report", "transfer_entropy", "transition_matrix", "triple_barrier", "purged_kfold", "ridge_fit", "cusum"])
 def test_query_equals_its_sql(spark, data, duck, name):
     assert table(registry.QUERIES[name](spark, data).toPandas()) == table(duck.sql(registry.ORACLES[name]).df())
 
@@ -89,3 +90,18 @@ def test_query_equals_its_sql(spark, data, duck, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_values_become_plain_json(spark):
+    value = {1: {2}, ("a",): np.float64(0.5), "d": datetime.date(2024, 1, 1), "l": (np.int64(3), [np.bool_(True)])}
+    assert store.plain(value) == {1: [2], "['a']": 0.5, "d": "2024-01-01", "l": [3, [True]]}
+
+
+def test_array_quality_names_the_first_problem(spark):
+    t = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    nan = float("nan")
+    rows = [("a", t, [1.0, 2.0, 3.0], [0.0] * 3), ("b", [t[0], t[0], t[1]], [1.0] * 3, [0.0] * 3), ("c", t[::-1], [1.0] * 3, [0.0] * 3), ("d", t, [1.0, nan, 2.0], [0.0] * 3), ("e", t, [1.0], [0.0] * 3), ("f", [], [], [])]
+    raw = spark.createDataFrame(rows, "instrument string, timestamps array<string>, prices array<double>, signals array<double>")
+    got = {r["instrument"]: (r["duplicate_timestamps"], r["non_monotonic_timestamps"], r["nan_prices"], r["problem"]) for r in store.array_quality(raw).collect()}
+    assert got == {"a": (0, 0, 0, None), "b": (1, 1, 0, "duplicate timestamps"), "c": (0, 2, 0, "timestamps do not rise"), "d": (0, 0, 1, "prices are not finite"), "e": (0, 0, 0, "arrays differ in length"), "f": (0, 0, 0, "no timestamps")}
+    assert store.arrays_to_panel(raw.filter("instrument = 'a'")).count() == 3
