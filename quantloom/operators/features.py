@@ -50,8 +50,9 @@ def zscore(x: Column | str, n: int) -> Column:
     return (col(x) - rolling(F.avg, x, n)) / (rolling(F.stddev_pop, x, n) + EPSILON)
 
 
-def build_features(panel: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """(instrument, ts, ret_1, mom_w, rv_w, z_mom_w): all lagged by the decision shift, rows without a full set dropped."""
+def build_features(panel: DataFrame, cfg: FeatureConfig = FeatureConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(instrument, ts, kept columns, ret_1, mom_w, rv_w, z_mom_w): features lagged by the decision shift, rows without a full set
+    dropped. Kept columns stay on their own rows, so targets need no join with another build of the panel."""
     out = panel.withColumn("ret_1", log_return())
     names = ["ret_1"]
     for n in cfg.momentum:
@@ -61,7 +62,7 @@ def build_features(panel: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Da
     for n in cfg.zscore:
         out, names = out.withColumn("_m", momentum("ret_1", n)).withColumn(f"z_mom_{n}", zscore("_m", n)), [*names, f"z_mom_{n}"]
     shifted = [lag(c, cfg.decision_shift).alias(c) for c in names]
-    return out.select("instrument", "ts", *shifted).dropna("any", subset=names)
+    return out.select("instrument", "ts", *keep, *shifted).dropna("any", subset=names)
 
 
 def rolling_fit(panel: DataFrame, n: int) -> DataFrame:

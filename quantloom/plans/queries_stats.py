@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import evaluate, features, information, meta, regimes, stationarity
 from quantloom.plans import reports, strategy
-from quantloom.plans.queries_bars import REGIME_FEATURES, bar_panel, feature_panel
+from quantloom.plans.queries_bars import REGIME_FEATURES, SMALL, bar_panel, feature_panel
 from quantloom.plans.registry import query
 from quantloom.plans.sql import BARS, FEATURES, ITEMS, KEYS, LONG, MARKET, ORDERS, POSITIONS, PREFIX, RANKED, RETURNS, binned, corr, final, mi_table, normal_cdf, normal_ppf, over, roll
 from quantloom.plans.sql import query as sql
@@ -20,8 +20,8 @@ RUN = (ITEMS, RETURNS, FEATURES, POSITIONS, BARS)
 
 def long_panel(s: SparkSession, d: str) -> DataFrame:
     """Three features in long form against the next 3-bar return."""
-    fw = items_panel(s, d).withColumn("r", features.log_return()).select("instrument", "ts", features.forward_return("r", 3).alias("y"))
-    return information.unpivot(feature_panel(s, d).join(fw, ["instrument", "ts"]), ["mom_5", "rv_5", "z_mom_5"])
+    rows = items_panel(s, d).withColumn("r", features.log_return()).withColumn("y", features.forward_return("r", 3))
+    return information.unpivot(features.build_features(rows, SMALL, ("y",)), ["mom_5", "rv_5", "z_mom_5"])
 
 
 PERF = (
@@ -436,8 +436,8 @@ def _(s, d):
 
 
 def labelled(s, d):
-    marks = returns_panel(s, d).select("instrument", "ts", "r", meta.sign_label("r", 3).alias("label"), features.forward_return("r", 3).alias("fwd"))
-    return feature_panel(s, d).join(marks, ["instrument", "ts"])
+    rows = returns_panel(s, d).withColumn("label", meta.sign_label("r", 3)).withColumn("fwd", features.forward_return("r", 3))
+    return features.build_features(rows, SMALL, ("r", "label", "fwd"))
 
 
 @query("ridge_moments", sql(*L, "lb as (select *, case when y = 0 then null else (y > 0)::int end as label from wide), o as (select instrument, count(*) as n, sum(label) as s_y, sum(mom_5) as s_mom_5, sum(rv_5) as s_rv_5, sum(mom_5 * label) as y_mom_5, sum(rv_5 * label) as y_rv_5, sum(mom_5 * mom_5) as p_mom_5_mom_5, sum(mom_5 * rv_5) as p_mom_5_rv_5, sum(rv_5 * rv_5) as p_rv_5_rv_5 from lb where label is not null group by 1)", out=final("o", "instrument", "n:i", "s_y:i", *(f"{c}:d" for c in ("s_mom_5", "s_rv_5", "y_mom_5", "y_rv_5", "p_mom_5_mom_5", "p_mom_5_rv_5", "p_rv_5_rv_5")))))
