@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     stay = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = stay.filter("_rows > 1").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", "lang", "source", "n_chars")).alias("row")).select("row.*")
+    one = stay.filter("_rows > 1").groupBy("doc_id").agg(F.min_by(whole, F.struct(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])).alias("row")).select("row.*")
     return stay.filter("_rows = 1").select(*docs.columns).unionByName(one).unionByName(docs.filter("doc_id is null"))
 
 
