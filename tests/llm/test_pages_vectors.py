@@ -173,20 +173,37 @@ def test_tile_plans_hold_all_near_ranges_and_are_quick():
     assert time.perf_counter() - began < 2
 
 
+def best_rows(rows: list[tuple], every: int, k: int) -> list[tuple]:
+    """(query_id, rank, vec_id, score) by the full product; every row that shares an id is a row of its own."""
+    whole = [(n, r[0], [int(np.floor(1024 * x)) for x in r[1]]) for n, r in enumerate(rows) if r[0] is not None and good(r[1])]
+    want = []
+    for n, q, v in whole:
+        if q % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, i, w in whole if m != n and len(v) == len(w))
+            want += [(q, place + 1, i, -s) for place, (s, i) in enumerate(found[:k])]
+    return sorted(want)
+
+
 @pytest.mark.parametrize("shard", [4096, 9])
 def test_top_k_equals_brute_force(spark, shard):
     frame, rows = odd_vectors(spark, 1)
-    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows if i is not None and good(v)}
-    want = []
-    for q in whole:
-        if q % 9 == 0:
-            found = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:10])]
-    got = [tuple(r)[:4] for r in top_k.top_k(frame, every=9, shard=shard).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(tuple(r)[:4] for r in top_k.top_k(frame, every=9, shard=shard).collect()) == best_rows(rows, 9, 10)
     assert top_k.top_k(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 5])
+def test_top_k_takes_each_row_of_an_id(spark, shard):
+    rng = random.Random(6)
+    rows = [(5, [None, 1.0]), (5, [1.0, 1.0]), (7, [0.5, 0.5]), (7, [3.0, 3.0]), (100, [1.0, 2.0]), (100, [2.0, 1.0]), (200, [-1.0, 0.0]), (300, [1e300, -1e300])]
+    rows += [(rng.randrange(20), [float(rng.randrange(-2, 3)), float(rng.randrange(-2, 3))]) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = [r for r in rows if r[0] != 300]
+    got = top_k.top_k(frame.filter("vec_id <> 300"), shard=shard).collect()
+    assert sorted(tuple(r)[:4] for r in got) == best_rows(kept, 100, 10)
+    huge = top_k.top_k(frame, shard=shard).collect()  # components beyond what doubles sum exactly, scores beyond long
+    assert max(r["score"] for r in huge if r["query_id"] == 100) == 2**63 - 1 and any(r["query_id"] == 300 for r in huge)
+
+
 def check_reading(x: np.ndarray, queries: np.ndarray) -> float:
     """Holds a shard's answers against the full product; the share of all list entries that was read."""
     lists, shares = top_k.SortedLists(np.arange(len(x)), x), []
