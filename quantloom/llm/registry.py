@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
-MODULES = ("bpe", "quality", "lm_score", "near_dup", "mixing", "html_text", "url_filter", "vector_dup", "top_k", "toxicity", "pipeline")
+MODULES = ("bpe", "quality", "lm_score", "near_dup", "mixing", "html_text", "url_filter", "vector_dup", "top_k", "toxicity", "prefix_trie", "packing", "centroids", "pipeline")
 
 
 def _gather(what: str) -> dict:
