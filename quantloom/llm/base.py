@@ -107,9 +107,9 @@ def whole_rows(mapped: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col("_text").alias("text") if c == "text" else F.col(f"_keep.`{c}`").alias(c) for c in columns]
 
 
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+GAP = np.zeros(256, dtype=bool)
+GAP[[0x20, *range(0x09, 0x0E)]] = True
+LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -129,7 +129,7 @@ def hash_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     texts = list(texts)
     joined = b"\n".join(texts).lower() + b"\n"
     raw = np.frombuffer(joined + bytes(8), dtype=np.uint8)
-    gap = _GAP[raw[: len(joined)]]
+    gap = GAP[raw[: len(joined)]]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
     start, stop = edge[0::2], edge[1::2]
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
@@ -140,7 +140,7 @@ def hash_words(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lane, live = 0, np.arange(len(start))
     while len(live):
         left = length[live] - 8 * lane
-        part = view[start[live] + 8 * lane] & _LANE[np.minimum(left, 8)]
+        part = view[start[live] + 8 * lane] & LANE[np.minimum(left, 8)]
         h[live] = mix64((h[live] ^ part) * _M1 + _M3)
         live = live[left > 8]
         lane += 1

@@ -7,10 +7,11 @@ close. Documents are range-sorted by place, and the curve is then one stream of
 holds neighbours of the curve, and no sequence but the last is short. What is left at the end is cut into powers of two,
 which need no padding, so nothing is padded at all.
 
-Words are found by the tokenizer's own rule on lower-cased text and each distinct word is encoded once a worker by the
-library; a text with a character beyond Latin goes through the library as a whole. Documents' ids are a written table
-(two bytes an id while ids fit), and only key, size and row number are sorted; the place of each document then meets its
-ids by row number.
+The vocabulary's rule never joins what white space parts. The runs between white space of some megabytes of texts are told
+apart in arrays, by their first 16 bytes where that is all, so each distinct run is looked up once; a run that a worker has
+not met is split into the rule's words, and a word that it has not met is encoded by the library. Both are kept, up to a
+number of bytes, for all tasks of the worker. Documents' ids are a written table (two bytes an id while the vocabulary allows),
+and only key, size and row number are sorted; the place of each document then meets its ids by row number.
 
 Defined cases: a NULL text is empty, and a document without words is the end id alone; special tokens' strings in a text
 are ordinary text; documents without words lie at the origin of the projection; equal places are ordered by doc_id, NULL
@@ -20,7 +21,8 @@ have none too, each with starts of its own; an empty table gives no rows; other
 
 from __future__ import annotations
 
-import unicodedata
+import functools
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,45 +34,121 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.base import Scratch, chunks, mix64, read_table
+from quantloom.llm.base import GAP, LANE, Scratch, chunks, mix64, read_table
 
 LENGTH, END = 4096, 2
 BUCKETS, AXES, BITS, SPAN = 256, 3, 16, 4.0
-#: Bytes of cached words and ids of a worker.
-CACHE_BYTES = 64 << 20
-#: Words of a lower-cased text, as the vocabulary's own rule finds them.
+#: Bytes of cached runs and ids of a worker, the longest run that is kept, and words encoded in one call.
+CACHE_BYTES, LONGEST, BLOCK = 192 << 20, 256, 4096
+#: Words of a lower-cased run, as the vocabulary's own rule finds them. Below LATIN_END lower case and composition are
+#: matters of single characters, the same in Python and in the library.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters are lower-cased and split alike by Python and by the library.
-PLAIN = regex.compile("[\\t\\n\\r\x20-\x7e\xa0-ſ‐-‧‰-⁞€]*")
-IDS = "uid long, n long, axes array<double>, crc long, wide boolean, ids binary"
+LATIN_END = "\u0250"
+#: Bytes of texts that are split together.
+TEXT_BYTES = 16 << 20
 
 
-class Encoder:
-    """Ids of texts as the tokenizers library gives them, words that come again from a cache of bounded size."""
+def library(path: str):
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str, end: int):
-        from tokenizers import Tokenizer
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+def id_type(path: str, end: int) -> str:
+    """The kind of number that ids are kept as."""
+    return "<u2" if max(library(path).get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4"
+
+
+class Encoder(dict):
+    """Ids of texts as the tokenizers library gives them; runs without white space come again from this cache."""
+
+    def __init__(self, path: str, end: int, kind: str):
+        super().__init__()
+        self.library, self.kind, self.held = library(path), kind, 0
+        self.end = np.array([end], dtype=kind).tobytes()
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.end, self.cache, self.held = np.array([end], dtype="<u4").tobytes(), {}, 0
+    def __missing__(self, run: str) -> bytes:
+        return self._keep(run, np.array(self.library.encode(run, add_special_tokens=False).ids, dtype=self.kind).tobytes())
 
-    def word(self, word: str) -> bytes:
-        ids = np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _keep(self, run: str, ids: bytes) -> bytes:
+        if len(run) <= LONGEST:
+            self[run] = ids
+            self.held += 200 + 2 * len(run) + len(ids)
+        return ids
+
+    def _learn(self, runs: list[str]) -> None:
+        """Keeps the ids of new runs. Their new words, one a space apart, are encoded BLOCK in a call."""
+        latin = [r for r in runs if len(r) <= LONGEST and r.isprintable() and (r.isascii() or max(r) < LATIN_END)]
+        mixed = [r for r in latin if not (r.isalpha() and r.islower())]  # the others are words as they stand
+        split = [WORD.findall(r.lower()) for r in mixed]
+        words = [w for w in {r for r in latin if r.isalpha() and r.islower()}.union(itertools.chain.from_iterable(split)) if w not in self]
+        for begin in range(0, len(words), BLOCK):
+            block = words[begin : begin + BLOCK]
+            found = self.library.encode(" ".join(block), add_special_tokens=False)
+            ids, ends = np.array(found.ids, dtype=self.kind), np.searchsorted(np.array(found.word_ids), np.arange(len(block) + 1)).tolist()
+            for word, first, end in zip(block, ends, ends[1:], strict=False):
+                self._keep(word, ids[first:end].tobytes())
+        for run, parts in zip(mixed, split, strict=True):
+            if run not in self:
+                self._keep(run, b"".join(map(self.__getitem__, parts)))
+
+    def _distinct(self, runs: list[str]) -> list[bytes]:
+        held = list(map(self.get, runs))
+        if None in held:
+            self._learn([r for r, x in zip(runs, held, strict=True) if x is None])
+            held = [self[r] if x is None else x for r, x in zip(runs, held, strict=True)]
+        return held
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian numbers of the encoder's kind."""
         if self.held > CACHE_BYTES:
-            self.cache.clear()
+            self.clear()
             self.held = 0
-        if len(word) < 256:
-            self.cache[word] = ids
-            self.held += 200 + 2 * len(word) + len(ids)
-        return ids
+        joined, start, stop, owner = runs_of(texts)
+        first, of = distinct_runs(joined, start, stop)
+        found = self._distinct([joined[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
+        width = np.dtype(self.kind).itemsize
+        values, sizes = np.frombuffer(b"".join(found), dtype=self.kind), np.array([len(x) // width for x in found], dtype=np.int64)
+        begin, size = (np.cumsum(sizes) - sizes)[of], sizes[of]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        flat = values[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[np.searchsorted(owner, np.arange(len(texts) + 1))] * width).tolist()
+        return [flat[a:b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def runs_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts joined, and of each run between ASCII white space where it begins, ends, and whose it is."""
+    joined = b"\n".join(texts) + b"\n"
+    gap = GAP[np.frombuffer(joined, dtype=np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
+    start, stop = edge[0::2], edge[1::2]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return joined, start, stop, np.searchsorted(ends, start, "right")
+
+
+def distinct_runs(joined: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a run of each kind, the kind of each run): runs of at most 16 bytes by these bytes, longer ones each by itself.
+
+    Kinds are sorted by a hash and compared byte for byte with the first of their kind; one that differs is its own.
+    """
+    raw = np.frombuffer(joined + bytes(16), dtype=np.uint8)
+    view = np.ndarray(shape=(len(joined) + 9,), dtype="<u8", buffer=raw.data, strides=(1,))
+    size = stop - start
+    low, high = view[start] & LANE[np.minimum(size, 8)], view[start + 8] & LANE[np.clip(size - 8, 0, 8)]
+    h = mix64((low + size.astype(np.uint64)) ^ mix64(high + np.uint64(0x9E3779B97F4A7C15)))
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    like = first[of]
+    own = np.flatnonzero((low != low[like]) | (high != high[like]) | (size != size[like]) | (size > 16))
+    of[own] = len(first) + np.arange(len(own))
+    return np.concatenate((first, own)), of
+
 
-    def ids(self, text: str) -> bytes:
-        """The ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-        if PLAIN.fullmatch(text) is None or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + self.end
-        get, word = self.cache.get, self.word
-        return b"".join([get(w) or word(w) for w in WORD.findall(text.lower())]) + self.end
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end: int, kind: str) -> Encoder:
+    """The encoder of this worker, which its tasks share."""
+    return Encoder(path, end, kind)
 
 
 def _signs() -> tuple[np.ndarray, np.ndarray]:
@@ -120,36 +198,32 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, uid, n, axes, crc, wide, ids) of every row; uid is unique once the frame is written.
+def tokenised(docs: DataFrame, path: str, end: int, kind: str) -> DataFrame:
+    """(doc_id, uid, n, axes, crc, ids) of every row; uid is unique once the frame is written.
 
-    ids: all ids with the end id, two bytes each, or four (wide) where one does not fit.
+    ids: all ids with the end id, as numbers of the given kind; crc tells documents of one place apart.
     """
-    schema = "n long, axes array<double>, crc long, wide boolean, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end)
+        known = encoder(path, end, kind)
         for batch in batches:
-            for begin, part in chunks(batch, "text"):
-                found = [encoder.ids(text.decode("utf-8", "replace")) for text in part]
-                numbers = [np.frombuffer(x, dtype="<u4") for x in found]
-                wide = [bool((x > 0xFFFF).any()) for x in numbers]
-                packed = [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(numbers, wide, strict=True)]
+            for begin, part in chunks(batch, "text", TEXT_BYTES):
+                found = known.ids(part)
+                numbers = [np.frombuffer(x, dtype=kind) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, len(part)),
                         pa.array([len(x) for x in numbers], pa.int64()),
                         pa.array([project(x[:-1]).tolist() for x in numbers], pa.list_(pa.float64())),
                         pa.array([zlib.crc32(x) for x in found], pa.int64()),
-                        pa.array(wide, pa.bool_()),
-                        pa.array(packed, pa.binary()),
+                        pa.array(found, pa.binary()),
                     ],
-                    ["doc_id", "n", "axes", "crc", "wide", "ids"],
+                    ["doc_id", "n", "axes", "crc", "ids"],
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {schema}").withColumn("uid", F.monotonically_increasing_id())
+    name = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {name}, n long, axes array<double>, crc long, ids binary").withColumn("uid", F.monotonically_increasing_id())
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -205,10 +279,10 @@ def edges(total: int, length: int) -> tuple[int, list[int]]:
     return full, out
 
 
-def pieces(rows: DataFrame, total: int, length: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of rows (doc_id, first, wide, ids)."""
+def pieces(rows: DataFrame, total: int, length: int, kind: str) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of rows (doc_id, first, ids)."""
     full, tail = edges(total, length)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    name = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def cut(first: int, n: int) -> Iterator[tuple[int, int, int, int]]:
@@ -229,22 +303,23 @@ def pieces(rows: DataFrame, total: int, length: int) -> DataFrame:
         for batch in batches:
             at, out = [], []
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(3)[i].as_py(), dtype="<u4" if batch.column(2)[i].as_py() else "<u2").astype("<u4")
+                ids = np.frombuffer(batch.column(2)[i].as_py(), dtype=kind).astype("<u4")
                 for start, size, seq, offset in cut(batch.column(1)[i].as_py(), len(ids)):
                     at.append(i)
                     out.append((start, size, zlib.crc32(ids[start : start + size].tobytes()), len(ids), seq, offset))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
 
-    return rows.select("doc_id", "first", "wide", "ids").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return rows.select("doc_id", "first", "ids").mapInArrow(run, f"doc_id {name}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def pack(docs: DataFrame, path: str, end: int = END, length: int = LENGTH) -> DataFrame:
     """One row for each piece of each document: what ids of it lie in which sequence, and where."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(tokenised(docs, path, end))
+    kind = id_type(path, end)
+    rows = scratch.write(tokenised(docs, path, end, kind))
     firsts, total = stream(places(rows), scratch)
-    return pieces(rows.select("uid", "doc_id", "wide", "ids").join(firsts, "uid"), total, length)
+    return pieces(rows.select("uid", "doc_id", "ids").join(firsts, "uid"), total, length, kind)
 
 
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:

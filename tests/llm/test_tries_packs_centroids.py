@@ -76,7 +76,7 @@ def test_trie_refuses_shards_that_cut_a_group(spark):
 
 def hold_packing(docs: list[tuple], rows: list, length: int) -> None:
     """Every id of every document lies in one piece, sequences have no gaps, and only full or power-of-two ones exist."""
-    library = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2).library
+    library = packing.library(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
     for i, text in docs:
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -122,14 +122,18 @@ def test_packing_of_the_table(spark, data):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def test_cached_words_give_the_library_s_ids():
-    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_cached_runs_give_the_library_s_ids(kind):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path, 2, kind)
+    assert packing.id_type(path, 2) == "<u2" and packing.id_type(path, 1 << 16) == "<u4"
     rng = random.Random(1)
-    letters = ["a", "B", "'", "s", "'S", " ", "\xa0", "\n", "\t", "é", "É", "ß", "ſ", "İ", "9", "²", "-", "…", "—", "“", "́", "Σ", "東", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "'ll", "€", "\xad", "ǆ"]
-    for n in range(3000):
-        text = "".join(rng.choice(letters[: 25 if n % 2 else None]) for _ in range(rng.randrange(12)))
-        want = encoder.library.encode(text, add_special_tokens=False).ids + [2]
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want, repr(text)
+    letters = ["a", "B", "'", "s", "'S", " ", "\xa0", "\n", "\t", "é", "É", "ß", "ſ", "İ", "9", "²", "-", "…", "—", "“", "́", "Σ", "東", " ", "\x1c", "\x1f", "\x85", "\u2003", "\u200b", "\u180e", "😀", "<|endoftext|>", "'ll", "€", "\xad", "ǆ"]
+    texts = ["".join(rng.choice(letters[: 25 if n % 2 else None]) for _ in range(rng.randrange(12))) for n in range(3000)] + ["x" * 300 + " it's", "\u0130a \u0130"]
+    for begin in range(0, len(texts), 500):
+        part = texts[begin : begin + 500]
+        for text, got in zip(part, encoder.ids([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(got, kind).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
 def test_hilbert_places_are_a_walk_through_all_cells():
