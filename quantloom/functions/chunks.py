@@ -9,19 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
 
 
-def numbered(panel: DataFrame, bucket_s: int = 86_400) -> DataFrame:
-    """panel with _rn, the number of the row in its series from 0; one task holds one time bucket of a series at most."""
+def numbered(panel: DataFrame, bucket_s: int = 86_400, total: str | None = None) -> DataFrame:
+    """panel with _rn, the number of the row in its series from 0; one task holds one time bucket of a series at most.
+
+    With ``total``, also _rows, the rows of the series, and _total, the sum of that column over it.
+    """
     bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / bucket_s)
     rows = panel.withColumn("_bucket", bucket)
     earlier = Window.partitionBy("instrument").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("instrument", "_bucket").agg(F.count("*").alias("_n"))
-    offsets = counts.select("instrument", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    counts = rows.groupBy("instrument", "_bucket").agg(F.count("*").alias("_n"), *([F.sum(total).alias("_t")] if total else []))
+    whole = Window.partitionBy("instrument")  # of bucket counts, not of rows
+    more = [F.sum("_n").over(whole).alias("_rows"), F.sum("_t").over(whole).alias("_total")] if total else []
+    offsets = counts.select("instrument", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *more)
     own = F.row_number().over(Window.partitionBy("instrument", "_bucket").orderBy("ts")) - 1
     return rows.withColumn("_own", own).join(offsets, ["instrument", "_bucket"]).withColumn("_rn", F.col("_before") + F.col("_own")).drop("_bucket", "_own", "_before")
 
@@ -43,6 +48,17 @@ def in_chunks(panel: DataFrame, build: Callable[[DataFrame], DataFrame], rows_be
     return out.withColumn("instrument", F.split("instrument", MARK)[0])
 
 
+def dealt(rows: DataFrame, rows_before: Column | int, chunk_rows: Column | int) -> DataFrame:
+    """numbered() rows with _chunk and own: runs of chunk_rows rows, each with the rows_before rows ahead of it (not own).
+
+    Both may depend on the series through _rows; a chunk has no fewer rows than what it looks back on.
+    """
+    size = chunk_rows if isinstance(chunk_rows, Column) else F.lit(chunk_rows)
+    at, place = F.floor(F.col("_rn") / size), F.col("_rn") % size
+    homes = F.array_compact(F.array(F.struct(at.alias("_chunk"), F.lit(True).alias("own")), F.when((place >= size - rows_before) & (F.col("_rn") < F.col("_rows") - size + place), F.struct((at + 1).alias("_chunk"), F.lit(False).alias("own")))))
+    return rows.withColumn("_home", F.explode(homes)).select("*", "_home.*").drop("_home")
+
+
 def running_sum(panel: DataFrame, x: str, name: str, bucket_s: int = 86_400) -> DataFrame:
     """panel with the sum of x over all rows of the series up to the current one, bucket totals added first."""
     bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / bucket_s)

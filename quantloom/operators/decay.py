@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import linear
 from quantloom.functions.stats import both, correlation
 from quantloom.functions.windows import by_instrument, by_time, col, lag, last_rows, row_number
-from quantloom.operators import sequential
 
 
 def half_life_to_alpha(half_life: float) -> float:
@@ -53,21 +53,49 @@ def ewma_frame(x: Column | str, alpha: float, tolerance: float = 1e-15) -> Colum
     return terms + start * F.pow(F.lit(1 - alpha), F.least(rn, F.lit(n)))
 
 
-def ewma(panel: DataFrame, x: str, alpha: float, min_periods: int = 1) -> DataFrame:
-    """(instrument, ts, x_ewma) for any column, NULL included."""
-    return sequential.run_kernel(panel, [x], [f"{x}_ewma"], lambda v: (sequential.ewma(v, alpha, min_periods),))
+def with_ewma(panel: DataFrame, x: str, alpha: float, name: str, min_periods: int = 1, bucket_s: int = linear.BUCKET_S) -> DataFrame:
+    """panel with the recursive exponential mean of x as ``name``, by time buckets, without a task that holds a series.
+
+    Over a gap of NULL the old value decays by a step a row and weights are renormalised; NULL rows carry the value.
+    """
+    rows = linear.placed(panel, x, bucket_s)
+    left = F.pow(F.lit(1 - alpha), F.col("_at") - F.col("_held"))  # what is left of the old value's weight
+    known, begun = F.col(x).isNotNull(), F.col("_held").isNotNull()
+    keep = F.when(~known, 1.0).when(begun, left / (left + alpha)).otherwise(0.0)
+    add = F.when(~known, 0.0).when(begun, F.col(x) * alpha / (left + alpha)).otherwise(F.col(x))
+    out = linear.scan(rows, keep, add, name, bucket_s)
+    return out.withColumn(name, F.when(F.col("_seen") >= max(min_periods, 1), F.col(name))).drop("_at", "_seen", "_held", "_was")
 
 
-def ewma_by_time(panel: DataFrame, x: str, half_life_s: float, min_periods: int = 1, carry: bool = True) -> DataFrame:
-    """(instrument, ts, x_ewma) with weights by elapsed time."""
-    timed = panel.withColumn("_s", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"))
-    return sequential.run_kernel(timed, [x, "_s"], [f"{x}_ewma"], lambda v, s: (sequential.ewma_by_time(v, s, half_life_s, min_periods, carry),))
+def ewma(panel: DataFrame, x: str, alpha: float, min_periods: int = 1, bucket_s: int = linear.BUCKET_S) -> DataFrame:
+    """(instrument, ts, x_ewma) for any column, NULL included."""
+    return with_ewma(panel.select("instrument", "ts", x), x, alpha, f"{x}_ewma", min_periods, bucket_s).select("instrument", "ts", f"{x}_ewma")
+
 
+def ewma_by_time(panel: DataFrame, x: str, half_life_s: float, min_periods: int = 1, carry: bool = True, bucket_s: int = linear.BUCKET_S) -> DataFrame:
+    """(instrument, ts, x_ewma) with weights by the time since the row before.
 
-def inertia(panel: DataFrame, target: str, half_life: float) -> DataFrame:
-    """(instrument, ts, position): the target with inertia of the given half-life in rows."""
+    NULL carries the value, or gives NULL without ``carry``; the step of time to a NULL row is lost.
+    """
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    rows = linear.placed(panel.select("instrument", "ts", x), x, bucket_s)
+    weight = linear.half_life_weight(seconds("ts") - seconds("_was"), half_life_s)
+    known, begun = F.col(x).isNotNull(), F.col("_held").isNotNull()
+    keep = F.when(~known, 1.0).when(begun, weight).otherwise(0.0)
+    add = F.when(~known, 0.0).when(begun, (1 - weight) * F.col(x)).otherwise(F.col(x))
+    out = linear.scan(rows, keep, add, "_mean", bucket_s)
+    shown = (F.col("_seen") >= max(min_periods, 1)) & (F.lit(carry) | known)
+    return out.select("instrument", "ts", F.when(shown, F.col("_mean")).alias(f"{x}_ewma"))
+
+
+def inertia(panel: DataFrame, target: str, half_life: float, bucket_s: int = linear.BUCKET_S) -> DataFrame:
+    """(instrument, ts, position): the target with inertia of the given half-life in rows; NULL leaves the position."""
     alpha = half_life_to_alpha(half_life)
-    return sequential.run_kernel(panel, [target], ["position"], lambda v: (sequential.inertia(v, alpha),))
+    rows = linear.placed(panel.select("instrument", "ts", target), target, bucket_s)
+    known, begun = F.col(target).isNotNull(), F.col("_held").isNotNull()
+    keep = F.when(~known, 1.0).when(begun, 1 - alpha).otherwise(0.0)
+    add = F.when(~known, 0.0).when(begun, alpha * F.col(target)).otherwise(F.col(target))
+    return linear.scan(rows, keep, add, "_moved", bucket_s).select("instrument", "ts", F.when(F.col("_seen") >= 1, F.col("_moved")).alias("position"))
 
 
 @dataclass(frozen=True)

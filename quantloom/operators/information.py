@@ -227,39 +227,68 @@ def transfer_entropy(long: DataFrame, lags_x: tuple[int, ...] = (1,), lags_y: tu
     return cells.groupBy(*keys).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("n_py") / (F.col("n_py_px") * F.col("n_y_py")))).alias("te"))
 
 
-def _te(bx: np.ndarray, by: np.ndarray, bins: int) -> float:
-    y, py, px = by[1:], by[:-1], bx[:-1]
-    cells = np.bincount((y * bins + py) * bins + px, minlength=bins**3).reshape(bins, bins, bins).astype(float)
-    total = cells.sum()
-    joint = cells * cells.sum(axis=(0, 2))[None, :, None]
-    base = cells.sum(axis=2)[:, :, None] * cells.sum(axis=0)[None, :, :]
-    at = cells > 0
-    return float((cells[at] / total * np.log(joint[at] / base[at])).sum())
-
-
-def te_significance(long: DataFrame, bins: int = 5, runs: int = 200, block: int = 0, seed: int = 7, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, te, pvalue) by permuting x, or by blocks of it; one task for each key and slice of runs, seeded by the run."""
-    schema = ", ".join([*(f"{k} string" for k in keys), "te double", "n_above int", "n_runs int"])
-    slices = 8
-    rows = binned(complete(long), ("x", "y"), bins, keys=keys).select(*keys, "ts", "b_x", "b_y").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+def _codes(b: np.ndarray, lags: tuple[int, ...], bins: int, skip: int) -> np.ndarray:
+    """The lagged values of each row from ``skip`` on as one number, a digit a lag."""
+    out = np.zeros(len(b) - skip, dtype=np.int64)
+    for k in lags:
+        out = out * bins + b[skip - k : len(b) - k]
+    return out
+
+
+def _te(y: np.ndarray, past_y: np.ndarray, past_x: np.ndarray) -> float:
+    """Transfer entropy in nats from coded pasts: counts of the pairs and triples that occur, however many could."""
+    y_of, py, px = np.unique(y, return_inverse=True)[1], np.unique(past_y, return_inverse=True)[1], np.unique(past_x, return_inverse=True)[1]
+    n_y, n_py, n_px = (int(v.max()) + 1 for v in (y_of, py, px))
+
+    def counts(code: np.ndarray, size: int) -> np.ndarray:
+        """The count of each row's own code."""
+        if size <= 1 << 22:
+            return np.bincount(code, minlength=size)[code]
+        _, place, n = np.unique(code, return_inverse=True, return_counts=True)
+        return n[place]
+
+    both = py * n_px + px
+    triple, pair, own, past = counts(both * n_y + y_of, n_y * n_py * n_px), counts(both, n_py * n_px), counts(py * n_y + y_of, n_py * n_y), counts(py, n_py)
+    return float(np.log(triple * past / (pair.astype(float) * own)).mean())
+
+
+def te_significance(
+    long: DataFrame,
+    bins: int = 5,
+    runs: int = 200,
+    block: int = 0,
+    seed: int = 7,
+    keys: tuple[str, ...] = KEYS,
+    lags_x: tuple[int, ...] = (1,),
+    lags_y: tuple[int, ...] = (1,),
+) -> DataFrame:
+    """(keys, te, pvalue) by permuting x, or by blocks of it, before its lags are taken; run i is seeded by (seed, i).
+
+    x and y are binned once, by Spark; a task gets one key as two columns of small codes, once for all its runs. NULL for a
+    key with no row that has all its lags.
+    """
+    schema = ", ".join([*(f"{k} string" for k in keys), "te double", "pvalue double"])
+    rows = binned(complete(long), ("x", "y"), bins, keys=keys).select(*keys, "ts", F.col("b_x").cast("short").alias("b_x"), F.col("b_y").cast("short").alias("b_y"))
+    skip = max((*lags_x, *lags_y))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        bx, by = pdf["b_x"].to_numpy(dtype=int), pdf["b_y"].to_numpy(dtype=int)
-        te = _te(bx, by, bins) if len(bx) > 1 else float("nan")
-        above = done = 0
-        for i in range(key[-1], runs, slices):
+        bx, by = pdf["b_x"].to_numpy(dtype=np.int16), pdf["b_y"].to_numpy(dtype=np.int16)
+        if len(bx) <= skip:
+            return pd.DataFrame([[*key, None, None]], columns=[*keys, "te", "pvalue"])
+        y, past_y = by[skip:], _codes(by, lags_y, bins, skip)
+        te, above = _te(y, past_y, _codes(bx, lags_x, bins, skip)), 0
+        for i in range(runs):
             rng = np.random.default_rng([seed, i])
             if block > 1:
                 starts = rng.integers(0, max(len(bx) - block + 1, 1), -(-len(bx) // block))
                 index = (starts[:, None] + np.arange(block)).ravel()[: len(bx)] % len(bx)
             else:
                 index = rng.permutation(len(bx))
-            above, done = above + (_te(bx[index], by, bins) >= te if len(bx) > 1 else 0), done + 1
-        return pd.DataFrame([[*key[:-1], te, above, done]], columns=[*keys, "te", "n_above", "n_runs"])
+            above += _te(y, past_y, _codes(bx[index], lags_x, bins, skip)) >= te
+        return pd.DataFrame([[*key, te, (above + 1) / (runs + 1)]], columns=[*keys, "te", "pvalue"])
 
-    parts = rows.groupBy(*keys, "slice").applyInPandas(run, schema)
-    return parts.groupBy(*keys).agg(F.first("te").alias("te"), ((F.sum("n_above") + 1) / (F.sum("n_runs") + 1)).alias("pvalue"))
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def bh_fdr(pvalues: DataFrame, alpha: float = 0.05, column: str = "pvalue", keys: tuple[str, ...] = ("instrument",), name: str = "feature") -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.linear import BUCKET_S
 from quantloom.functions.windows import by_instrument, by_time
 from quantloom.operators import sequential
+from quantloom.operators.hmm_model import Hmm, HmmConfig, fit_hmm  # noqa: F401
+from quantloom.operators.hmm_scan import scan_hmm
 
 
 def quantile_labels(panel: DataFrame, vol: str, quantiles: tuple[float, ...] = (0.3, 0.7), calibrate: Column | None = None) -> DataFrame:
@@ -37,9 +37,9 @@ def trend_labels(panel: DataFrame, slope: str, r2: str, quantile: float = 0.7, l
     return out.withColumn("state", state).drop("_b")
 
 
-def cusum(panel: DataFrame, x: str, threshold: float, drift: float) -> DataFrame:
-    """(instrument, ts, flag) of the two-sided cumulative sum with reset."""
-    flags = sequential.run_kernel(panel, [x], ["flag"], lambda v: (sequential.cusum(v, threshold, drift),))
+def cusum(panel: DataFrame, x: str, threshold: float, drift: float, bucket_s: int = BUCKET_S) -> DataFrame:
+    """(instrument, ts, flag) of the two-sided cumulative sum with reset, by time buckets."""
+    flags = sequential.run_scan(panel, [x], ["flag"], sequential.flagged(threshold, drift), bucket_s=bucket_s)
     return flags.withColumn("flag", F.col("flag").cast("int"))
 
 
@@ -66,117 +66,17 @@ def durations(panel: DataFrame, state: str = "state") -> DataFrame:
     return runs(panel, state).groupBy("instrument", "state").agg(F.count("*").alias("n_runs"), F.sum("length").alias("n_rows"), F.avg("length").alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"))
 
 
-#: Least mass of a live state, and what is added to each count of steps.
-LEAST_MASS, LEAST_STEP = 1e-6, 1e-12
-
-
-@dataclass(frozen=True)
-class HmmConfig:
-    n_states: int = 2
-    rounds: int = 100
-    tolerance: float = 1e-4
-    floor: float = 1e-6
-    init: str = "quantile"
-    seed: int = 7
-
-    def __post_init__(self):
-        if not 2 <= self.n_states <= 4 or self.init not in ("quantile", "kmeans"):
-            raise ValueError("2 to 4 states, started by quantile or kmeans")
-
-
-@dataclass(frozen=True)
-class Hmm:
-    start: np.ndarray
-    step: np.ndarray
-    means: np.ndarray
-    variances: np.ndarray
-    centre: np.ndarray
-    scale: np.ndarray
-
-    def densities(self, x: np.ndarray) -> np.ndarray:
-        """Log densities of rows (n, d) under each state (n, k)."""
-        z = (x - self.centre) / self.scale
-        gap = z[:, None, :] - self.means[None]
-        return -0.5 * ((gap**2 / self.variances).sum(axis=2) + np.log(2 * math.pi * self.variances).sum(axis=1))
-
-    def forward(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Filtered probabilities and the log likelihood of each row given those before."""
-        out, gain = np.empty_like(logs), np.empty(len(logs))
-        now = self.start
-        for i, row in enumerate(logs):
-            top = row.max()
-            joint = now * np.exp(row - top)
-            total = joint.sum()
-            out[i], gain[i] = joint / total, top + math.log(total)
-            now = out[i] @ self.step
-        return out, gain
-
-    def smooth(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Smoothed probabilities, expected steps between states, log likelihood."""
-        held, gain = self.forward(logs)
-        back, counts = held.copy(), np.zeros_like(self.step)
-        for i in range(len(logs) - 2, -1, -1):
-            ahead = held[i] @ self.step
-            joint = held[i][:, None] * self.step * (back[i + 1] / np.maximum(ahead, 1e-300))[None, :]
-            counts += joint
-            back[i] = joint.sum(axis=1)
-        return back, counts, float(gain.sum())
-
-    def viterbi(self, logs: np.ndarray) -> np.ndarray:
-        step, best = np.log(np.maximum(self.step, 1e-300)), np.log(np.maximum(self.start, 1e-300)) + logs[0]
-        came = np.zeros(logs.shape, dtype=int)
-        for i in range(1, len(logs)):
-            paths = best[:, None] + step
-            came[i] = paths.argmax(axis=0)
-            best = paths.max(axis=0) + logs[i]
-        out = np.empty(len(logs), dtype=int)
-        out[-1] = best.argmax()
-        for i in range(len(logs) - 1, 0, -1):
-            out[i - 1] = came[i, out[i]]
-        return out
-
-
-def fit_hmm(x: np.ndarray, cfg: HmmConfig) -> Hmm:
-    """Diagonal Gaussian hidden Markov model of rows (n, d) by expectation-maximisation; states by ascending first mean."""
-    n, k = len(x), cfg.n_states
-    centre, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 0, scale, 1.0)
-    z = (x - centre) / scale
-    if cfg.init == "quantile":
-        near = np.searchsorted(np.quantile(z[:, 0], np.linspace(0, 1, k + 1)[1:-1]), z[:, 0], "right")
-        means = np.stack([z[near == j].mean(axis=0) if (near == j).any() else z.mean(axis=0) for j in range(k)])
-    else:
-        means = z[np.random.default_rng(cfg.seed).choice(n, k, replace=False)]
-        for _ in range(10):
-            near = ((z[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
-            means = np.stack([z[near == j].mean(axis=0) if (near == j).any() else means[j] for j in range(k)])
-    variances = np.stack([z[near == j].var(axis=0) if (near == j).any() else z.var(axis=0) for j in range(k)])
-    model = Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), means, np.maximum(variances, cfg.floor), centre, scale)
-    was = -math.inf
-    for _ in range(cfg.rounds):
-        weight, counts, gain = model.smooth(model.densities(x))
-        mass = weight.sum(axis=0)
-        dead, safe = mass < LEAST_MASS, np.maximum(mass, LEAST_MASS)
-        means = weight.T @ z / safe[:, None]
-        spread = np.stack([(weight[:, j, None] * (z - means[j]) ** 2).sum(axis=0) / safe[j] for j in range(k)])
-        means[dead], spread[dead] = z.mean(axis=0), z.var(axis=0)  # a state that holds nothing starts again from all rows
-        start, step = np.maximum(weight[0], LEAST_STEP), counts + LEAST_STEP
-        model = Hmm(start / start.sum(), step / step.sum(axis=1, keepdims=True), means, np.maximum(spread, cfg.floor), centre, scale)
-        if abs(gain - was) < cfg.tolerance:
-            break
-        was = gain
-    order = np.argsort(model.means[:, 0], kind="stable")
-    return Hmm(model.start[order], model.step[np.ix_(order, order)], model.means[order], model.variances[order], centre, scale)
-
-
-def hmm(panel: DataFrame, columns: list[str], cfg: HmmConfig = HmmConfig(), mode: str = "filter", calibrate: str | None = None) -> DataFrame:
+def hmm(panel: DataFrame, columns: list[str], cfg: HmmConfig = HmmConfig(), mode: str = "filter", calibrate: str | None = None, bucket_s: int | None = None) -> DataFrame:
     """(instrument, ts, state, p_state_k) of each series: filter uses rows up to ts; smooth and viterbi use all of them.
 
     The model is fitted on the rows marked by ``calibrate``, on all rows without it. Rows with a NULL feature are left out;
-    a series with fewer than 10 * n_states rows has no states.
+    a series with fewer than 10 * n_states rows has no states. With ``bucket_s`` a task holds the rows of so many seconds
+    of a series, without it a whole series; the results are the same.
     """
     if mode not in ("filter", "smooth", "viterbi"):
         raise ValueError("unknown mode")
+    if bucket_s:
+        return scan_hmm(panel, columns, cfg, mode, calibrate, bucket_s)
     schema = "instrument string, ts timestamp_ntz, state int, " + ", ".join(f"p_state_{k} double" for k in range(cfg.n_states))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +84,7 @@ def hmm(panel: DataFrame, columns: list[str], cfg: HmmConfig = HmmConfig(), mode
         x = pdf[columns].to_numpy(dtype=float)
         train = x[pdf[calibrate].to_numpy(dtype=bool)] if calibrate else x
         if len(train) < 10 * cfg.n_states:
-            return pd.DataFrame({"instrument": [], "ts": [], "state": []} | {f"p_state_{k}": [] for k in range(cfg.n_states)})
+            return pdf[["instrument", "ts"]].iloc[:0].assign(state=np.empty(0, dtype=np.int32), **{f"p_state_{k}": np.empty(0) for k in range(cfg.n_states)})
         model = fit_hmm(train, cfg)
         logs = model.densities(x)
         p = model.smooth(logs)[0] if mode == "smooth" else model.forward(logs)[0]

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.linear import BUCKET_S
 from quantloom.functions.stats import clip
 from quantloom.functions.windows import col, compound, lag, last_rows, rolling, row_number, up_to_now
 from quantloom.operators import sequential
+from quantloom.operators.decay import with_ewma
 from quantloom.operators.features import simple_return
 
 FLOOR = 1e-12
@@ -98,9 +100,9 @@ def guarded(panel: DataFrame, cfg: DrawdownGuard, position: str = "position", re
     return out.withColumn(position, F.col(position) * F.col("guard_scale")).drop("_pnl", "_hit", "_scale")
 
 
-def cap_turnover(panel: DataFrame, cap: float, position: str = "position", keep: tuple[str, ...] = ("instrument", "ts")) -> DataFrame:
-    """The kept columns and the position moving by at most ``cap`` a row from what it was after capping."""
-    return sequential.run_kernel(panel, [position], [position], lambda v: (sequential.cap_steps(v, cap),), keep=tuple(c for c in keep if c != position))
+def cap_turnover(panel: DataFrame, cap: float, position: str = "position", keep: tuple[str, ...] = ("instrument", "ts"), bucket_s: int = BUCKET_S) -> DataFrame:
+    """The kept columns and the position moving by at most ``cap`` a row from what it was after capping, by time buckets."""
+    return sequential.run_scan(panel, [position], [position], sequential.capped(cap), tuple(c for c in keep if c != position), bucket_s)
 
 
 def historical_var(returns: str, n: int, alpha: float) -> Column:
@@ -132,7 +134,7 @@ def overlay(panel: DataFrame, cfg: RiskConfig = RiskConfig(), start: float = 1.0
     out = out.withColumn("position_vol", F.col("position"))
     keep = ("instrument", "ts", "price", "returns", "position_raw", "vol", "vol_scale", "position_vol")
     if cfg.smooth_alpha is not None:
-        out = sequential.run_kernel(out, ["position"], ["position"], lambda v: (sequential.ewma(v, cfg.smooth_alpha),), keep=keep)
+        out = with_ewma(out, "position", cfg.smooth_alpha, "position")
     if cfg.max_turnover is not None:
         out = cap_turnover(out, cfg.max_turnover, keep=keep)
     out = out.withColumn("position_capped", F.col("position")).withColumn("turnover", turnover("position"))

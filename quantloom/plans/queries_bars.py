@@ -252,6 +252,22 @@ def _(s, d):
     return decay.ewma(items_panel(s, d), "price", 0.2)
 
 
+#: y, the weight left of it since its last value, and the number of values so far; a gap leaves y and lets the weight fade.
+GAPS = (
+    f"gs as (select instrument, ts, i, case when abs(s) < 0.3 then price end as x from (select *, price / {lagged('price')} - 1 as s from steps))",
+    "rec(instrument, ts, i, y, old, seen) as (select instrument, ts, i, x, 1.0::double, (x is not null)::int from gs where i = 1 union all select e.instrument, e.ts, e.i, "
+    "case when e.x is null then rec.y when rec.y is null then e.x else (rec.old * 0.9 * rec.y + 0.1 * e.x) / (rec.old * 0.9 + 0.1) end, "
+    "case when rec.y is null or e.x is not null then 1.0 else rec.old * 0.9 end, rec.seen + (e.x is not null)::int from rec join gs e on e.instrument = rec.instrument and e.i = rec.i + 1)",
+    "o as (select instrument, ts, case when seen >= 4 then y end as x_ewma from rec)",
+)
+
+
+@query("ewma_gaps", recursive(ITEMS, STEPS, *GAPS, out=final("o", "instrument", "ts:t", "x_ewma:d")))
+def _(s, d):
+    gappy = items_panel(s, d).withColumn("s", features.simple_return()).withColumn("x", F.when(F.abs("s") < 0.3, F.col("price")))
+    return decay.ewma(gappy, "x", 0.1, 4)
+
+
 @query("ewma_frame", EWMA)
 def _(s, d):
     return items_panel(s, d).select("instrument", "ts", decay.ewma_frame("price", 0.2).alias("price_ewma"))
@@ -344,6 +360,25 @@ def _(s, d):
     return out.select("instrument", "ts", "returns", "vol", "vol_scale", "turnover", "position_target")
 
 
+#: The whole overlay: volatility target, smoothing, turnover cap, drawdown guard with cooldown, leverage bound.
+CHAIN = (
+    f"ch as (select *, row_number() {over()} as i from v5)",
+    "rec(instrument, ts, i, e, y) as (select instrument, ts, i, p, p from ch where i = 1 union all select c.instrument, c.ts, c.i, 0.5 * c.p + 0.5 * rec.e, rec.y + least(greatest(0.5 * c.p + 0.5 * rec.e - rec.y, -0.002), 0.002) from rec join ch c on c.instrument = rec.instrument and c.i = rec.i + 1)",
+    f"k0 as (select ch.*, rec.y as capped from ch join rec using (instrument, i)), k1 as (select *, coalesce(abs(capped - {lagged('capped')}), 0) as turn, {lagged('capped')} * returns as pnl, row_number() {over()} as rn from k0)",
+    f"k2 as (select *, {compound('pnl')} as equity_proxy from k1), k3 as (select *, coalesce(1 - equity_proxy / nullif(max(equity_proxy) {over(PREFIX)}, 0), 0) as drawdown from k2)",
+    f"k4 as (select *, max(case when drawdown >= 0.02 then rn end) {over(PREFIX)} as hit from k3), k5 as (select *, coalesce(rn - hit <= 5, false) as guard_active from k4)",
+    "k6 as (select *, case when guard_active then 0.25 else greatest(0.25, least(1.0, 1 - drawdown / 0.02)) end as guard_scale from k5)",
+    "o as (select instrument, ts, returns, vol, vol_scale, capped as position_capped, turn as turnover, equity_proxy, drawdown, guard_active, guard_scale, coalesce(greatest(-1.0, least(1.0, capped * guard_scale)), 0) as position_target from k6)",
+)
+OVERLAY = ("returns", "vol", "vol_scale", "position_capped", "turnover", "equity_proxy", "drawdown", "guard_scale", "position_target")
+
+
+@query("risk_overlay_chain", recursive(ITEMS, RETURNS, FEATURES, POSITIONS, VOL.replace("10 * position", "position"), *CHAIN, out=final("o", "instrument", "ts:t", "guard_active", *(f"{c}:d" for c in OVERLAY))))
+def _(s, d):
+    guard = risk.DrawdownGuard(0.02, "linear_delever", 0.25, 5)
+    return risk.overlay(position_panel(s, d), risk.RiskConfig(1.0, risk.VolTarget(), 0.002, 0.5, guard)).select("instrument", "ts", "guard_active", *OVERLAY)
+
+
 BAR_COLUMNS = ("price", "position", "applied", "returns", "trade", "turnover", "costs", "gross", "pnl", "equity", "drawdown_neg", "cum_costs")
 
 

@@ -10,7 +10,7 @@ from quantloom.operators import evaluate, features, information, meta, regimes,
 from quantloom.plans import reports, strategy
 from quantloom.plans.queries_bars import REGIME_FEATURES, SMALL, bar_panel, feature_panel
 from quantloom.plans.registry import query
-from quantloom.plans.sql import BARS, FEATURES, ITEMS, KEYS, LONG, MARKET, ORDERS, POSITIONS, PREFIX, RANKED, RETURNS, binned, corr, final, mi_table, normal_cdf, normal_ppf, over, roll
+from quantloom.plans.sql import BARS, FEATURES, ITEMS, KEYS, LONG, MARKET, ORDERS, POSITIONS, PREFIX, RANKED, RETURNS, W, binned, corr, final, mi_table, normal_cdf, normal_ppf, over, roll
 from quantloom.plans.sql import query as sql
 from quantloom.sources.panels import items_panel, market_panel, orders_panel
 
@@ -129,9 +129,46 @@ def _(s, d):
     return stationarity.kpss(items_panel(s, d), "price", KPSS_LAGS)
 
 
-@query("adf_stat")
+#: Both tests in SQL: Gram matrices as lists, swept column by column; what is left of the step's square gives each AIC.
+STATIONARITY = (
+    "e0 as (select instrument, ts, price - avg(price) over (partition by instrument) as e, row_number() over (partition by instrument order by ts) as i, count(*) over (partition by instrument) as n from panel)",
+    f"e1 as (select *, e - lag(e) over ({W}) as d, lag(e) over ({W}) as before from e0)",
+    f"e2 as (select *, list_reverse(list(d) over ({W} rows between 60 preceding and 1 preceding)) as ds, least(ceil(12 * (n / 100) ** 0.25), n // 2 - 2)::int as most from e1)",
+    "g1 as (select instrument, most, [1.0, before] || ds[1:most] || [d] as v from e2 where i > most + 1)",
+    "c1 as (select instrument, most, a, b, sum(v[a] * v[b]) as g from g1, range(1, 70) r(a), range(1, 70) s(b) where a <= most + 3 and b <= most + 3 group by all)",
+    "m1 as (select instrument, most, list(l order by a) as m from (select instrument, most, a, list(g order by b) as l from c1 group by all) group by all)",
+    "w1(instrument, most, k, m, rows) as (select instrument, most, 0, m, m[1][1] from m1 union all select instrument, most, k + 1, list_transform(m, lambda x, i: case when i <= k + 1 then x else list_transform(x, lambda y, j: y - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end), rows from w1 where k < most + 2)",
+    "aic as (select instrument, k - 2 as used, rows * ln(m[most + 3][most + 3] / rows) + 2 * k as aic from w1 where k >= 2)",
+    "best as (select instrument, {used} as used from aic group by 1)",
+    "g2 as (select instrument, used, [1.0] || ds[1:used] || [before, d] as v from e2 join best using (instrument) where i > used + 1)",
+    "c2 as (select instrument, used, a, b, sum(v[a] * v[b]) as g from g2, range(1, 70) r(a), range(1, 70) s(b) where a <= used + 3 and b <= used + 3 group by all)",
+    "m2 as (select instrument, used, list(l order by a) as m from (select instrument, used, a, list(g order by b) as l from c2 group by all) group by all)",
+    "w2(instrument, used, k, m, rows) as (select instrument, used, 0, m, m[1][1] from m2 union all select instrument, used, k + 1, list_transform(m, lambda x, i: case when i <= k + 1 then x else list_transform(x, lambda y, j: y - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end), rows from w2 where k < used + 1)",
+    "t as (select instrument, used, rows, m[used + 2][used + 3] / sqrt((m[used + 3][used + 3] * m[used + 2][used + 2] - m[used + 2][used + 3] ** 2) / (rows - used - 2)) as stat from w2 where k = used + 1)",
+    "p0 as materialized (select a.instrument, a.n, k, sum(a.e * b.e) as c from e0 a, range(0, 60) r(k), e0 b where b.instrument = a.instrument and b.i = a.i - k group by all)",
+    "p1 as (select instrument, n, sum(case when k = 0 then c / n when k <= floor(n ** (2.0 / 9)) then c / (n / 2) end) as s0, sum(case when k between 1 and floor(n ** (2.0 / 9)) then k * c / (n / 2) end) as s1 from p0 group by 1, 2)",
+    "p2 as (select instrument, n, {held} as held from p1)",
+    "p3 as (select instrument, n, held, sum(case when k = 0 then c when k <= held then 2 * (1 - k / (held + 1)) * c end) / n as spread from p0 join p2 using (instrument, n) group by instrument, n, held)",
+    "q as (select instrument, sum(s * s) as q from (select instrument, sum(e) over (partition by instrument order by ts) as s from e0) group by 1)",
+    f"o0 as (select t.*, {normal_cdf('case when stat <= -1.61 then 2.1659 + 1.4412 * stat + 0.038269 * stat ** 2 else 1.7339 + 0.93202 * stat - 0.12745 * stat ** 2 - 0.010368 * stat ** 3 end')} as pvalue, q.q / n / n / spread as kpss, held from t join p3 using (instrument) join q using (instrument))",
+    "o as (select instrument, stat as adf_stat, case when stat > 2.74 then 1.0 when stat < -18.83 then 0.0 else pvalue end as adf_pvalue, used as adf_usedlag, rows as adf_nobs, -3.43035 - 6.5393 / rows - 16.786 / rows ** 2 - 79.433 / rows ** 3 as adf_crit_1pct, -2.86154 - 2.8903 / rows - 4.234 / rows ** 2 - 40.040 / rows ** 3 as adf_crit_5pct, -2.56677 - 1.5384 / rows - 2.809 / rows ** 2 as adf_crit_10pct, kpss as kpss_stat, "
+    "case when kpss <= 0.347 then 0.10 when kpss <= 0.463 then 0.10 + (kpss - 0.347) / (0.463 - 0.347) * (0.05 - 0.10) when kpss <= 0.574 then 0.05 + (kpss - 0.463) / (0.574 - 0.463) * (0.025 - 0.05) when kpss <= 0.739 then 0.025 + (kpss - 0.574) / (0.739 - 0.574) * (0.01 - 0.025) else 0.01 end as kpss_pvalue, held as kpss_lags, 0.347 as kpss_crit_10pct, 0.463 as kpss_crit_5pct, 0.574 as kpss_crit_2_5pct, 0.739 as kpss_crit_1pct from o0)",
+)
+REPORT = ("adf_stat:d", "adf_pvalue:d", "adf_usedlag:i", "adf_nobs:i", "adf_crit_1pct:d", "adf_crit_5pct:d", "adf_crit_10pct:d", "kpss_stat:d", "kpss_pvalue:d", "kpss_lags:i", "kpss_crit_10pct:d", "kpss_crit_5pct:d", "kpss_crit_2_5pct:d", "kpss_crit_1pct:d")
+
+
+def stationarity_sql(used: str, held: str) -> str:
+    return "with recursive " + ",\n".join([ITEMS, *(c.replace("{used}", used).replace("{held}", held) for c in STATIONARITY)]) + "\n" + final("o", "instrument", *REPORT)
+
+
+@query("stationarity_report", stationarity_sql("arg_min(used, aic)", "least(floor(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3) * n ** (1.0 / 3)), n - 1)::int"))
 def _(s, d):
-    return stationarity.stationarity_report(items_panel(s, d), "price", KPSS_LAGS).select("instrument", "adf", "lags", "adf_rows", "line_5", "adf_stationary")
+    return stationarity.stationarity_report(items_panel(s, d), "price", chunk_rows=1000).drop("adf_stationary", "kpss_stationary")
+
+
+@query("adf_stat", stationarity_sql("2", f"{KPSS_LAGS}"))
+def _(s, d):
+    return stationarity.stationarity_report(items_panel(s, d), "price", KPSS_LAGS, 2).drop("adf_stationary", "kpss_stationary")
 
 
 L = (ITEMS, RETURNS, FEATURES, LONG)
@@ -308,16 +345,33 @@ TE = (
 )
 
 
+_LAGGED = lambda b, k: f"lag({b}, {k}) over (partition by {KEYS} order by ts)"
+TE_LAGS = (
+    f"cl as (select * from long where x is not null and y is not null), {binned('cl', 5)}, lg as (select {KEYS}, b_y, {_LAGGED('b_x', 1)} * 5 + {_LAGGED('b_x', 2)} as px, {_LAGGED('b_y', 1)} * 5 + {_LAGGED('b_y', 3)} as py from binned), "
+    + TE[TE.index("c as (select") :]
+)
+
+
 @query("transfer_entropy", sql(*L, TE, out=final("o", "instrument", "feature", "te:d")))
 def _(s, d):
     return information.transfer_entropy(long_panel(s, d))
 
 
+@query("transfer_entropy_lags", sql(*L, TE_LAGS, out=final("o", "instrument", "feature", "te:d")))
+def _(s, d):
+    return information.transfer_entropy(long_panel(s, d).filter("x is not null and y is not null"), (1, 2), (1, 3))
+
+
 @query("te_significance")
 def _(s, d):
     return information.te_significance(long_panel(s, d))
 
 
+@query("te_significance_lags")
+def _(s, d):
+    return information.te_significance(long_panel(s, d), block=5, lags_x=(1, 2), lags_y=(1, 3))
+
+
 @query("summary_outer_join", sql(*L, f"i as (select {KEYS}, {corr('x', 'y')} as ic, count(*) as n from long where x is not null and y is not null and feature <> 'rv_5' group by all)", binned("long", 10), mi_table("binned", KEYS), "m as (select * from mi_t where feature <> 'mom_5')", "o as (select coalesce(i.instrument, m.instrument) as instrument, coalesce(i.feature, m.feature) as feature, ic, n, mi from i full outer join m on i.instrument = m.instrument and i.feature = m.feature)", out=final("o", "instrument", "feature", "ic:d", "n:i", "mi:d")))
 def _(s, d):
     rows = long_panel(s, d)
