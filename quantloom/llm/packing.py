@@ -45,7 +45,7 @@ CACHE_BYTES, LONGEST, BLOCK = 192 << 20, 256, 4096
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LATIN_END = "\u0250"
 #: Bytes of texts that are split together.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 
 
 def library(path: str):
