@@ -48,15 +48,19 @@ def in_chunks(panel: DataFrame, build: Callable[[DataFrame], DataFrame], rows_be
     return out.withColumn("instrument", F.split("instrument", MARK)[0])
 
 
-def dealt(rows: DataFrame, rows_before: Column | int, chunk_rows: Column | int) -> DataFrame:
-    """numbered() rows with _chunk and own: runs of chunk_rows rows, each with the rows_before rows ahead of it (not own).
+def dealt(rows: DataFrame, rows_before: Column | int, chunk_rows: Column | int, rows_after: int = 0) -> DataFrame:
+    """numbered() rows with _chunk and own: runs of chunk_rows rows, each with its neighbours (not own): the rows_before rows
+    ahead of it and the rows_after rows behind it.
 
-    Both may depend on the series through _rows; a chunk has no fewer rows than what it looks back on.
+    All may depend on the series through _rows; a chunk has no fewer rows than what it looks back or forward on.
     """
     size = chunk_rows if isinstance(chunk_rows, Column) else F.lit(chunk_rows)
     at, place = F.floor(F.col("_rn") / size), F.col("_rn") % size
-    homes = F.array_compact(F.array(F.struct(at.alias("_chunk"), F.lit(True).alias("own")), F.when((place >= size - rows_before) & (F.col("_rn") < F.col("_rows") - size + place), F.struct((at + 1).alias("_chunk"), F.lit(False).alias("own")))))
-    return rows.withColumn("_home", F.explode(homes)).select("*", "_home.*").drop("_home")
+    home = lambda chunk, own: F.struct(chunk.alias("_chunk"), F.lit(own).alias("own"))
+    homes = [home(at, True), F.when((place >= size - rows_before) & (F.col("_rn") < F.col("_rows") - size + place), home(at + 1, False))]
+    if rows_after:
+        homes.append(F.when((place < rows_after) & (at > 0), home(at - 1, False)))
+    return rows.withColumn("_home", F.explode(F.array_compact(F.array(*homes)))).select("*", "_home.*").drop("_home")
 
 
 def running_sum(panel: DataFrame, x: str, name: str, bucket_s: int = 86_400) -> DataFrame:

@@ -21,11 +21,14 @@ def order_statistics(rows: DataFrame, by: list[str], x: str | Column, shares: tu
     NULLs of x take no part; a key without values has no rows. Keys are not NULL, values are finite.
     """
     x = F.col(x) if isinstance(x, str) else x
-    values = rows.select(*by, x.cast("double").alias("_x")).filter("_x is not null")
+    # four steps read the values: dealt out once, they are computed once
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.select(*by, x.cast("double").alias("_x")).filter("_x is not null").repartition(parts)
     facts = values.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     position = F.array(*[F.lit(float(s)) * (F.col("_n") - 1) for s in shares])
     wanted = facts.select(*by, F.posexplode(position).alias("share_no", "position"))
-    ranks = wanted.select(*by, F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank")).distinct()
+    ends = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank"))
+    ranks = ends.select(*by, "rank").distinct()
     near = values.join(facts.select(*by, "_lo", "_hi"), by).withColumn("_part", _part())
     first = _reached(near, ranks.withColumn("_below", F.lit(0).cast("long")), by)
     near = near.drop("_lo", "_hi").join(first, [*by, "_part"]).drop("_part")  # one row for each rank whose part it is in
@@ -34,9 +37,7 @@ def order_statistics(rows: DataFrame, by: list[str], x: str | Column, shares: tu
     inside = near.select(*by, "rank", "_part", "_x").join(second.select(*by, "rank", "_part", "_below"), [*by, "rank", "_part"]).groupBy(*by, "rank", "_below", "_x").agg(F.count("*").alias("_c"))
     upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*by, "rank").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     found = inside.withColumn("_upto", upto).filter("_upto > rank").groupBy(*by, "rank").agg(F.min("_x").alias("value"))
-    places = wanted.select(*by, "share_no", "position", F.floor("position").alias("_f"), F.ceil("position").alias("_g"))
-    at = lambda place, name: found.select(*by, F.col("rank").alias(place), F.col("value").alias(name))
-    return places.join(at("_f", "low"), [*by, "_f"]).join(at("_g", "high"), [*by, "_g"]).select(*by, "share_no", "position", "low", "high")
+    return ends.join(found, [*by, "rank"]).groupBy(*by, "share_no", "position").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def _part() -> Column:
@@ -63,3 +64,8 @@ def exact_quantiles(rows: DataFrame, by: list[str], x: str | Column, shares: tup
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between)
     found = order_statistics(rows, by, x, shares).select(*by, "share_no", value.alias("_v"))
     return found.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("share_no", "_v"))), lambda s: s["_v"]).alias(name))
+
+
+def with_quantiles(panel: DataFrame, x: str | Column, shares: tuple[float, ...], name: str) -> DataFrame:
+    """panel with the array of its instrument's quantiles of x; NULL for an instrument without values."""
+    return panel.join(exact_quantiles(panel, ["instrument"], x, shares, name), "instrument", "left")

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import by_instrument, col, compound, lag, last_rows, next_rows, rolling, row_number, up_to_now
+from quantloom.functions.quantiles import with_quantiles
+from quantloom.functions.windows import col, compound, lag, last_rows, next_rows, rolling, row_number, up_to_now
 
 EPSILON = 1e-12
 
@@ -107,10 +108,10 @@ def forward_return(returns: Column | str, horizon: int) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) >= horizon, F.sum(F.coalesce(col(returns), F.lit(0.0))).over(frame))
 
 
-def winsorise(x: str, q: float = 0.01) -> Column:
-    """x within the q and 1 - q quantiles of its instrument."""
-    low, high = (F.expr(f"percentile({x}, {p})").over(by_instrument()) for p in (q, 1 - q))
-    return F.when(F.col(x).isNotNull(), F.greatest(low, F.least(high, F.col(x))))
+def winsorise(panel: DataFrame, x: str, q: float, name: str) -> DataFrame:
+    """panel with ``name``: x within the q and 1 - q quantiles of its instrument."""
+    out = with_quantiles(panel, x, (q, 1 - q), "_q")
+    return out.withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(x))))).drop("_q")
 
 
 def scale_to_std(x: Column | str, target: float, n: int = 60) -> Column:

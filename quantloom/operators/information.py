@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import sliding
+from quantloom.functions.quantiles import exact_quantiles
 from quantloom.functions.stats import average_rank, correlation, normal_cdf, normal_ppf
 from quantloom.operators.features import forward_return
 
@@ -56,20 +58,15 @@ def ic_decay(panel: DataFrame, signal: str, returns: str, horizons: tuple[int, .
     return ic(ahead, "spearman", ("instrument", "horizon"))
 
 
-def ic_rolling(long: DataFrame, n: int, method: str = "pearson", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def ic_rolling(long: DataFrame, n: int, method: str = "pearson", keys: tuple[str, ...] = KEYS, chunk_rows: int = sliding.CHUNK_ROWS) -> DataFrame:
     """(keys, ts, ic) over the last n complete rows, from the first full window on; Spearman ranks inside each window."""
     order = Window.partitionBy(*keys).orderBy("ts")
     frame = order.rowsBetween(1 - n, 0)
     rows = complete(long).withColumn("_n", F.count("*").over(frame))
     if method == "pearson":
         return rows.withColumn("ic", correlation("x", "y", frame)).filter(F.col("_n") >= n).select(*keys, "ts", "ic")
-    held = rows.withColumn("_w", F.collect_list(F.struct("x", "y")).over(frame)).filter(F.col("_n") >= n)
-    rank = lambda v, c: (F.size(F.filter("_w", lambda o: o[c] < v)) + (F.size(F.filter("_w", lambda o: o[c] == v)) + 1) / 2.0)
-    pairs = F.transform("_w", lambda o: F.struct(rank(o["x"], "x").alias("a"), rank(o["y"], "y").alias("b")))
-    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda s, p: s + f(p["a"], p["b"]))
-    mean = (n + 1) / 2.0
-    cov, va, vb = total(lambda a, b: (a - mean) * (b - mean)), total(lambda a, b: (a - mean) * (a - mean)), total(lambda a, b: (b - mean) * (b - mean))
-    return held.withColumn("_p", pairs).select(*keys, "ts", F.try_divide(cov, F.sqrt(va * vb)).alias("ic"))
+    out = sliding.run_sliding(complete(long), ["x", "y"], ["ic", "_full"], lambda x, y, first, last: sliding.spearman(x, y, first, last, n), n, keep=(*keys, "ts"), keys=keys, chunk_rows=chunk_rows)
+    return out.filter("_full = 1").select(*keys, "ts", "ic")
 
 
 def ic_stats(series: DataFrame, lags: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -101,6 +98,18 @@ def width_bin(x: str, bins: int, over) -> Column:
     return F.when(F.col(x).isNotNull(), F.greatest(F.lit(0), F.coalesce(at, F.lit(0))).cast("int"))
 
 
+def binned_exactly(long: DataFrame, columns: tuple[str, ...], bins: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """long with b_x for each column, as binned() by quantiles gives them; edges by distributed selection, so that no task
+    holds the values of a key."""
+    out = long
+    for c in columns:
+        edges = exact_quantiles(long, list(keys), c, tuple(k / bins for k in range(bins + 1)), "_edges").withColumn("_edges", F.array_distinct("_edges"))
+        x = F.col(c)
+        below = F.size(F.filter("_edges", lambda e: e < x))  # noqa: B023
+        out = out.join(edges, list(keys), "left").withColumn(f"b_{c}", F.when(x.isNotNull(), F.greatest(F.lit(0), below - 1))).drop("_edges")
+    return out
+
+
 def binned(long: DataFrame, columns: tuple[str, ...], bins: int, binning: str = "quantile", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """long with b_x for each column; bins come from each column's own values."""
     how = quantile_bin if binning == "quantile" else width_bin
@@ -195,13 +204,30 @@ def divergences(p: Column, q: Column) -> dict[str, Column]:
     }
 
 
-def drift(train: DataFrame, live: DataFrame, bins: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, psi, kl, cross_entropy, js, hellinger) of live against train, in bins by train's quantiles, left-closed."""
-    shares = ", ".join(repr(k / bins) for k in range(bins + 1))
-    edges = train.groupBy(*keys).agg(F.array_distinct(F.expr(f"percentile(x, array({shares}))")).alias("edges"))
-    inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
+def drift_edges(train: DataFrame, bins: int, binning: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, inner): the edges between the bins of x, the outer ones left out; equal edges are merged.
+
+    By "quantile" one task adds up the distinct values of a key, by "selection" none does; the edges are the same.
+    """
+    shares = tuple(k / bins for k in range(bins + 1))
+    if binning in ("quantile", "selection"):
+        percentiles = F.expr(f"percentile(x, array({', '.join(map(repr, shares))}))")
+        edges = exact_quantiles(train, list(keys), "x", shares, "_e") if binning == "selection" else train.groupBy(*keys).agg(percentiles.alias("_e"))
+        edges = edges.withColumn("_e", F.array_distinct("_e"))
+        return edges.select(*keys, F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0))).alias("inner"))
+    if binning != "width":
+        raise ValueError("bins are by quantile, by selection or by width")
+    ends = train.filter("x is not null").groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    margin = F.when(F.col("_lo") < F.col("_hi"), 0.0).otherwise(F.when(F.col("_lo") == 0, 0.001).otherwise(0.001 * F.abs("_lo")))  # one value lies in the middle
+    low, high = F.col("_lo") - margin, F.col("_hi") + margin
+    return ends.select(*keys, F.array(*[low + (high - low) / bins * k for k in range(1, bins)]).alias("inner"))
+
+
+def drift(train: DataFrame, live: DataFrame, bins: int = 10, keys: tuple[str, ...] = KEYS, binning: str = "quantile") -> DataFrame:
+    """(keys, psi, kl, cross_entropy, js, hellinger) of live against train, in left-closed bins by train's quantiles (quantile,
+    or selection for keys that no task can hold), or of equal width between train's extremes; the outer bins are open."""
+    cut = drift_edges(train, bins, binning, keys)
     place = F.size(F.filter("inner", lambda e: e <= F.col("x")))
-    cut = edges.select(*keys, inner.alias("inner"))
     count = lambda df, name: df.filter("x is not null").join(cut, [*keys]).groupBy(*keys, place.alias("b")).agg(F.count("*").cast("double").alias(name))
     grid = cut.select(*keys, F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("b"))
     both_sides = grid.join(count(train, "n_p"), [*keys, "b"], "left").join(count(live, "n_q"), [*keys, "b"], "left")

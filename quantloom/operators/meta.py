@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import by_instrument, by_time, next_rows
+from quantloom.functions import sliding
+from quantloom.functions.quantiles import with_quantiles
+from quantloom.functions.windows import by_instrument, by_time
 from quantloom.operators.features import forward_return
 
 CLIP = 1e-6
@@ -34,24 +36,20 @@ def meta_label(signal: str, returns: str, horizon: int, costs_bps: float = 0.0,
 
 def quantile_label(panel: DataFrame, returns: str, horizon: int, q: float = 0.8, null_tail: bool = True) -> DataFrame:
     """panel with label: 1 where the forward return is at least its q quantile over the series."""
-    out = panel.withColumn("_f", forward_return(returns, horizon))
-    line = F.expr(f"percentile(_f, {q})").over(by_instrument())
-    return out.withColumn("label", F.when(F.col("_f").isNull(), None if null_tail else 0).otherwise((F.col("_f") >= line).cast("int"))).drop("_f")
+    out = with_quantiles(panel.withColumn("_f", forward_return(returns, horizon)), "_f", (q,), "_line")
+    return out.withColumn("label", F.when(F.col("_f").isNull(), None if null_tail else 0).otherwise((F.col("_f") >= F.col("_line")[0]).cast("int"))).drop("_f", "_line")
 
 
-def triple_barrier(panel: DataFrame, price: str, signal: str, horizon: int, up: float, down: float) -> DataFrame:
+def triple_barrier(panel: DataFrame, price: str, signal: str, horizon: int, up: float, down: float, chunk_rows: int = sliding.CHUNK_ROWS) -> DataFrame:
     """panel with hit (1: the upper barrier is met first, -1: the lower, else the sign of the last return) and label.
 
-    The upper barrier is looked at first on each row; the horizon is cut at the end of the series; label is 1 if the hit
-    is on the signal's side, NULL without a signal or a next row.
+    The upper barrier is looked at first on each row; the horizon is cut at the end of the series; NULL prices are passed
+    over; label is 1 if the hit is on the signal's side, NULL without a signal or a next row. A task holds a chunk of rows
+    and the extremes of its spans, whatever the horizon.
     """
-    ahead = F.collect_list(price).over(next_rows(horizon))
-    out = panel.withColumn("_r", F.transform(ahead, lambda p: p / F.col(price) - 1))
-    first = F.aggregate("_r", F.lit(0), lambda s, r: F.when(s != 0, s).when(r >= up, 1).when(r <= -down, -1).otherwise(0))
-    last = F.signum(F.try_element_at("_r", F.lit(-1))).cast("int")
-    hit = F.when(F.size("_r") == 0, None).otherwise(F.when(first != 0, first).otherwise(last))
-    out = out.withColumn("hit", hit).drop("_r")
-    side = F.signum(F.col(signal))
+    keep = tuple(c for c in panel.columns if c not in ("hit", "label"))
+    out = sliding.run_sliding(panel, [price], ["hit"], lambda p, first, last: sliding.first_touch(p, first, last, horizon, up, down), 0, horizon, keep, chunk_rows=chunk_rows)
+    out, side = out.withColumn("hit", F.col("hit").cast("int")), F.signum(F.col(signal))
     return out.withColumn("label", F.when(side.isNull() | (side == 0) | F.col("hit").isNull(), None).otherwise((F.col("hit") * side > 0).cast("int")))
 
 

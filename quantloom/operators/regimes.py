@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.linear import BUCKET_S
-from quantloom.functions.windows import by_instrument, by_time
+from quantloom.functions.quantiles import with_quantiles
+from quantloom.functions.windows import by_time
 from quantloom.operators import sequential
 from quantloom.operators.hmm_model import Hmm, HmmConfig, fit_hmm  # noqa: F401
 from quantloom.operators.hmm_scan import scan_hmm
@@ -20,21 +21,24 @@ def quantile_labels(panel: DataFrame, vol: str, quantiles: tuple[float, ...] = (
     Thresholds are quantiles of the rows marked by ``calibrate``, of all rows without it.
     """
     base = F.col(vol) if calibrate is None else F.when(calibrate, F.col(vol))
-    shares = ", ".join(repr(q) for q in quantiles)
-    out = panel.withColumn("_b", base)
-    edges = F.array_distinct(F.expr(f"percentile(_b, array({shares}))").over(by_instrument()))
-    state = F.when(F.col(vol).isNotNull(), F.size(F.filter(edges, lambda t: t < F.col(vol))))
-    out = out.withColumn("state", state).drop("_b")
-    return out.withColumns({f"p_state_{k}": F.coalesce(F.col("state") == k, F.lit(False)).cast("double") for k in range(len(quantiles) + 1)})
+    out = with_quantiles(panel, base, quantiles, "_edges")
+    edges = F.array_distinct("_edges")
+    out = out.withColumn("state", F.when(F.col(vol).isNotNull(), F.size(F.filter(edges, lambda t: t < F.col(vol))))).drop("_edges")
+    return _with_p(out, len(quantiles) + 1)
+
+
+def _with_p(labelled: DataFrame, n: int) -> DataFrame:
+    """labelled with p_state_k, 1 for the state of the row."""
+    return labelled.withColumns({f"p_state_{k}": F.coalesce(F.col("state") == k, F.lit(False)).cast("double") for k in range(n)})
 
 
 def trend_labels(panel: DataFrame, slope: str, r2: str, quantile: float = 0.7, least_r2: float = 0.5, calibrate: Column | None = None) -> DataFrame:
-    """panel with state: 1 where the slope is steep for its series and fits well, else 0; NULL without a slope."""
+    """panel with state: 1 where the slope is steep for its series and fits well, else 0; NULL without a slope; and p_state_k."""
     base = F.abs(slope) if calibrate is None else F.when(calibrate, F.abs(slope))
-    out = panel.withColumn("_b", base)
-    line = F.expr(f"percentile(_b, {quantile})").over(by_instrument())
-    state = F.when(F.col(slope).isNotNull() & F.col(r2).isNotNull(), ((F.abs(slope) >= line) & (F.col(r2) >= least_r2)).cast("int"))
-    return out.withColumn("state", state).drop("_b")
+    out = with_quantiles(panel, base, (quantile,), "_line")
+    known = F.col(slope).isNotNull() & F.col(r2).isNotNull()
+    state = F.when(known, ((F.abs(slope) >= F.col("_line")[0]) & (F.col(r2) >= least_r2)).cast("int"))
+    return _with_p(out.withColumn("state", state).drop("_line"), 2)
 
 
 def cusum(panel: DataFrame, x: str, threshold: float, drift: float, bucket_s: int = BUCKET_S) -> DataFrame:

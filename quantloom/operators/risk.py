@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import sliding
 from quantloom.functions.linear import BUCKET_S
 from quantloom.functions.stats import clip
-from quantloom.functions.windows import col, compound, lag, last_rows, rolling, row_number, up_to_now
+from quantloom.functions.windows import col, compound, lag, rolling, row_number, up_to_now
 from quantloom.operators import sequential
 from quantloom.operators.decay import with_ewma
 from quantloom.operators.features import simple_return
@@ -105,18 +106,18 @@ def cap_turnover(panel: DataFrame, cap: float, position: str = "position", keep:
     return sequential.run_scan(panel, [position], [position], sequential.capped(cap), tuple(c for c in keep if c != position), bucket_s)
 
 
-def historical_var(returns: str, n: int, alpha: float) -> Column:
-    """Rolling alpha quantile, interpolated, of the last n returns."""
-    return F.when(F.count(returns).over(last_rows(n)) >= n, F.expr(f"percentile({returns}, {alpha})").over(last_rows(n)))
+def historical_es(panel: DataFrame, returns: str, n: int, alpha: float, chunk_rows: int = sliding.CHUNK_ROWS) -> DataFrame:
+    """panel with var, the interpolated alpha quantile of the last n returns, and es, the mean of those that are at most var.
+
+    Both are NULL unless the last n rows all have a return. A task holds a chunk of rows and one sorted window.
+    """
+    keep = tuple(c for c in panel.columns if c not in ("var", "es"))
+    return sliding.run_sliding(panel, [returns], ["var", "es"], lambda x, first, last: sliding.tail(x, first, last, n, alpha), n, keep=keep, chunk_rows=chunk_rows)
 
 
-def historical_es(panel: DataFrame, returns: str, n: int, alpha: float) -> DataFrame:
-    """panel with var and es, the mean of the last n returns that are at most var."""
-    frame = F.collect_list(returns).over(last_rows(n))
-    out = panel.withColumn("var", historical_var(returns, n, alpha)).withColumn("_w", frame)
-    tail = F.filter("_w", lambda x: x <= F.col("var"))
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(tail), F.lit(1))
-    return out.withColumn("es", F.when(F.col("var").isNotNull(), mean)).drop("_w")
+def historical_var(panel: DataFrame, returns: str, n: int, alpha: float) -> DataFrame:
+    """panel with var, as historical_es gives it."""
+    return historical_es(panel, returns, n, alpha).drop("es")
 
 
 def overlay(panel: DataFrame, cfg: RiskConfig = RiskConfig(), start: float = 1.0) -> DataFrame:

@@ -175,7 +175,7 @@ def _(s, d):
 
 @query("winsorize", sql(ITEMS, RETURNS, "q as (select *, quantile_cont(r, 0.01) over (partition by instrument) as lo, quantile_cont(r, 0.99) over (partition by instrument) as hi from ret)", "o as (select instrument, ts, case when r is not null then greatest(lo, least(hi, r)) end as v from q)", out=final("o", "instrument", "ts:t", "v:d")))
 def _(s, d):
-    return _with_r(s, d).select("instrument", "ts", features.winsorise("r", 0.01).alias("v"))
+    return features.winsorise(_with_r(s, d), "r", 0.01, "v").select("instrument", "ts", "v")
 
 
 @query("scale_to_target_std", sql(ITEMS, RETURNS, f"o as (select *, r * 0.1 / ({roll('stddev_pop', 'r', 60)} + 1e-12) as v from ret)", out=final("o", "instrument", "ts:t", "v:d")))
@@ -346,7 +346,7 @@ VAR = f"v as (select *, case when count(s) {over(last(20))} >= 20 then quantile_
 
 @query("rolling_var", sql(ITEMS, RETURNS, VAR, out=final("v", "instrument", "ts:t", "var:d")))
 def _(s, d):
-    return items_panel(s, d).withColumn("s", features.simple_return()).select("instrument", "ts", risk.historical_var("s", 20, 0.05).alias("var"))
+    return risk.historical_var(items_panel(s, d).withColumn("s", features.simple_return()), "s", 20, 0.05).select("instrument", "ts", "var")
 
 
 @query("rolling_es", sql(ITEMS, RETURNS, VAR, out=final("e", "instrument", "ts:t", "var:d", "es:d")))

@@ -321,10 +321,18 @@ DRIFT = (
 )
 
 
-def drifted(s, d):
+#: The same in bins of equal width between the extremes of the older rows.
+DRIFT_WIDTH = DRIFT.replace(f"list_sort(list_distinct(quantile_cont(x, [{DRIFT_SHARES}]))) as e", "list_transform(range(0, 11), lambda k: min(x) + (max(x) - min(x)) / 10 * k) as e")
+
+
+def drifted(s, d, binning="quantile"):
     rows = long_panel(s, d)
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    return information.drift(rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut))
+    return information.drift(rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut), binning=binning)
+
+
+for _name, _binning, _drift in (("drift_selected", "selection", DRIFT), ("drift_width", "width", DRIFT_WIDTH)):
+    query(_name, sql(*L, _drift, out=final("o", "instrument", "feature", "psi:d", "kl:d", "cross_entropy:d", "js:d", "hellinger:d")))(lambda s, d, b=_binning: drifted(s, d, b))
 
 
 @query("psi_drift", sql(*L, DRIFT, out=final("o", "instrument", "feature", "psi:d")))

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions import chunks, linear, quantiles
-from quantloom.operators import decay, information, regimes, risk, sequential, stationarity
+from quantloom.functions import chunks, linear, quantiles, sliding
+from quantloom.operators import decay, features, information, meta, regimes, risk, sequential, stationarity
 from quantloom.operators.hmm_model import HmmConfig, products
 
 DAY = 86_400
@@ -266,3 +266,80 @@ def test_chunks_are_dealt_with_the_rows_before_them(spark):
             ahead = sorted(r["_rn"] for r in got if r["instrument"] == name and r["_chunk"] == c and not r["own"])
             assert own == list(range(10 * c, min(10 * c + 10, n))) and ahead == (list(range(10 * c - 4, 10 * c)) if c else [])
     assert len({r["_chunk"] for r in got if r["instrument"] == "s0"}) == 5
+
+
+@pytest.mark.parametrize("chunk_rows", [250_000, 25])
+def test_sliding_tail_equals_each_window(spark, chunk_rows):
+    df = panel(spark, sizes=(160, 12, 3), gaps=0.03, seed=13)
+    out = risk.historical_es(df.withColumn("other", F.lit("o")), "x", 10, 0.15, chunk_rows)
+    assert set(out.columns) == {"instrument", "ts", "x", "other", "var", "es"}
+    for column, f in (("var", lambda w: np.quantile(w, 0.15)), ("es", lambda w: w[w <= np.quantile(w, 0.15)].mean())):
+        want = {k: np.array([f(v[i - 9 : i + 1]) if i >= 9 and not np.isnan(v[i - 9 : i + 1]).any() else math.nan for i in range(len(v))]) for k, v in arrays(df).items()}
+        same(by_series(out, column), want)
+
+
+@pytest.mark.parametrize("chunk_rows", [250_000, 12])
+def test_sliding_spearman_equals_each_window(spark, chunk_rows):
+    rng = np.random.default_rng(14)
+    rows = [("i", f, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(rng.integers(0, 5)), float(rng.normal()) if rng.random() > 0.1 else None) for f in "fg" for i in range(60)]
+    long = spark.createDataFrame(rows, "instrument string, feature string, ts timestamp_ntz, x double, y double")
+    got = {(r["feature"], r["ts"]): r["ic"] for r in information.ic_rolling(long, 7, "spearman", chunk_rows=chunk_rows).collect()}
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    for f in "fg":
+        kept = [r for r in rows if r[1] == f and r[4] is not None]
+        assert sum(k[0] == f for k in got) == len(kept) - 6
+        for i in range(6, len(kept)):
+            x, y = (rank(np.array([r[c] for r in kept[i - 6 : i + 1]])) for c in (3, 4))
+            assert abs(got[f, kept[i][2]] - np.corrcoef(x, y)[0, 1]) < 1e-12
+
+
+def plain_touch(p: np.ndarray, horizon: int, up: float, down: float) -> list:
+    out = []
+    for i in range(len(p)):
+        r = [x / p[i] - 1 for x in p[i + 1 : i + 1 + horizon] if not math.isnan(x)]
+        hit = next((1 if x >= up else -1 for x in r if x >= up or x <= -down), None)
+        out.append(math.nan if not r or math.isnan(p[i]) else hit if hit else float(np.sign(r[-1])))
+    return out
+
+
+def test_first_touch_equals_a_walk():
+    rng = np.random.default_rng(15)
+    for _ in range(200):
+        p = np.exp(np.cumsum(rng.normal(0, 0.1, size=rng.integers(1, 80))))
+        p[rng.random(len(p)) < 0.1] = math.nan
+        p = p * np.where(rng.random(len(p)) < 0.05, -1, 1)
+        horizon, up, down = int(rng.integers(1, 40)), float(rng.choice([0.0, 0.05, 0.5])), float(rng.choice([0.02, 0.3]))
+        first, last = sorted(rng.integers(0, len(p) + 1, size=2))
+        np.testing.assert_array_equal(sliding.first_touch(p, first, last, horizon, up, down)[0], plain_touch(p, horizon, up, down)[first:last])
+
+
+@pytest.mark.parametrize("horizon, chunk_rows", [(5, 250_000), (30, 40), (1000, 250_000)])
+def test_triple_barrier_by_chunks(spark, horizon, chunk_rows):
+    df = panel(spark, sizes=(200, 5), gaps=0.05, seed=16).withColumn("price", F.exp(F.col("x") / 10)).withColumn("side", F.lit(1.0))
+    got = by_series(meta.triple_barrier(df, "price", "side", horizon, 0.3, 0.2, chunk_rows), "hit")
+    prices = {k: np.array([math.nan if v is None else v for v in vs]) for k, vs in by_series(df, "price").items()}
+    same(got, {k: np.array(plain_touch(v, horizon, 0.3, 0.2)) for k, v in prices.items()})
+
+
+def test_labels_and_bins_by_exact_quantiles(spark):
+    df = panel(spark, sizes=(120, 30), gaps=0.1, seed=17)
+    values = {k: v[~np.isnan(v)] for k, v in arrays(df).items()}
+    for r in features.winsorise(df, "x", 0.1, "w").collect():
+        low, high = np.quantile(values[r["instrument"]], [0.1, 0.9])
+        assert r["w"] is None if r["x"] is None else abs(r["w"] - min(max(r["x"], low), high)) < 1e-12
+    trend = regimes.trend_labels(df.withColumn("r2", F.lit(0.9)), "x", "r2").collect()
+    assert all((r["p_state_0"], r["p_state_1"]) == ((0.0, 0.0) if r["state"] is None else (float(r["state"] == 0), float(r["state"] == 1))) for r in trend)
+    long = df.withColumn("feature", F.lit("f")).withColumn("y", F.col("x") * F.col("x"))
+    exact, plain = (sorted(map(str, f(long, ("x", "y"), 7).select("instrument", "ts", "b_x", "b_y").collect())) for f in (information.binned_exactly, information.binned))
+    assert exact == plain
+
+
+def test_drift_in_bins_of_equal_width(spark):
+    rng = np.random.default_rng(18)
+    train, live = rng.normal(0, 1, 500), rng.normal(0.5, 1, 300)
+    frame = lambda x, k: spark.createDataFrame([("i", "f", dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(v), 0.0) for i, v in enumerate(x)] + [("i", "c", dt.datetime(2020, 1, 1), 2.0, 0.0)] * k, "instrument string, feature string, ts timestamp_ntz, x double, y double")
+    got = {r["feature"]: r["psi"] for r in information.drift(frame(train, 3), frame(live, 2), 8, binning="width").collect()}
+    edges = np.linspace(train.min(), train.max(), 9)
+    edges[0], edges[-1] = -np.inf, np.inf
+    p, q = ((h + 1e-12 * h.sum()) / (h + 1e-12 * h.sum()).sum() for h in (np.histogram(x, edges)[0].astype(float) for x in (train, live)))
+    assert abs(got["f"] - ((p - q) * np.log(p / q)).sum()) < 1e-9 and abs(got["c"]) < 1e-9
