@@ -15,6 +15,7 @@ from quantloom.functions import sliding
 from quantloom.functions.quantiles import with_quantiles
 from quantloom.functions.windows import by_instrument, by_time
 from quantloom.operators.features import forward_return
+from quantloom.operators.meta_scan import calibration_by_buckets, fit_by_buckets, isotonic_by_ranges, pooled
 
 CLIP = 1e-6
 
@@ -134,9 +135,17 @@ def ridge_moments(panel: DataFrame, features: list[str], label: str, by: str = "
     )
 
 
-def fit_models(panel: DataFrame, features: list[str], label: str, cfg: ModelConfig = ModelConfig(), by: tuple[str, ...] = ("instrument",), calibration: str = "none") -> DataFrame:
+def fit_models(panel: DataFrame, features: list[str], label: str, cfg: ModelConfig = ModelConfig(), by: tuple[str, ...] = ("instrument",), calibration: str = "none", bucket_s: int | None = None) -> DataFrame:
     """(by, n, intercept, weights, means, stds, cal_x, cal_y): one fit for each key, side by side, and the calibration of its
-    scores on the rows it was fitted on; fewer than two classes give no row."""
+    scores on the rows it was fitted on; fewer than two classes give no row. With ``bucket_s`` a task holds the rows of so
+    many seconds of a key, without it a whole key; the results are the same."""
+    if bucket_s and calibration == "isotonic":
+        models = fit_by_buckets(panel, features, label, cfg, by, "none", bucket_s)
+        rows = panel.select(*by, "ts", *features, label).dropna(subset=[*features, label])
+        knots = isotonic_by_ranges(predict(rows, models, features, by).dropna(subset=["p_follow"]), "p_follow", label, list(by))
+        return models.drop("cal_x", "cal_y").join(knots, list(by))
+    if bucket_s:
+        return fit_by_buckets(panel, features, label, cfg, by, calibration, bucket_s)
     features = sorted(features)
     schema = ", ".join([*(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by), "n long, intercept double, weights array<double>, means array<double>, stds array<double>, cal_x array<double>, cal_y array<double>"])
 
@@ -171,13 +180,7 @@ def predict(panel: DataFrame, models: DataFrame, features: list[str], by: tuple[
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the monotone least-squares fit by pooling adjacent violators."""
     order = np.argsort(scores, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(scores[order], y[order], strict=True):
-        blocks.append([v, 1.0, s, s])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, n2, _, high = blocks.pop()
-            v1, n1, low, _ = blocks.pop()
-            blocks.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2, low, high])
+    blocks = pooled([[v, 1.0, s, s] for s, v in zip(scores[order], y[order], strict=True)])
     return np.array([x for b in blocks for x in (b[2], b[3])]), np.array([b[0] for b in blocks for _ in (0, 1)])
 
 
@@ -228,14 +231,21 @@ def calibrated(score: Column, x: Column, y: Column, kind: str) -> Column:
     return F.when(score.isNull() | x.isNull(), None).when(k == 0, at(y, F.lit(1))).when(k == F.size(x), at(y, F.size(x))).otherwise(between)
 
 
-def calibrate(panel: DataFrame, kind: str, score: str = "p_follow", label: str = "label") -> DataFrame:
-    """(instrument, ts, score, label, p) with one calibration for each instrument, fitted on its labelled rows."""
+def calibrate(panel: DataFrame, kind: str, score: str = "p_follow", label: str = "label", bucket_s: int | None = None) -> DataFrame:
+    """(instrument, ts, score, label, p) with one calibration for each instrument, fitted on its labelled rows.
+
+    An isotonic fit goes by ranges of the score, which lies in [0, 1]. With ``bucket_s`` the gradient steps of the others go
+    by time buckets, without it a task holds an instrument; the results are the same.
+    """
+    rows = panel.select("instrument", "ts", F.col(score).cast("double"), F.col(label).cast("int")).dropna()
+    if kind == "isotonic" or (bucket_s and kind in ("platt", "beta")):
+        fits = isotonic_by_ranges(rows, score, label, ["instrument"]) if kind == "isotonic" else calibration_by_buckets(rows, kind, score, label, bucket_s)
+        return rows.join(fits, "instrument").withColumn("p", calibrated(F.col(score), F.col("cal_x"), F.col("cal_y"), kind)).drop("cal_x", "cal_y")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         return pdf.assign(p=calibrate_scores(pdf[score].to_numpy(dtype=float), pdf[label].to_numpy(dtype=float), kind))
 
-    rows = panel.select("instrument", "ts", F.col(score).cast("double"), F.col(label).cast("int")).dropna()
     return rows.groupBy("instrument").applyInPandas(run, f"instrument string, ts timestamp_ntz, {score} double, {label} int, p double")
 
 
