@@ -53,12 +53,18 @@ def keep_last(ticks: DataFrame, order: str = "seq") -> DataFrame:
     return ticks.groupBy("instrument", "ts").agg(F.max_by("price", order).alias("price"))
 
 
+def marked_outliers(panel: DataFrame, max_abs_log_return: float = 0.10) -> DataFrame:
+    """panel with reason: why a row is no price (non_positive_price, outlier), NULL if it is; such prices that are not positive
+    are NULL, and each step is taken from the row before, whatever that is."""
+    step = F.log(F.col("price")) - lag(F.log(F.col("price")))
+    marked = panel.withColumn("step", step).withColumn("price", F.when(F.col("price") > 0, F.col("price")))
+    reason = F.when(F.col("price").isNull(), "non_positive_price").when(F.abs("step") > max_abs_log_return, "outlier")
+    return marked.withColumn("reason", reason).drop("step")
+
+
 def drop_outliers(panel: DataFrame, max_abs_log_return: float = 0.10) -> DataFrame:
     """Rows whose log return against the row before stays within the limit; prices that are not positive go as well."""
-    positive = F.when(F.col("price") > 0, F.col("price"))
-    step = F.log(F.col("price")) - lag(F.log(F.col("price")))
-    marked = panel.withColumn("price", positive).withColumn("step", step)
-    return marked.filter(F.col("price").isNotNull() & (F.col("step").isNull() | (F.abs("step") <= max_abs_log_return))).drop("step")
+    return marked_outliers(panel, max_abs_log_return).filter("reason is null").drop("reason")
 
 
 def resample(panel: DataFrame, bucket: str = "1D", method: str = "last") -> DataFrame:

@@ -423,6 +423,26 @@ def _(s, d):
     return strategy.diagnostics(bar_panel(s, d))
 
 
+#: Counts of the stages of a run with a limit of 0.5 on log returns and no duplicate left.
+STAGES = (
+    "k as (select instrument, ts, arg_max(price, seq) as price from hourly group by 1, 2)",
+    f"o as (select *, ln(price) - {lagged('ln(price)')} as step from (select * from k))",
+    "panel as (select instrument, date_trunc('day', ts) as ts, arg_max(price, ts) as price from o where price > 0 and (step is null or abs(step) <= 0.5) group by 1, 2)",
+    RETURNS,
+    FEATURES,
+    "n as (select instrument, count(*) as raw from hourly group by 1), n1 as (select instrument, count(*) as times, sum((price <= 0)::int) as bad, sum((price > 0 and coalesce(abs(step) > 0.5, false))::int) as jumps from o group by 1)",
+    "n2 as (select instrument, count(*) as buckets from panel group by 1), n3 as (select instrument, count(*) as feats from feats group by 1), n4 as (select p.instrument, count(*) as bars from panel p join feats f using (instrument, ts) group by 1)",
+    "c as (select instrument, [raw, times, times - bad, times - bad - jumps, coalesce(buckets, 0), coalesce(feats, 0), coalesce(bars, 0)] as c from n join n1 using (instrument) left join n2 using (instrument) left join n3 using (instrument) left join n4 using (instrument))",
+    f"s as (select instrument, unnest(range(1, 7)) as i, c from c), o2 as (select instrument, i as stage_no, {[a for a, _ in strategy.STAGES]}[i] as stage, c[i] as rows_in, c[i + 1] as rows_out, c[i] - c[i + 1] as dropped, {[b for _, b in strategy.STAGES]}[i] as reason from s)",
+)
+
+
+@query("run_stages", sql(HOURLY, *STAGES, out=final("o2", "instrument", "stage_no:i", "stage", "rows_in:i", "rows_out:i", "dropped:i", "reason")))
+def _(s, d):
+    cfg = strategy.StrategyConfig(clean=clean.CleanConfig(max_abs_log_return=0.5), features=SMALL, ensemble=Ensemble((Momentum(5), mean_reversion(5)), (0.6, 0.4)))
+    return strategy.stage_report(hourly(s, d), cfg)
+
+
 @query("run_overlap", sql(ITEMS, RETURNS, FEATURES, out="select p.instrument, count(*) as n_left, count(f.ts) as n_both, round(count(f.ts) / count(*), 6) + 0.0 as share from panel p left join feats f using (instrument, ts) group by 1"))
 def _(s, d):
     return strategy.overlap(items_panel(s, d), feature_panel(s, d))

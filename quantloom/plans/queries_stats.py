@@ -448,6 +448,13 @@ def _(s, d):
 for _mode in ("filter", "smooth", "viterbi"):
     query(f"hmm_{_mode}")(lambda s, d, m=_mode: regimes.hmm(regime_panel(s, d), ["ret_abs", "vol_roll_20"], regimes.HmmConfig(2), m))
 
+
+
+@query("hmm_smooth_buckets")
+def _(s, d):
+    return regimes.hmm(regime_panel(s, d), ["ret_abs", "vol_roll_20"], regimes.HmmConfig(2, 8), "smooth", bucket_s=365 * 86_400)
+
+
 FWD = f"case when count(*) {over('rows between 1 following and 3 following')} >= 3 then sum(coalesce(r, 0)) {over('rows between 1 following and 3 following')} end"
 LABEL = f"lb as (select *, {FWD} as f, sign(r) as side from ret)"
 
@@ -547,6 +554,12 @@ def _(s, d):
     return fits.select("instrument", "n", "intercept", F.posexplode("weights").alias("k", "weight"))
 
 
+@query("logistic_fit_buckets", sql(*L, LOGISTIC.replace("gd.k < 200", "gd.k < 12").replace("where k = 200", "where k = 12"), out=final("o", "instrument", "n:i", "intercept:d", "k:i", "weight:d")).replace("with ", "with recursive ", 1))
+def _(s, d):
+    fits = meta.fit_models(labelled(s, d), ["mom_5", "rv_5", "z_mom_5"], "label", meta.ModelConfig(rounds=12), bucket_s=365 * 86_400)
+    return fits.select("instrument", "n", "intercept", F.posexplode("weights").alias("k", "weight"))
+
+
 @query("out_of_sample")
 def _(s, d):
     rows = labelled(s, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -59,6 +60,34 @@ def run_strategy(ticks: DataFrame, cfg: StrategyConfig = StrategyConfig(), time_
     return StrategyRun(price, feats, signal, overlaid, bars, backtest.summary(bars, cfg.backtest), metrics)
 
 
+#: Stages of a run in order, and why each may leave rows out.
+STAGES = (("duplicates", "later_row_of_the_same_time"), ("positive", "non_positive_price"), ("outliers", "log_return_over_the_limit"), ("resample", "merged_into_a_bucket"), ("features", "window_not_full"), ("bars", "no_position_or_no_price"))
+
+
+def stage_report(ticks: DataFrame, cfg: StrategyConfig = StrategyConfig(), time_column: str = "ts") -> DataFrame:
+    """(instrument, stage_no, stage, rows_in, rows_out, dropped, reason): what each stage of a run takes in and leaves out.
+
+    Rows are counted by stage, side by side, and the counts of an instrument, one row a stage, are then put in order.
+    """
+    read = clean.with_price(clean.with_utc(ticks, time_column, cfg.clean.tz), cfg.clean)
+    limit = cfg.clean.max_abs_log_return
+    marked = clean.marked_outliers(clean.keep_last(read), math.inf if limit is None else limit)
+    if limit is None:  # without a limit the cleaning keeps prices as they are
+        marked = marked.withColumn("reason", F.lit(None).cast("string"))
+    price = clean.clean(ticks, time_column, cfg.clean)
+    feats = features.build_features(price, cfg.features)
+    position = signals.run_ensemble(feats, cfg.ensemble).select("instrument", "ts", "position")
+    of = lambda df, **counts: df.groupBy("instrument").agg(*[c.alias(n) for n, c in counts.items()])
+    n, bad = F.count("*"), lambda why: F.sum(F.when(F.col("reason") == why, 1).otherwise(0))
+    counts = of(read, raw=n)
+    for part in (of(marked, times=n, unpriced=bad("non_positive_price"), jumps=bad("outlier")), of(price, buckets=n), of(feats, rows=n), of(backtest.align(price, position), bars=n)):
+        counts = counts.join(part, "instrument", "left")
+    counts = counts.fillna(0)
+    kept = [F.col("raw"), F.col("times"), F.col("times") - F.col("unpriced"), F.col("times") - F.col("unpriced") - F.col("jumps"), F.col("buckets"), F.col("rows"), F.col("bars")]
+    rows = [F.struct(F.lit(i + 1).alias("stage_no"), F.lit(stage).alias("stage"), kept[i].alias("rows_in"), kept[i + 1].alias("rows_out"), (kept[i] - kept[i + 1]).alias("dropped"), F.lit(why).alias("reason")) for i, (stage, why) in enumerate(STAGES)]
+    return counts.select("instrument", F.explode(F.array(*rows)).alias("s")).select("instrument", "s.*")
+
+
 def slice_run(bars: DataFrame, start: str | None = None, end: str | None = None, stride: int = 1) -> DataFrame:
     """Bars from start to end, both included, and of those every stride-th of each instrument, beginning with the first."""
     out = bars
