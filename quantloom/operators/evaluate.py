@@ -47,6 +47,13 @@ def performance(panel: DataFrame, returns: str = "returns", equity: str | None =
     )
 
 
+def equity_curve(panel: DataFrame, returns: str, start: float = 1.0) -> DataFrame:
+    """panel with equity, start times the running product of 1 + return, NULL counting as 0; a return of -1 or less raises."""
+    growth = 1 + F.coalesce(F.col(returns), F.lit(0.0))
+    checked = F.when(growth > 0, growth).otherwise(F.raise_error(F.lit("a return of -1 or less leaves no equity")))
+    return panel.withColumn("_g", checked).withColumn("equity", start * F.product("_g").over(up_to_now())).drop("_g")
+
+
 def drawdowns(panel: DataFrame, equity: str = "equity") -> DataFrame:
     """One row an instrument: greatest drawdown, longest run of rows under water, root mean square under water."""
     under = panel.withColumn("_u", F.coalesce(1 - F.try_divide(F.col(equity), F.max(equity).over(up_to_now())), F.lit(0.0)))

@@ -15,6 +15,7 @@ from quantloom.plans import strategy
 from quantloom.plans.registry import query
 from quantloom.plans.sql import BARS, FEATURES, ITEMS, LONG, MARKET, ORDERS, POSITIONS, PREFIX, RETURNS, TICKS, W, compound, final, lagged, last, over, roll
 from quantloom.plans.sql import query as sql
+from quantloom.sources.store import array_quality, arrays_to_panel
 from quantloom.sources.panels import event_ticks, items_panel, market_panel, orders_panel
 
 SMALL = FeatureConfig((3, 5, 10), (5,), (5,), 1)
@@ -462,6 +463,47 @@ def _(s, d):
     return read_table(s, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(clamp(25)).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
+@query("history_store", sql("r as (select cast(o_orderkey as varchar) as record_id, o_orderdate as created_at, o_orderstatus as request, o_orderpriority as result from orders order by o_orderdate desc, cast(o_orderkey as varchar) limit 200)", out="select record_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') as created_at, request, result from r"))
+def _(s, d):
+    from quantloom.functions.written import Rounds
+    from quantloom.sources.store import RunStore
+    from quantloom.sources.tables import read_table
+
+    store = RunStore(s, Rounds(s).root)
+    records = read_table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_orderstatus").alias("request"), F.col("o_orderpriority").alias("result"))
+    store.save_frame("runs", records)
+    return store.history("runs", 1000)
+
+
+#: Each customer's orders as three arrays, in the order of their keys, so that times may fall or repeat.
+ARRAYS = "a as (select o_custkey as instrument, list(o_orderdate order by o_orderkey) as t, list(case when o_totalprice > 400000 then null else o_totalprice end order by o_orderkey) as p, list(o_orderkey % 3 - 1 order by o_orderkey) as g from orders group by 1)"
+CHECKED = (
+    "b as (select *, len(t) as timestamp_count, len(t) - len(list_distinct(t)) as duplicate_timestamps, len(list_filter(range(2, len(t) + 1), lambda i: t[i] <= t[i - 1])) as non_monotonic_timestamps, len(list_filter(p, lambda v: v is null)) as nan_prices from a)",
+    "c as (select *, 0 as nan_signals, case when duplicate_timestamps > 0 then 'duplicate timestamps' when non_monotonic_timestamps > 0 then 'timestamps do not rise' when nan_prices > 0 then 'prices are not finite' end as problem from b)",
+)
+
+
+def order_arrays(s, d, first="o_orderkey"):
+    from quantloom.sources.tables import read_table
+
+    rows = read_table(s, d, "orders").withColumn("_p", F.when(F.col("o_totalprice") <= 400000, F.col("o_totalprice")))
+    packed = F.array_sort(F.collect_list(F.struct(F.col(first).alias("first"), "o_orderkey", F.col("o_orderdate").alias("t"), F.col("_p").alias("p"), (F.col("o_orderkey") % 3 - 1).alias("g"))))
+    held = rows.groupBy(F.col("o_custkey").alias("instrument")).agg(packed.alias("z"))
+    return held.select("instrument", F.col("z.t").alias("timestamps"), F.col("z.p").alias("prices"), F.col("z.g").alias("signals"))
+
+
+@query("array_quality", sql(ARRAYS, *CHECKED, out="select instrument, timestamp_count::bigint as timestamp_count, duplicate_timestamps::bigint as duplicate_timestamps, non_monotonic_timestamps::bigint as non_monotonic_timestamps, nan_prices::bigint as nan_prices, nan_signals::bigint as nan_signals, problem from c"))
+def _(s, d):
+    return array_quality(order_arrays(s, d))
+
+
+@query("array_panel", sql(ARRAYS.replace("order by o_orderkey", "order by o_orderdate, o_orderkey"), *CHECKED, "o as (select instrument, unnest(t) as ts, unnest(p) as price, unnest(g)::double as position, unnest(range(len(t))) as seq from c where problem is null)", out=final("o", "instrument", "ts:t", "price:d", "position:d", "seq:i")))
+def _(s, d):
+    raw = order_arrays(s, d, "o_orderdate")
+    sound = array_quality(raw).filter("problem is null").select("instrument")
+    return arrays_to_panel(raw.join(sound, "instrument", "left_semi"))
+
+
 @query("ingest_quality", sql(HOURLY, out="select instrument, count(*) as n_rows, count(distinct ts) as n_times, count(*) - count(distinct ts) as n_duplicates, cast(sum((price <= 0)::int) as bigint) as n_invalid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_ts from hourly group by 1"))
 def _(s, d):
     return strategy.ingest_report(hourly(s, d))[0]
@@ -494,6 +536,13 @@ def _(s, d):
     return market_panel(s, d).select("instrument", "ts", features.simple_return().alias("s"))
 
 
+@query("equity_curve", sql(ITEMS, RETURNS, f"o as (select instrument, ts, exp(sum(ln(1 + coalesce(s, 0))) {over(PREFIX)}) as equity from ret)", out=final("o", "instrument", "ts:t", "equity:d")))
+def _(s, d):
+    from quantloom.operators import evaluate
+
+    return evaluate.equity_curve(items_panel(s, d).withColumn("s", features.simple_return()), "s").select("instrument", "ts", "equity")
+
+
 @query("pseudo_price", sql(ITEMS, RETURNS, f"o as (select instrument, ts, exp(sum(ln(1 + coalesce(s, 0))) {over(PREFIX)}) as price from ret)", out=final("o", "instrument", "ts:t", "price:d")))
 def _(s, d):
     return items_panel(s, d).withColumn("s", features.simple_return()).select("instrument", "ts", features.pseudo_price("s").alias("price"))

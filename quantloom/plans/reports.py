@@ -198,8 +198,12 @@ class MetaConfig:
     threshold: float | None = None
     feature_shift: int = 0
     output_shift: int = 1
+    min_train_rows: int = 50
+    feature_selection: str = "none"
 
     def __post_init__(self):
+        if self.feature_selection != "none":
+            raise NotImplementedError("features are not selected by the fit")
         if self.label not in ("meta_label", "return_sign", "quantile", "triple_barrier") or self.folds < 2 or self.horizon < 1:
             raise ValueError("unknown label, folds or horizon")
         if self.cv not in ("purged_kfold", "combinatorial_purged_cv", "walk_forward") or self.calibration not in ("none", "platt", "beta", "isotonic"):
@@ -224,7 +228,8 @@ def _shifted(panel: DataFrame, names: list[str], shift: int) -> DataFrame:
 def fit_meta_model(panel: DataFrame, names: list[str], signal: str = "signal", returns: str = "returns", cfg: MetaConfig = MetaConfig()) -> MetaFit:
     """Labels, purged folds, out-of-sample scores, the final model of each instrument and its threshold.
 
-    The panel has price, returns, the signal and the features; rows without a label or a feature take no part.
+    The panel has price, returns, the signal and the features; rows without a label or a feature take no part, and an
+    instrument left with fewer than min_train_rows rows has no model.
     """
     rows = _shifted(panel, names, cfg.feature_shift)
     if cfg.label == "triple_barrier":
@@ -236,6 +241,8 @@ def fit_meta_model(panel: DataFrame, names: list[str], signal: str = "signal", r
         rows = rows.withColumn("label", label)
     paid = rows.select("instrument", "ts", F.signum(lag(signal, cfg.output_shift) if cfg.output_shift else F.col(signal)).alias("_side"), features.forward_return(returns, cfg.horizon).alias("_f"))
     rows = rows.dropna(subset=[*names, "label"])
+    enough = rows.groupBy("instrument").agg(F.count("*").alias("_n")).filter(F.col("_n") >= cfg.min_train_rows)
+    rows = rows.join(enough.select("instrument"), "instrument", "left_semi")
     if cfg.cv == "walk_forward":
         folds = meta.walk_forward(rows, cfg.train_rows, cfg.test_rows, gap=max(cfg.purge, cfg.horizon))
     else:
@@ -274,3 +281,18 @@ def load_meta_model(spark: SparkSession, folder: str) -> MetaFit:
     facts = spark.read.schema("names array<string>, schema_hash string, config_hash string").json(f"{folder}/facts").first()
     frames = {name: spark.read.parquet(f"{folder}/{name}") for name in ("models", "out_of_sample", "calibration", "thresholds")}
     return MetaFit(tuple(facts["names"]), schema_hash=facts["schema_hash"], config_hash=facts["config_hash"], **frames)
+
+
+DECISIONS = "instrument string, ts timestamp_ntz, p_follow double, action int, size double, edge double"
+
+
+def save_meta_output(decisions: DataFrame, fit: MetaFit, folder: str) -> None:
+    """Decisions as JSON lines, with the thresholds that they were taken by and the hashes of the fit beside them."""
+    decisions.selectExpr(*(f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in DECISIONS.split(", "))).write.mode("overwrite").json(f"{folder}/decisions")
+    fit.thresholds.withColumns({"schema_hash": F.lit(fit.schema_hash), "config_hash": F.lit(fit.config_hash)}).write.mode("overwrite").json(f"{folder}/facts")
+
+
+def load_meta_output(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The decisions and the facts that save_meta_output() wrote."""
+    facts = "instrument string, threshold double, mean_pnl double, schema_hash string, config_hash string"
+    return spark.read.schema(DECISIONS).json(f"{folder}/decisions"), spark.read.schema(facts).json(f"{folder}/facts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from datetime import UTC, datetime
 
@@ -67,6 +68,11 @@ class RunStore:
         """The newest records, at most 200."""
         return self.read(kind).orderBy(F.desc("created_at"), "record_id").limit(clamp(limit))
 
+    def overview(self) -> DataFrame:
+        """(kind, n_records, newest) of every kind of record, those without records too."""
+        held = [self.read(k).agg(F.lit(k).alias("kind"), F.count("*").alias("n_records"), F.max("created_at").alias("newest")) for k in KINDS]
+        return functools.reduce(DataFrame.unionByName, held)
+
     def latest(self, kind: str = "states") -> DataFrame:
         return self.history(kind, 1)
 

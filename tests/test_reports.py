@@ -97,3 +97,37 @@ def test_queries_run_the_whole_job(spark, data, monkeypatch):
         runs = found["pvalue"].dropna() * 201
         assert len(runs) == len(found) and (runs - runs.round()).abs().max() < 1e-3 and runs.min() > 0.9
     assert (found.groupby("instrument")["feature"].nunique() == 3).all()
+
+
+def test_meta_output_as_json(spark, tmp_path):
+    rows = panel(spark)
+    cfg = reports.MetaConfig(horizon=2, folds=2, min_train_rows=20)
+    fit = reports.fit_meta_model(rows, ["a", "b"] if "a" in rows.columns else [c for c in rows.columns if c not in ("instrument", "ts", "price", "returns", "signal", "equity", "benchmark")][:2], cfg=cfg)
+    out = reports.predict_meta_model(fit, rows, cfg=cfg)
+    reports.save_meta_output(out, fit, str(tmp_path))
+    back, facts = reports.load_meta_output(spark, str(tmp_path))
+    key = lambda r: (r["instrument"], r["ts"])
+    for a, b in zip(sorted(out.collect(), key=key), sorted(back.collect(), key=key), strict=True):
+        assert a["action"] == b["action"] and (a["p_follow"] is None) == (b["p_follow"] is None) and abs((a["size"] or 0) - (b["size"] or 0)) < 1e-12
+    assert {r["schema_hash"] for r in facts.collect()} == {fit.schema_hash}
+    assert reports.fit_meta_model(rows, list(fit.names), cfg=reports.MetaConfig(horizon=2, folds=2, min_train_rows=10**6)).models.count() == 0
+    with pytest.raises(NotImplementedError):
+        reports.MetaConfig(feature_selection="lasso")
+
+
+def test_equity_of_a_total_loss_raises(spark):
+    from quantloom.operators import evaluate
+
+    rows = spark.createDataFrame([("a", datetime.datetime(2024, 1, k + 1), r) for k, r in enumerate([None, 0.5, -0.5])], "instrument string, ts timestamp_ntz, r double")
+    assert [r["equity"] for r in evaluate.equity_curve(rows, "r", 2.0).orderBy("ts").collect()] == [2.0, 3.0, 1.5]
+    with pytest.raises(Exception, match="no equity"):
+        evaluate.equity_curve(rows.withColumn("r", F.lit(-1.0)), "r").collect()
+
+
+def test_overview_counts_each_kind(spark, tmp_path):
+    from quantloom.sources.store import RunStore
+
+    store = RunStore(spark, str(tmp_path))
+    store.create()
+    store.save("states", "x", {}, {})
+    assert {r["kind"]: r["n_records"] for r in store.overview().collect()} == {"states": 1, "backtests": 0, "datasets": 0, "runs": 0}
