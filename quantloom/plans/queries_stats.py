@@ -560,7 +560,20 @@ def _(s, d):
     return fits.select("instrument", "n", "intercept", F.posexplode("weights").alias("k", "weight"))
 
 
-@query("out_of_sample")
+#: Three purged folds; each (instrument, fold) descends on its own train rows and scores its test rows.
+START_2 = tuple(np.random.default_rng(meta.ModelConfig().seed).normal(0, 0.01, 2).tolist())
+OUT_OF_SAMPLE = (
+    "lb as (select instrument, ts, mom_5, rv_5, case when y = 0 then null else (y > 0)::int end as label, row_number() over (partition by instrument order by ts) - 1 as row, count(*) over (partition by instrument) as n from wide), "
+    "fo as (select lb.*, f.fold, f.fold * (n // 3) + least(f.fold, n % 3) as a0, f.fold * (n // 3) + least(f.fold, n % 3) + n // 3 + (f.fold < n % 3)::int as b0 from lb, (select unnest([0, 1, 2]) as fold) f), "
+    "pt as (select *, instrument || '|' || fold as key, case when row >= a0 and row < b0 then 'test' when row >= a0 - 3 and row < b0 + 3 then null else 'train' end as part from fo), "
+    "st as (select key, avg(mom_5) as m1, stddev_pop(mom_5) as s1, avg(rv_5) as m2, stddev_pop(rv_5) as s2 from pt where part = 'train' and label is not null group by 1), "
+    "zz as (select key as instrument, (mom_5 - m1) / s1 as a, (rv_5 - m2) / s2 as b, label from pt join st using (key) where part = 'train' and label is not null), "
+    + descent("zz", START_2, ("a", "b"), 200, 1.0)
+    + ", o as (select pt.instrument, ts, fold, label, 1 / (1 + exp(-(w0 * (mom_5 - m1) / s1 + w1 * (rv_5 - m2) / s2 + w))) as p_follow from pt join st using (key) join gd on gd.instrument = pt.key and gd.k = 200 where part = 'test')"
+)
+
+
+@query("out_of_sample", sql(*L, OUT_OF_SAMPLE, out=final("o", "instrument", "ts:t", "fold:i", "label:i", "p_follow:d")).replace("with ", "with recursive ", 1))
 def _(s, d):
     rows = labelled(s, d)
     return meta.out_of_sample(rows, ["mom_5", "rv_5"], "label", meta.purged_kfold(rows, 3, 3))
