@@ -287,7 +287,19 @@ def _(s, d):
     return information.pairwise_mi(long_panel(s, d))
 
 
-@query("mrmr")
+#: Two picks: the greatest relevance, then the greatest relevance less what is shared with the first.
+MRMR = (
+    binned("long", 10),
+    mi_table("binned", KEYS, name="rel"),
+    "pr as (select a.instrument, a.feature as f1, b.feature as f2, a.b_x as b1, b.b_x as b2 from binned a join binned b on a.instrument = b.instrument and a.ts = b.ts and a.feature < b.feature)",
+    mi_table("pr", "instrument, f1, f2", "b1", "b2", "red"),
+    "p1 as (select instrument, feature, mi as score from rel_t qualify row_number() over (partition by instrument order by mi desc, feature) = 1)",
+    "p2 as (select r.instrument, r.feature, r.mi - coalesce(d.mi, 0) as score from rel_t r join p1 on r.instrument = p1.instrument and r.feature <> p1.feature left join red_t d on d.instrument = r.instrument and d.f1 = least(r.feature, p1.feature) and d.f2 = greatest(r.feature, p1.feature))",
+    "o as (select instrument, 1 as rank, feature, score from p1 union all select instrument, 2, feature, score from p2 qualify row_number() over (partition by instrument order by score desc, feature) = 1)",
+)
+
+
+@query("mrmr", sql(*L, *MRMR, out=final("o", "instrument", "rank:i", "feature", "score:d")))
 def _(s, d):
     return information.mrmr(long_panel(s, d), 2)
 
