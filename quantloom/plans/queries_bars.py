@@ -20,6 +20,8 @@ from quantloom.sources.panels import event_ticks, items_panel, market_panel, ord
 
 SMALL = FeatureConfig((3, 5, 10), (5,), (5,), 1)
 COSTS = BacktestConfig(1.0, 2.0, 1.0)
+#: Daily bars fill a bucket slowly: one a year.
+DAILY_BUCKET = 365 * 86_400
 NAMES = ("ret_1", "mom_3", "mom_5", "mom_10", "rv_5", "z_mom_5")
 
 
@@ -286,7 +288,7 @@ def _(s, d):
 
 @query("turnover_cap", recursive(ITEMS, STEPS, recursion("price", "rec.y + least(greatest(e.price - rec.y, -50.0), 50.0)"), "o as (select instrument, ts, y as price from rec)", out=final("o", "instrument", "ts:t", "price:d")))
 def _(s, d):
-    return risk.cap_turnover(items_panel(s, d), 50.0, "price")
+    return risk.cap_turnover(items_panel(s, d), 50.0, "price", bucket_s=DAILY_BUCKET)
 
 
 @query("ar1_half_life", sql(ITEMS, f"p as (select instrument, price as a, {lagged('price')} as b from panel)", "q as (select instrument, covar_pop(a, b) / nullif(var_pop(b), 0) as phi from p where b is not null group by 1)", "o as (select *, case when phi > 0 and phi < 1 then -ln(2) / ln(phi) end as half_life from q)", out=final("o", "instrument", "phi:d", "half_life:d")))
@@ -518,7 +520,7 @@ def _(s, d):
 def _(s, d):
     from quantloom.operators import regimes
 
-    return regimes.cusum(items_panel(s, d).withColumn("v", features.log_return()), "v", 0.8, 0.02)
+    return regimes.cusum(items_panel(s, d).withColumn("v", features.log_return()), "v", 0.8, 0.02, DAILY_BUCKET)
 
 
 @query("sequential_passthrough", sql(ITEMS, STEPS, out=final("steps", "instrument", "ts:t", "price:d")))
