@@ -5,7 +5,7 @@ A source's documents form a stream in a fixed pseudo-random order, repeated whil
 a pass if its middle word still lies inside the target. A source has two streams, of larger and of smaller documents;
 the second makes good what the first missed, so a source ends within half a small document of its target.
 The place of a copy in the training order is the inverse of the source's cumulative demand, the integral of the
-source's weight schedule over training time t in [0, 1]. Copies are then range-sorted by that place.
+source's weight schedule over training time t in [0, 1]. Copies are then range-sorted by that place, and numbered.
 
 No source is handled by one task: running sums go by (source, tier, hash slice) groups whose totals are added first.
 Only the table of sources, one row each, is ordered as a whole.
@@ -101,13 +101,14 @@ def place_copies(docs: DataFrame, slices: int = 4096, small: int = 256, texts: b
     ``slices``: hash slices of each stream in which running sums are formed; any number gives the same result.
     ``small``: each source has a stream of documents above so many words and one of the others. The first gets its part
     of the target; the second then gets what is really left, so that only a small document can miss the target.
-    ``texts``: without it, of docs' columns only doc_id and source come back, and texts are read once and never shuffled.
+    ``texts``: without it, of docs' columns only doc_id and source come back, with the row's number and the document's
+    place in its stream, and texts are read once and never shuffled.
     """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), stream_order(F.col("doc_id")).alias("h"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
     kept = kept.withColumn("slice", F.shiftrightunsigned("h", 60 - (slices - 1).bit_length())).withColumn("tier", (F.col("size") <= small).cast("int"))
-    sized = Scratch(docs.sparkSession).write(kept.drop("row"))  # a text is counted once, however many sums follow
+    sized = Scratch(docs.sparkSession).write(kept.drop("row").withColumn("uid", F.monotonically_increasing_id()))  # a text is counted once, however many sums follow
     if not texts:
-        kept = sized.withColumn("row", F.struct("doc_id", "source"))
+        kept = sized.withColumn("row", F.struct("uid", "doc_id", "source", "h"))
     tiers = sized.groupBy("source", "tier").agg(F.sum("size").alias("tier_size"))
     targets = source_targets(tiers.groupBy("source").agg(F.sum("tier_size").alias("source_size")), float(PASSES))
     goals = tiers.alias("a").join(targets.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source"))).select(
@@ -141,17 +142,44 @@ def mix(docs: DataFrame, texts: bool = True) -> DataFrame:
     )
 
 
+def range_sorted(copies: DataFrame, *keys: Column | str) -> DataFrame:
+    partitions = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+
+
 def curriculum(docs: DataFrame) -> DataFrame:
     """The mix as training input: one row for each copy, range-sorted by place, with docs' columns only."""
     copies = place_copies(docs).select("row", F.explode("places").alias("place"))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ("place", F.xxhash64("row.doc_id"))
-    return copies.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return range_sorted(copies, "place", F.xxhash64("row.doc_id")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def copies_in_order(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, source, size, source_size, target, place, position) of each copy that the mix takes, range-sorted by place.
+
+    position: the copy's number in the training order, from 0. A range numbers its own copies; the totals of the ranges,
+    one row each, are added first. A row of docs that is never taken comes once, after all copies, without place and
+    position. uid tells rows of docs apart, those that share a doc_id too.
+    """
+    scratch = Scratch(docs.sparkSession)
+    placed = scratch.write(place_copies(docs, texts=False))  # the ranges' bounds and the sort both read it
+    copies = placed.select("row.*", "size", "source_size", "target", F.explode_outer("places").alias("place"))
+    order = (F.col("place").asc_nulls_last(), F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), F.col("size"))
+    ranged = scratch.write(range_sorted(copies, *order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftrightunsigned("_at", 33))  # the id's high bits are the range, its low 33 the row in it
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count("place").alias("_copies")).select("_part", F.coalesce(F.sum("_copies").over(earlier), F.lit(0)).alias("_before"))
+    position = F.when(F.col("place").isNotNull(), F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_part").select("uid", "doc_id", "source", "size", "source_size", "target", "place", position.alias("position"))
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
-    return mix(docs, texts=False).select("doc_id", "size", "source_size", "target", "copies", "taken", F.round(F.array_min("places"), 6).alias("first_place"))
+    copies = copies_in_order(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    taken = F.coalesce(F.sum(F.when(F.col("position").isNotNull(), F.col("size"))), F.lit(0))
+    return (
+        copies.groupBy("uid", "doc_id", "size", "source_size", "target")
+        .agg(F.count("position").cast("int").alias("copies"), taken.cast("long").alias("taken"), F.round(F.min_by("place", "position"), 6).alias("first_place"))
+        .drop("uid")
+    )
 
 
 ORACLE = r"""

@@ -126,6 +126,25 @@ def test_mix_comes_near_its_targets_and_reruns_agree(small):
     assert sorted(len(p) for p in other["places"]) == sorted(first["copies"])
 
 
+def test_query_takes_its_rows_from_the_numbered_range_sort(spark, odd_docs, data, monkeypatch):
+    tables = [spark.read.parquet(f"{data}/documents.parquet"), odd_docs]
+    for docs in (d.select("doc_id", "source", "text") for d in tables):
+        rows, plain = mixing.copies_in_order(docs).collect(), mixing.mix(docs, texts=False).collect()
+        copies = sorted((r for r in rows if r["position"] is not None), key=lambda r: r["position"])
+        assert [r["position"] for r in copies] == list(range(sum(r["copies"] for r in plain)))
+        assert [r["place"] for r in copies] == sorted(p for r in plain for p in r["places"])
+        assert len({r["uid"] for r in rows}) == len(plain) and all(r["place"] is None for r in rows if r["position"] is None)
+        found, sort = [], mixing.range_sorted
+        with monkeypatch.context() as patch:
+            patch.setattr(mixing, "read_table", lambda *_, docs=docs: docs)
+            patch.setattr(mixing, "range_sorted", lambda *a: found.append(sort(*a)) or found[-1])
+            out = mixing.op5_mixing(spark, "").collect()
+        key = lambda i, *rest: (-1 if i is None else i, *rest)
+        want = [key(r["doc_id"], r["size"], r["copies"], r["taken"], round(min(r["places"], default=-1.0), 6)) for r in plain]
+        assert sorted(key(r["doc_id"], r["size"], r["copies"], r["taken"], -1.0 if r["first_place"] is None else r["first_place"]) for r in out) == sorted(want)
+        assert len(found) == 1
+
+
 def test_places_follow_the_schedule():
     import pyspark.sql.functions as F
 
