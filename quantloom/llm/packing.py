@@ -7,11 +7,13 @@ close. Documents are range-sorted by place, and the curve is then one stream of
 holds neighbours of the curve, and no sequence but the last is short. What is left at the end is cut into powers of two,
 which need no padding, so nothing is padded at all.
 
-The vocabulary's rule never joins what white space parts. The runs between white space of some megabytes of texts are told
-apart in arrays, by their first 16 bytes where that is all, so each distinct run is looked up once; a run that a worker has
-not met is split into the rule's words, and a word that it has not met is encoded by the library. Both are kept, up to a
-number of bytes, for all tasks of the worker. Documents' ids are a written table (two bytes an id while the vocabulary allows),
-and only key, size and row number are sorted; the place of each document then meets its ids by row number.
+The vocabulary's rule never joins what white space parts. The runs between white space of some megabytes of texts are
+lower-cased and cut into the rule's words in arrays where they are plain: ASCII and the letters of Latin-1, without an
+apostrophe. Any other run stays whole. These pieces are told apart in arrays, by their first 16 bytes where that is all, so
+each distinct piece is looked up once; a word that a worker has not met is encoded by the library's model, and a whole run
+is first split into words, or left to the library. All are kept, up to a number of bytes, for all tasks of the worker.
+Documents' ids are a written table (two bytes an id while the vocabulary allows), and only key, size and row number are
+sorted; the place of each document then meets its ids by row number.
 
 Defined cases: a NULL text is empty, and a document without words is the end id alone; special tokens' strings in a text
 are ordinary text; documents without words lie at the origin of the projection; equal places are ordered by doc_id, NULL
@@ -38,8 +40,8 @@ from quantloom.llm.base import GAP, LANE, Scratch, chunks, mix64, read_table
 
 LENGTH, END = 4096, 2
 BUCKETS, AXES, BITS, SPAN = 256, 3, 16, 4.0
-#: Bytes of cached runs and ids of a worker, the longest run that is kept, and words encoded in one call.
-CACHE_BYTES, LONGEST, BLOCK = 192 << 20, 256, 4096
+#: Bytes of cached words, runs and ids of a worker, and the longest of them that is kept.
+CACHE_BYTES, LONGEST = 192 << 20, 256
 #: Words of a lower-cased run, as the vocabulary's own rule finds them. Below LATIN_END lower case and composition are
 #: matters of single characters, the same in Python and in the library.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -48,6 +50,28 @@ LATIN_END = "\u0250"
 TEXT_BYTES = 8 << 20
 
 
+GAP_BYTE, LETTER, DIGIT, MARK, ODD, WHOLE = range(6)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """What each byte is to the vocabulary's rule, and its lower case. ODD: what the arrays leave to a whole run.
+
+    The two bytes of a letter of Latin-1 are letters here; where they are anything else is told by their neighbours.
+    """
+    kind, low = np.full(256, ODD, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    kind[0x21:0x7F], kind[0x80:0xC0], kind[LATIN_LEAD] = MARK, LETTER, LETTER
+    kind[ord("0") : ord("9") + 1], kind[ord("'")], kind[GAP] = DIGIT, ODD, GAP_BYTE
+    for first in (ord("A"), ord("a")):
+        kind[first : first + 26] = LETTER
+    low[ord("A") : ord("Z") + 1] += 0x20
+    return kind, low
+
+
+#: First byte of U+00C0 to U+00FF in UTF-8, the second bytes of the two among them that are no letters, and of their last capital.
+LATIN_LEAD, LATIN_SIGNS, LATIN_CAPITAL = 0xC3, (0x97, 0xB7), 0x9E
+_KIND, _LOW = _kinds()
+
+
 def library(path: str):
     from tokenizers import Tokenizer
 
@@ -62,11 +86,15 @@ def id_type(path: str, end: int) -> str:
 
 
 class Encoder(dict):
-    """Ids of texts as the tokenizers library gives them; runs without white space come again from this cache."""
+    """Ids of texts as the tokenizers library gives them; words and whole runs come again from this cache."""
 
     def __init__(self, path: str, end: int, kind: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__()
         self.library, self.kind, self.held = library(path), kind, 0
+        self.model, level = self.library.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x80, ord(LATIN_END)))}  # the model's signs for their bytes
         self.end = np.array([end], dtype=kind).tobytes()
 
     def __missing__(self, run: str) -> bytes:
@@ -78,27 +106,36 @@ class Encoder(dict):
             self.held += 200 + 2 * len(run) + len(ids)
         return ids
 
-    def _learn(self, runs: list[str]) -> None:
-        """Keeps the ids of new runs. Their new words, one a space apart, are encoded BLOCK in a call."""
-        latin = [r for r in runs if len(r) <= LONGEST and r.isprintable() and (r.isascii() or max(r) < LATIN_END)]
-        mixed = [r for r in latin if not (r.isalpha() and r.islower())]  # the others are words as they stand
-        split = [WORD.findall(r.lower()) for r in mixed]
-        words = [w for w in {r for r in latin if r.isalpha() and r.islower()}.union(itertools.chain.from_iterable(split)) if w not in self]
-        for begin in range(0, len(words), BLOCK):
-            block = words[begin : begin + BLOCK]
-            found = self.library.encode(" ".join(block), add_special_tokens=False)
-            ids, ends = np.array(found.ids, dtype=self.kind), np.searchsorted(np.array(found.word_ids), np.arange(len(block) + 1)).tolist()
-            for word, first, end in zip(block, ends, ends[1:], strict=False):
-                self._keep(word, ids[first:end].tobytes())
-        for run, parts in zip(mixed, split, strict=True):
+    def _learn_words(self, words: list[str]) -> None:
+        """Keeps the ids of new words in lower case below LATIN_END, which the library's normaliser leaves as they are."""
+        cut, letters = self.model.tokenize, self.letters
+        ids, ends = [], [0]
+        for word in words:
+            ids += [t.id for t in cut(word if word.isascii() else word.translate(letters))]
+            ends.append(len(ids))
+        flat, width = np.array(ids, dtype=self.kind).tobytes(), np.dtype(self.kind).itemsize
+        for word, first, end in zip(words, ends, ends[1:], strict=False):
+            self[word] = flat[first * width : end * width]
+        self.held += 200 * len(words) + 2 * sum(map(len, words)) + len(flat)
+
+    def _learn(self, runs: list[str], whole: list[bool]) -> None:
+        """Keeps the ids of new pieces: words, and whole runs, which are split into words where that is safe."""
+        words = {r for r, w in zip(runs, whole, strict=True) if not w and len(r) <= LONGEST}
+        latin = [r for r, w in zip(runs, whole, strict=True) if w and len(r) <= LONGEST and r.isprintable() and (r.isascii() or max(r) < LATIN_END)]
+        split = [WORD.findall(r.lower()) for r in latin]
+        known = (w for w in itertools.chain.from_iterable(split) if w not in self and max(w) < LATIN_END)  # lower case may pass LATIN_END
+        self._learn_words(list(words.union(known)))
+        for run, parts in zip(latin, split, strict=True):
             if run not in self:
                 self._keep(run, b"".join(map(self.__getitem__, parts)))
 
-    def _distinct(self, runs: list[str]) -> list[bytes]:
+    def _distinct(self, runs: list[str], whole: list[bool]) -> list[bytes]:
         held = list(map(self.get, runs))
         if None in held:
-            self._learn([r for r, x in zip(runs, held, strict=True) if x is None])
-            held = [self[r] if x is None else x for r, x in zip(runs, held, strict=True)]
+            new = [i for i, x in enumerate(held) if x is None]
+            self._learn([runs[i] for i in new], [whole[i] for i in new])
+            for i in new:
+                held[i] = self[runs[i]]
         return held
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
@@ -106,9 +143,9 @@ class Encoder(dict):
         if self.held > CACHE_BYTES:
             self.clear()
             self.held = 0
-        joined, start, stop, owner = runs_of(texts)
+        joined, start, stop, whole, owner = pieces_of(texts)
         first, of = distinct_runs(joined, start, stop)
-        found = self._distinct([joined[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
+        found = self._distinct([joined[a:b].decode() for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)], whole[first].tolist())
         width = np.dtype(self.kind).itemsize
         values, sizes = np.frombuffer(b"".join(found), dtype=self.kind), np.array([len(x) // width for x in found], dtype=np.int64)
         begin, size = (np.cumsum(sizes) - sizes)[of], sizes[of]
@@ -118,14 +155,33 @@ class Encoder(dict):
         return [flat[a:b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def runs_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts joined, and of each run between ASCII white space where it begins, ends, and whose it is."""
-    joined = b"\n".join(texts) + b"\n"
-    gap = GAP[np.frombuffer(joined, dtype=np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).view(np.int8)))
-    start, stop = edge[0::2], edge[1::2]
+def pieces_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts joined, and of each piece where it begins, ends, whether it is a whole run, and whose it is.
+
+    Plain runs between ASCII white space are in lower case and cut into the rule's words; others are as they were.
+    """
+    source = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(source, dtype=np.uint8)
+    kind, low = _KIND[raw], _LOW[raw]
+    high = np.flatnonzero(raw >= 0x80)
+    here, before, after = raw[high], raw[high - 1], raw[high + 1]
+    lead, second = here == LATIN_LEAD, (before == LATIN_LEAD) & (here < 0xC0)
+    fine = np.where(lead, (after >= 0x80) & (after < 0xC0) & (after != LATIN_SIGNS[0]) & (after != LATIN_SIGNS[1]), second)
+    low[high[second & (here <= LATIN_CAPITAL)]] += 0x20
+    kind[high[~fine]] = ODD
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], kind == GAP_BYTE)).view(np.int8)))
+        begin, end = edge[0::2], edge[1::2]
+        run = np.unique(np.searchsorted(begin, odd, "right") - 1)
+        size = end[run] - begin[run]
+        at = np.repeat(begin[run] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        kind[at], low[at] = WHOLE, raw[at]
+    text, alone = kind != GAP_BYTE, kind == DIGIT
+    turn = np.concatenate(([True], kind[1:] != kind[:-1], [True]))
+    start, stop = np.flatnonzero(text & (turn[:-1] | alone)), np.flatnonzero(text & (turn[1:] | alone)) + 1
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return joined, start, stop, np.searchsorted(ends, start, "right")
+    return low.tobytes(), start, stop, kind[start] == WHOLE, np.searchsorted(ends, start, "right")
 
 
 def distinct_runs(joined: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +194,10 @@ def distinct_runs(joined: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[n
     size = stop - start
     low, high = view[start] & LANE[np.minimum(size, 8)], view[start + 8] & LANE[np.clip(size - 8, 0, 8)]
     h = mix64((low + size.astype(np.uint64)) ^ mix64(high + np.uint64(0x9E3779B97F4A7C15)))
-    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    turn = np.concatenate(([True], np.diff(h[order]) != 0))[: len(h)]
+    first, of = order[turn], np.empty(len(h), dtype=np.int64)
+    of[order] = np.cumsum(turn) - 1
     like = first[of]
     own = np.flatnonzero((low != low[like]) | (high != high[like]) | (size != size[like]) | (size > 16))
     of[own] = len(first) + np.arange(len(own))

@@ -136,6 +136,23 @@ def test_cached_runs_give_the_library_s_ids(kind):
             assert np.frombuffer(got, kind).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_words_of_plain_runs_are_cut_in_arrays_and_learnt_once(kind):
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2, kind)
+    rng = random.Random(2)
+    letters = ["ab", "Z", "À", "Þ", "ÿ", "ß", "×", "÷", "7", "42", ".", ",-", "'", "'re", "\x7f", "\x00", "½", "œ", "İ", "東", "\u0301", "\xa0", " ", "\n", "  "]
+    texts = ["".join(rng.choice(letters[: (10, 13, 25)[n % 3]]) for _ in range(rng.randrange(14))) for n in range(3000)]
+    texts += ["", " ", "À", "×", "y" * 300 + "." + "Ö" * 300, "İ" * 200, "it's", "'s's ''s", *map(chr, range(0x300))]
+    for begin in range(0, len(texts), 700):
+        part = texts[begin : begin + 700]
+        for text, got in zip(part, encoder.ids([t.encode() for t in part]), strict=True):
+            assert np.frombuffer(got, kind).tolist() == encoder.library.encode(text, add_special_tokens=False).ids + [2], repr(text)
+    assert encoder.ids([]) == []
+    fresh = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 2, kind)
+    assert len(fresh.ids([b"Haus haus, HAUS; (haus) haus. Haus!", "Élan élan, ÉLAN.".encode()])) == 2
+    assert set(fresh) == {"haus", ",", ";", "(", ")", ".", "!", "élan"}  # 9 runs more were kept when each run was looked up whole
+
+
 def test_hilbert_places_are_a_walk_through_all_cells():
     for bits, d in ((3, 2), (2, 3), (4, 3)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d, indexing="ij"), axis=-1).reshape(-1, d)
