@@ -106,7 +106,8 @@ def place_copies(docs: DataFrame, slices: int = 4096, small: int = 256, texts: b
     """
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), stream_order(F.col("doc_id")).alias("h"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"))
     kept = kept.withColumn("slice", F.shiftrightunsigned("h", 60 - (slices - 1).bit_length())).withColumn("tier", (F.col("size") <= small).cast("int"))
-    sized = Scratch(docs.sparkSession).write(kept.drop("row").withColumn("uid", F.monotonically_increasing_id()))  # a text is counted once, however many sums follow
+    counted = kept.drop("row") if texts else kept.drop("row").withColumn("uid", F.monotonically_increasing_id())
+    sized = Scratch(docs.sparkSession).write(counted)  # a text is counted once, however many sums follow
     if not texts:
         kept = sized.withColumn("row", F.struct("uid", "doc_id", "source", "h"))
     tiers = sized.groupBy("source", "tier").agg(F.sum("size").alias("tier_size"))
